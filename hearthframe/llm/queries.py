@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, url_filter
+from . import bpe, decontam, line_dedup, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
     "op2_byte_bpe": bpe.query,
+    "op3_secret_scan": secret_scan.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_simhash": simhash.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {
+    "op1_decontamination": decontam.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
