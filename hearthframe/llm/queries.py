@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, line_dedup, secret_scan, simhash, url_filter
+from . import ann, bpe, decontam, html_extract, lang_id, line_dedup, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_secret_scan": secret_scan.query,
     "op5_line_dedup": line_dedup.query,
     "op6_simhash": simhash.query,
+    "op7_nearest_neighbours": ann.query,
+    "op8_html_extraction": html_extract.query,
+    "op9_language_id": lang_id.query,
     "op10_url_filter": url_filter.query,
 }
 
