@@ -4,15 +4,16 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts in a docume
 id. The corpus is far too large for one suffix array, so it is dealt out by content:
 
 1. Anchors. Of the k-grams of every string of ``SPAN`` bytes the one of least hash is its
-   anchor, so equal strings have equal anchors at equal places. About one byte in sixteen is an
-   anchor. Anchors travel to buckets as eight bytes: 48 bits of the k-gram's hash and eight
+   anchor, so equal strings have equal anchors at equal places. About one byte in eighteen is
+   an anchor. Anchors travel to buckets as eight bytes: 48 bits of the k-gram's hash and eight
    each of the ``SIDE`` bytes after and before it. Equal strings agree in the k-gram and in at
-   least one side.
-2. A bucket replies to the documents which of their anchors some other document has as well.
-3. Documents send only those anchors' surroundings, to the bucket of the anchor. Copies of
-   surroundings inside one batch are sent once, by the smallest document; the other
+   least one side. A block of documents sends a bucket one packed row.
+2. A bucket replies to the documents which of their anchors some other document has as well:
+   a bit an anchor, in the order in which the document will find them again.
+3. Documents send only those anchors' surroundings, packed, to the bucket of the anchor. Copies
+   of surroundings inside one block are sent once, by the smallest document; the other
    documents know then that theirs is taken.
-4. In a bucket documents arrive by id, in batches. Each batch gets the suffix array of its
+4. In a bucket documents are taken by id, in batches. Each batch gets the suffix array of its
    strings (suffixes cut at ``SPAN`` bytes, ordered by a 64-bit key of these bytes), is
    merge-scanned against all levels of the index family, and becomes a level itself; levels of
    equal size merge, so there are logarithmically many. What a scan finds is compared byte for
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .frames import blocks, column, same_slices, utf8_view
 
-SPAN, GRAM, SIDE = 50, 20, 15
+SPAN, GRAM, SIDE = 50, 16, 17
 WIDE = SPAN - GRAM + 1  # k-grams of a string
 PIECE = 1 << 21  # string starts handled at once; positions in a piece must fit PLACE bits
 PLACE = np.uint64(22)
@@ -66,8 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     for lo in range(0, max(n - SPAN + 1, 0), PIECE):
         hi = min(lo + PIECE, n - SPAN + 1)  # string starts lo .. hi - 1
         m = hi - lo + WIDE - 1  # k-grams
-        grams = mixed(words[lo : lo + m] * M1 ^ mixed(words[lo + 8 : lo + 8 + m]))
-        grams = mixed(grams + words[lo + GRAM - 8 : lo + GRAM - 8 + m] * M2)
+        grams = mixed(mixed(words[lo : lo + m] * M1 ^ mixed(words[lo + 8 : lo + 8 + m])))
         least = (grams >> PLACE << PLACE) | np.arange(m, dtype=np.uint64)
         span = 1
         while span * 2 <= WIDE:
@@ -112,63 +112,77 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def by_row_and_bucket(row: np.ndarray, bucket: np.ndarray, buckets: int):
-    """Order by (row, bucket), and the first of each group."""
-    key = row * buckets + bucket
-    order = np.argsort(key, kind="stable")
-    return order, np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else order
-
-
 def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    raw = b"".join([np.array([a.nbytes for a in arrays], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+    sizes, at, out = np.frombuffer(raw, "<i8", len(kinds)), 8 * len(kinds), []
+    for size, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(raw[at : at + size], kind))
+        at += size
+    return out
+
+
+def row_groups(bucket: np.ndarray, row: np.ndarray, buckets: int):
+    """(order by bucket and row, per bucket: its number, slice of the order, rows, counts)."""
+    key = bucket * (row.max() + 1) + row
+    order = np.argsort(key, kind="stable")
+    b, r = bucket[order], row[order]
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    sizes = np.diff(np.append(first, len(order)))
+    heads = np.flatnonzero(np.append(True, np.diff(b[first]) != 0))
+    out = []
+    for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(first)]):
+        lo, hi = int(first[x]), int(first[y - 1] + sizes[y - 1])
+        out.append((int(b[lo]), slice(lo, hi), r[first[x:y]], sizes[x:y]))
+    return order, out
+
+
 def ask(batches, buckets):
-    """Step 1: (bucket, id, text's hash, packed anchors) of each text and bucket."""
+    """Step 1: (bucket, packed ids, texts' hashes, counts and anchors) of each block and bucket."""
     for batch in batches:
         ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for lo, _, data, offs in blocks(*utf8_view(batch.column(2))):
             row, _, _, place, grams, padded = anchors(data, offs)
             if not len(row):
                 continue
-            value = packed(row, place, grams, padded, offs)
-            order, first = by_row_and_bucket(row, bucket_of(grams, buckets), buckets)
-            value, row, bucket = value[order], row[order], bucket_of(grams[order], buckets)
-            raw, cuts = value.tobytes(), [*(first * 8).tolist(), len(value) * 8]
-            at = lo + row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(ids[at]), pa.array(marks[at]), binaries([raw[a:b] for a, b in zip(cuts, cuts[1:])])], names=["bucket", "id", "mark", "anchors"])
+            order, groups = row_groups(bucket_of(grams, buckets), row, buckets)
+            value = packed(row, place, grams, padded, offs)[order]
+            rows = [pack(ids[lo + r].astype("<i8"), marks[lo + r].astype("<i4"), n.astype("<u4"), value[part].astype("<u8")) for _, part, r, n in groups]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), binaries(rows)], names=["bucket", "packed"])
 
 
-def groups_of_buckets(batches, limit=None, weight=None):
-    """Rows of each bucket from batches sorted by bucket: (bucket, rows, is this the bucket's last part)."""
-    held, size = None, 0
+def by_bucket(batches):
+    """(bucket, its packed values) from batches sorted by bucket."""
+    held, values = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held is not None and held[0] != bucket[a]:
-                yield held[0], held[1], True
-                held, size = None, 0
-            held = (bucket[a], [part]) if held is None else (held[0], [*held[1], part])
-            size += 0 if weight is None else weight(part)
-            if limit is not None and size >= limit:
-                yield held[0], held[1], False
-                held, size = (held[0], []), 0
-    if held is not None:
-        yield held[0], held[1], True
+        for b, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if b != held:
+                if values:
+                    yield held, values
+                held, values = b, []
+            values.append(v.as_py())
+    if values:
+        yield held, values
+
+
+def gather(values: list[bytes], *kinds: str) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*[unpack(v, *kinds) for v in values])]
 
 
 def reply(batches):
-    """Step 2: (id, text's hash, hashes of its anchors that another document shares)."""
-    for _, parts, _ in groups_of_buckets(batches):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        ids, marks = np.asarray(table["id"]), np.asarray(table["mark"])
-        data, offs = utf8_view(table["anchors"])
-        value = np.frombuffer(data.tobytes(), "<u8")
-        owner = np.repeat(np.arange(len(ids)), np.diff(offs) // 8)
+    """Step 2: (id, text's hash, bucket and a bit for each of its anchors there) of documents that share any."""
+    for bucket, values in by_bucket(batches):
+        ids, marks, counts, value = gather(values, "<i8", "<i4", "<u4", "<u8")
+        owner = np.repeat(np.arange(len(ids)), counts)
         doc = ids[owner]
         shared = np.zeros(len(value), bool)
         for key, known in (((value >> np.uint64(8)), (value >> np.uint64(8)) & np.uint64(255)), ((value >> np.uint64(16) << np.uint64(8)) | (value & np.uint64(255)), value & np.uint64(255))):
@@ -180,34 +194,39 @@ def reply(batches):
             sizes = np.diff(np.append(first, len(order)))
             differs = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
             shared[order[np.repeat(differs, sizes)]] = True
-        at = np.flatnonzero(shared)
-        if not len(at):
-            continue
-        own = owner[at]
-        first = np.flatnonzero(np.append(True, np.diff(own) != 0))
-        raw, cuts = (value[at] >> np.uint64(16)).tobytes(), [*(first * 8).tolist(), len(at) * 8]
-        rows = own[first]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), binaries([raw[a:b] for a, b in zip(cuts, cuts[1:])])], names=["id", "mark", "shared"])
+        stops = np.append(0, np.cumsum(counts, dtype=np.int64))
+        total = np.append(0, np.cumsum(shared))
+        some = np.flatnonzero(total[stops[1:]] > total[stops[:-1]])
+        if len(some):
+            head = int(bucket).to_bytes(4, "little")
+            bits = [head + int(stops[k + 1] - stops[k]).to_bytes(4, "little") + np.packbits(shared[stops[k] : stops[k + 1]]).tobytes() for k in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(marks[some]), binaries(bits)], names=["id", "mark", "shared"])
 
 
 def send(batches, buckets):
-    """Step 3: rows of surroundings for buckets (bucket >= 0), and ranges that are known already (bucket -1)."""
-    names = ["bucket", "id", "mark", "starts", "counts", "bytes"]
+    """Step 3: packed surroundings for buckets (bucket >= 0), and ranges that are known already (bucket -1)."""
     for batch in batches:
         ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         lists = batch.column(3)
         for lo, hi, data, offs in blocks(*utf8_view(batch.column(2))):
             row, start, count, _, grams, padded = anchors(data, offs)
-            told = [b"".join(x or ()) for x in lists.slice(lo, hi - lo).to_pylist()]
-            wanted = np.frombuffer(b"".join(told), "<u8")
-            who = np.repeat(np.arange(hi - lo), [len(t) // 8 for t in told])
-            if not len(wanted) or not len(row):
+            if not len(row):
                 continue
-            tag = lambda h, r: mixed(h * M1 + r.astype(np.uint64) * M2)
-            keep = np.flatnonzero(np.isin(tag(grams & np.uint64((1 << 48) - 1), row), tag(wanted, who)))
+            bucket = bucket_of(grams, buckets)
+            order, groups = row_groups(bucket, row, buckets)
+            wanted = np.zeros(len(row), bool)
+            told = {(k, int.from_bytes(x[:4], "little")): x for k, xs in enumerate(lists.slice(lo, hi - lo).to_pylist()) for x in xs or ()}
+            for b, part, rows, sizes in groups:
+                at = part.start
+                for r, n in zip(rows.tolist(), sizes.tolist()):
+                    x = told.get((r, b))
+                    if x is not None and int.from_bytes(x[4:8], "little") == n:
+                        wanted[at : at + n] = np.unpackbits(np.frombuffer(x, np.uint8, offset=8))[:n]
+                    at += n
+            keep = order[wanted]
             if not len(keep):
                 continue
-            row, start, count, grams = row[keep], start[keep], count[keep], grams[keep]
+            row, start, count, grams, bucket = row[keep], start[keep], count[keep], grams[keep], bucket[keep]
             length = count + SPAN - 1
             # copies inside the block: the smallest document sends, the others are covered
             words = loads(padded)
@@ -221,35 +240,23 @@ def send(batches, buckets):
             order = np.lexsort((start, doc, key))
             first = np.append(True, np.diff(key[order]) != 0)
             head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            copy = order[(doc[order] > doc[head]) & (length[order] == length[head])]
-            source = head[(doc[order] > doc[head]) & (length[order] == length[head])]
+            later = (doc[order] > doc[head]) & (length[order] == length[head])
+            copy, source = order[later], head[later]
             if len(copy) and not same_slices(padded, start[copy], start[source], length[copy], length[source]):
                 copy = copy[:0]
-            fresh = np.ones(len(row), bool)
-            fresh[copy] = False
-            for mask, ship_bytes in ((fresh, True), (~fresh, False)):
-                pick = np.flatnonzero(mask)
-                if not len(pick):
-                    continue
-                bucket = bucket_of(grams[pick], buckets) if ship_bytes else np.full(len(pick), -1)
-                order, head = by_row_and_bucket(row[pick], bucket + 1, buckets + 1)
-                pick, bucket = pick[order], bucket[order]
-                s = (start[pick] - offs[row[pick]]).astype("<i8")
-                c = count[pick].astype("<i4")
-                cuts = [*head.tolist(), len(pick)]
-                if ship_bytes:
-                    n = length[pick]
+            bucket[copy] = -1
+            order, groups = row_groups(bucket + 1, row, buckets + 1)
+            start, count, length, row = start[order], count[order], length[order], row[order]
+            places = start - offs[row]
+            out = []
+            for b, part, rows, sizes in groups:
+                text = np.zeros(0, np.uint8)
+                if b:
+                    n = length[part]
                     stop = np.append(0, np.cumsum(n))
-                    raw = padded[np.repeat(start[pick] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
-                    text = [raw[stop[a] : stop[b]] for a, b in zip(cuts, cuts[1:])]
-                else:
-                    text = [b""] * len(head)
-                sb, cb = s.tobytes(), c.tobytes()
-                at = lo + row[pick[head]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[head].astype(np.int32)), pa.array(ids[at]), pa.array(marks[at]), binaries([sb[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:])]), binaries([cb[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]), binaries(text)],
-                    names=names,
-                )
+                    text = padded[np.repeat(start[part] - stop[:-1], n) + np.arange(stop[-1])]
+                out.append(pack(ids[lo + rows].astype("<i8"), marks[lo + rows].astype("<i4"), sizes.astype("<u4"), places[part].astype("<i8"), count[part].astype("<u4"), text))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] - 1 for g in groups], pa.int32()), binaries(out)], names=["bucket", "packed"])
 
 
 class Level:
@@ -321,39 +328,42 @@ class Family:
 
 
 def resolve(batches):
-    """Step 4: (id, text's hash, ranges of string starts) from buckets sorted by id; known ranges pass."""
-    family = Family()
-    for bucket, parts, last in groups_of_buckets(batches, BATCH_STRINGS * 4, lambda b: b.column(5).nbytes // 4):
-        if parts:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            ids, marks = np.asarray(table["id"]), np.asarray(table["mark"])
-            sdata, soffs = utf8_view(table["starts"])
-            start = np.frombuffer(sdata.tobytes(), "<i8")
-            count = np.frombuffer(utf8_view(table["counts"])[0].tobytes(), "<i4").astype(np.int64)
-            owner = np.repeat(np.arange(len(ids)), np.diff(soffs) // 8)
-            if bucket >= 0:
-                data = np.append(utf8_view(table["bytes"])[0], np.zeros(8, np.uint8))
-                length = count + SPAN - 1
-                base = np.cumsum(length) - length
-                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at = np.repeat(base, count) + within
-                who = np.repeat(owner, count)
-                hit = np.zeros(len(at), bool)
-                for lo in range(0, len(at), BATCH_STRINGS):
-                    part = slice(lo, lo + BATCH_STRINGS)
-                    hit[part] = family.add(data, at[part], ids[who[part]])
-                pos = (np.repeat(start, count) + within)[hit]
-                who = who[hit]
-                cut = np.append(True, (np.diff(who) != 0) | (np.diff(pos) != 1)) if len(pos) else np.zeros(0, bool)
-                first = np.flatnonzero(cut)
-                start, count, owner = pos[first], np.diff(np.append(first, len(pos))), who[first]
-            if len(start):
-                pair = np.stack((start, start + count + SPAN - 1), axis=1).astype("<i8").tobytes()
-                first = np.flatnonzero(np.append(True, np.diff(owner) != 0))
-                cuts, rows = [*(first * 16).tolist(), len(start) * 16], owner[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), binaries([pair[a:b] for a, b in zip(cuts, cuts[1:])])], names=["id", "mark", "ranges"])
-        if last:
-            family = Family()
+    """Step 4: (id, text's hash, ranges of bytes) from buckets; known ranges pass."""
+    for bucket, values in by_bucket(batches):
+        if bucket < 0:
+            for v in values:
+                ids, marks, sizes, start, count, _ = unpack(v, "<i8", "<i4", "<u4", "<i8", "<u4", "u1")
+                yield ranges_of(ids, marks, np.repeat(np.arange(len(ids)), sizes), start, count.astype(np.int64))
+            continue
+        ids, marks, sizes, start, count, data = gather(values, "<i8", "<i4", "<u4", "<i8", "<u4", "u1")
+        count = count.astype(np.int64)
+        length = count + SPAN - 1
+        owner, base = np.repeat(np.arange(len(ids)), sizes), np.cumsum(length) - length
+        data = np.append(data, np.zeros(8, np.uint8))
+        by_id = np.argsort(ids[owner], kind="stable")
+        owner, start, count, base = owner[by_id], start[by_id], count[by_id], base[by_id]
+        batch = np.cumsum(count) // BATCH_STRINGS
+        family, found = Family(), []
+        for part in np.split(np.arange(len(count)), np.flatnonzero(np.diff(batch)) + 1):
+            n = count[part]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who = np.repeat(owner[part], n)
+            hit = family.add(data, np.repeat(base[part], n) + within, ids[who])
+            found.append((who[hit], (np.repeat(start[part], n) + within)[hit]))
+        who, pos = (np.concatenate(x) for x in zip(*found))
+        if len(who):
+            order = np.lexsort((pos, who))
+            who, pos = who[order], pos[order]
+            first = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (np.diff(pos) != 1)))
+            yield ranges_of(ids, marks, who[first], pos[first], np.diff(np.append(first, len(pos))))
+
+
+def ranges_of(ids, marks, owner, start, count) -> pa.RecordBatch:
+    """Rows (id, text's hash, pairs of first byte and end); ``owner`` ascends."""
+    pair = np.stack((start, start + count + SPAN - 1), axis=1).astype("<i8").tobytes()
+    first = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else np.zeros(0, int)
+    cuts, rows = [*(first * 16).tolist(), len(start) * 16], owner[first]
+    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), binaries([pair[a:b] for a, b in zip(cuts, cuts[1:])])], names=["id", "mark", "ranges"])
 
 
 def remove(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -378,17 +388,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = 2 * partitions
     last = 2**63 - 1
     text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(last)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    rows = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(last)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
     key = ["id", "mark"]
-    asked = rows.mapInArrow(lambda b: ask(b, buckets), "bucket int, id bigint, mark bigint, anchors binary")
-    asked = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    replies = asked.mapInArrow(reply, "id bigint, mark bigint, shared binary").groupBy(*key).agg(F.collect_list("shared").alias("shared"))
-    sent = rows.join(replies, key).select("id", "mark", "text", "shared").mapInArrow(lambda b: send(b, buckets), "bucket int, id bigint, mark bigint, starts binary, counts binary, bytes binary")
-    sent = sent.repartition(partitions, "bucket", F.when(F.col("bucket") < 0, F.col("id"))).sortWithinPartitions("bucket", "id")
-    ranges = sent.mapInArrow(resolve, "id bigint, mark bigint, ranges binary").groupBy(*key).agg(F.collect_list("ranges").alias("ranges"))
+    spread = lambda df: df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    asked = spread(rows.mapInArrow(lambda b: ask(b, buckets), "bucket int, packed binary"))
+    replies = asked.mapInArrow(reply, "id bigint, mark int, shared binary").groupBy(*key).agg(F.collect_list("shared").alias("shared"))
+    sent = rows.join(replies, key).select("id", "mark", "text", "shared").mapInArrow(lambda b: send(b, buckets), "bucket int, packed binary")
+    # known ranges need no bucket's company: they are dealt out evenly
+    dealt = sent.repartition(partitions, "bucket", F.when(F.col("bucket") < 0, F.xxhash64("packed"))).sortWithinPartitions("bucket")
+    ranges = dealt.mapInArrow(resolve, "id bigint, mark int, ranges binary").groupBy(*key).agg(F.collect_list("ranges").alias("ranges"))
     joined = rows.join(ranges, key, "left").select("id", "text", "ranges")
 
     def finish(batches):
