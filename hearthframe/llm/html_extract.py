@@ -5,7 +5,7 @@ characters and punctuation marks a block are aggregated; the two are fused (char
 one plus marks), laid out in page order, smoothed by a Gaussian and thresholded by their
 standard deviation. The paths that pass name the content nodes. The content's container is
 the page's ``article`` or ``main`` elements if these hold at least half of the content nodes' text, else
-the lowest element that holds nine tenths of it. All blocks inside the container make the text,
+the lowest element, other than a single paragraph, heading or item, that holds nine tenths of it. All blocks inside the container make the text,
 short ones too.
 
 Elements that are never content are left out before that: by tag, by role, or by a word of
@@ -43,6 +43,8 @@ WORDS = frozenset(
     signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond form search
     pagination pager toolbar widget skip""".split()
 )
+#: Elements that hold one block and so contain no article.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr ul ol dl".split()) | INLINE
 NEVER = frozenset("html body article main".split())
 OWN = frozenset("article post entry content main story".split())
 MARKS = re.compile(r"[.,;:!?…。，！？،؟]")
@@ -195,18 +197,13 @@ def main_text(page: str | None) -> str:
     container = None
     for path, (node, _) in zip(paths, blocks):
         if path in chosen:
-            while 10 * node.chars < 9 * total:
-                node = node.up
-            container = node
-            break
-    for path, (node, _) in zip(paths, blocks):  # the lowest such element
-        if path in chosen:
-            while 10 * node.chars < 9 * total:
+            while 10 * node.chars < 9 * total or node.tag in LEAVES:
                 node = node.up
             above = node
             while above is not None and above is not container:
                 above = above.up
-            container = node if above is container else container
+            if above is container:  # the first one, or one inside the one before
+                container = node
 
     def inside(node):
         while node is not None:

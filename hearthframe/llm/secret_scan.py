@@ -96,11 +96,11 @@ def battery(s: str) -> tuple[str, float] | None:
     mean = sum(codes) / n
     spread = sum((c - mean) ** 2 for c in codes)
     serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread if spread else 1.0
-    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < 1e-4:
+    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < 5e-3:
         return None
     extra = n * (size * POWERS[alphabet] - 1)
     p_chi = normal_tail(-(chi - df - extra) / math.sqrt(2 * (df + 2 * extra)))
-    kind = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body]
+    kind = [c.isdigit() + 2 * c.isupper() for c in body if c.isalnum()]  # joining marks are no class of their own
     changes = sum(a != b for a, b in zip(kind, kind[1:]))
     expected = (n - 1) * TEXT_CHANGE
     p_runs = normal_tail((changes - 0.5 - expected) / math.sqrt(expected * (1 - TEXT_CHANGE)))
