@@ -155,4 +155,6 @@ def point_segment_distance(px, py, x1, y1, x2, y2) -> Column:
 
 
 def svg_path(pts: Column) -> Column:
-    return F.concat(F.lit("M "), F.array_join(F.transform(pts, lambda p: F.concat(F.format_number(p["x"], "0.##"), F.lit(" "), F.format_number(p["y"], "0.##"))), " L "), F.lit(" Z"))
+    """Path data with up to two decimals."""
+    short = lambda v: F.regexp_replace(F.format_string("%.2f", v), r"\.?0+$", "")
+    return F.concat(F.lit("M "), F.array_join(F.transform(pts, lambda p: F.concat_ws(" ", short(p["x"]), short(p["y"]))), " L "), F.lit(" Z"))

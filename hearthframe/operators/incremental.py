@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def keep_one(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the stated order."""
-    ranked = Window.partitionBy(*keys).orderBy(*order)
+    ranked = Window.partitionBy(*keys).orderBy(*(order or keys))
     return df.withColumn("__r", F.row_number().over(ranked)).filter("__r = 1").drop("__r")
 
 

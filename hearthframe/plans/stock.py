@@ -383,7 +383,7 @@ def natural_sort(spark, d):
     return n.select("n_name", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
 
 
-@query("json_like_parse", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1")
+@query("json_like_parse", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
 def json_like_parse(spark, d):
     props = F.when(F.col("event_id") % 2 == 0, F.replace("props", F.lit('"'), F.lit("'"))).otherwise(F.col("props"))
     rows = table(spark, d, "events").select("event_type", text.json_like(props, "k bigint").alias("j"))
