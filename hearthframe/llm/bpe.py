@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .frames import blocks, same_slices, text_pass, utf8_view, word_keys
 
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = 0, 1, 2, 3, 4, 5
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: White_Space codepoints besides the space.
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 

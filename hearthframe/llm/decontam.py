@@ -30,6 +30,7 @@ from .frames import LOWER, blocks, column, runs_of, text_pass, utf8_view, word_k
 
 WINDOW = 13
 BENCH_BLOCK = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of words: digits, letters (upper case is lowered first) and all of non-ASCII.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -213,14 +214,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     def kernel(col: pa.Array) -> list[pa.Array]:
         patterns = [b.value for b in shared]
         words, hits, spans, items = [], [], [], []
-        for _, _, data, offs in blocks(*utf8_view(col), 8 << 20):
+        for _, _, data, offs in blocks(*utf8_view(col), SHARD_BYTES):
             w, h, s, i = shard(patterns, data, offs)
             words.append(w), hits.append(h), spans.extend(s), items.extend(i)
         flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
         span = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))
         return [flat(words), flat(hits), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
 
-    out = text_pass(docs, text_col, kernel, ADDED, keep)
+    out = text_pass(docs, text_col, kernel, ADDED, keep, SHARD_BYTES)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..session import ship
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,11 +54,13 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> I
         lo = hi
 
 
-def text_pass(df: DataFrame, text_col: str, kernel: Callable[[pa.Array], list[pa.Array]], added: str, keep: list[str] | None = None) -> DataFrame:
+def text_pass(df: DataFrame, text_col: str, kernel: Callable[[pa.Array], list[pa.Array]], added: str, keep: list[str] | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` and those that ``kernel`` makes of its text column.
 
     ``added`` is DDL of the new columns. An incoming column with the name of a new one is
-    replaced. Rows, their order and repeated rows stay as they are.
+    replaced. Rows, their order and repeated rows stay as they are. The kernel gets slices of
+    about ``limit`` bytes and its answers leave slice by slice, so a worker never holds the
+    answers of a whole Arrow batch.
     """
     ship(df.sparkSession)
     new = df.sparkSession.createDataFrame([], added).schema
@@ -70,7 +72,10 @@ def text_pass(df: DataFrame, text_col: str, kernel: Callable[[pa.Array], list[pa
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *kernel(batch.column(batch.num_columns - 1))], names=names)
+            _, offsets = utf8_view(batch.column(batch.num_columns - 1))
+            for lo, hi, _, _ in blocks(offsets[:0], offsets, limit):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *kernel(part.column(part.num_columns - 1))], names=names)
 
     return source.mapInArrow(run, out).toDF(*keep, *[f.name for f in new])
 
