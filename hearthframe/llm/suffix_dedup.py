@@ -260,12 +260,12 @@ def send(batches, buckets):
 
 
 class Level:
-    """A suffix array: keys of its strings in order, their first document, and where their bytes are."""
+    """A suffix array: keys of its strings in order, their first document, and their places."""
 
-    __slots__ = ("keys", "docs", "at", "data")
+    __slots__ = ("keys", "docs", "at")
 
-    def __init__(self, keys, docs, at, data):
-        self.keys, self.docs, self.at, self.data = keys, docs, at, data
+    def __init__(self, keys, docs, at):
+        self.keys, self.docs, self.at = keys, docs, at
 
 
 def string_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -276,54 +276,59 @@ def string_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return key
 
 
-def equal_strings(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
-    wa, wb = loads(a), loads(b)
-    same = np.ones(len(at), bool)
+def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    words = loads(data)
+    same = np.ones(len(a), bool)
     for k in (*range(0, SPAN - 7, 8), SPAN - 8):
-        same &= wa[at + k] == wb[bt + k]
+        same &= words[a + k] == words[b + k]
     return same
 
 
 class Family:
-    """Levels of suffix arrays, sizes growing geometrically."""
+    """Levels of suffix arrays over one bucket's bytes, sizes growing geometrically."""
 
-    def __init__(self):
+    def __init__(self, data: np.ndarray):
+        self.data = data
         self.levels: list[Level] = []
 
-    def add(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    def add(self, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Takes a batch of strings (documents not smaller than any before); which of them a smaller document has."""
+        data = self.data
         keys = string_keys(data, at)
-        order = np.lexsort((docs, keys))
-        k = keys[order]
+        order = np.argsort(keys, kind="stable")  # places ascend by document
+        k, o = keys[order], at[order]
+        d = docs[order]
         first = np.append(True, k[1:] != k[:-1])
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        equal = equal_strings(data, at[order], data, at[head])
-        found = np.zeros(len(at), bool)
-        found[order] = equal & (docs[order] > docs[head])
+        head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+        equal = first.copy()
+        rest = np.flatnonzero(~first)
+        equal[rest] = equal_strings(data, o[rest], o[head[rest]])
+        hit = equal & (d > d[head])
         # strings that share a key with another string (one in 2**64) are kept as further entries
-        entry = order[first | ~equal]
+        entry = np.flatnonzero(first | ~equal)
         for level in self.levels:
-            place = np.searchsorted(level.keys, keys)
+            # merge scan: both sides are in order
+            place = np.searchsorted(level.keys, k[entry])
             for step in range(2):
                 p = np.minimum(place + step, len(level.keys) - 1)
-                hit = np.flatnonzero((level.keys[p] == keys) & ~found)
-                hit = hit[level.docs[p[hit]] < docs[hit]]
-                found[hit[equal_strings(data, at[hit], level.data, level.at[p[hit]])]] = True
-        fresh = entry[~found[entry]]
+                same = np.flatnonzero(level.keys[p] == k[entry])
+                same = same[equal_strings(data, o[entry[same]], level.at[p[same]]) & (level.docs[p[same]] < d[entry[same]])]
+                hit[entry[same]] = True
+        # what holds for an entry holds for the batch's equal strings: their documents are no smaller
+        hit |= equal & hit[head]
+        fresh = entry[~hit[entry]]
         if len(fresh):
-            self._push(Level(keys[fresh], docs[fresh], at[fresh], data))
+            self._push(Level(k[fresh], d[fresh], o[fresh]))
+        found = np.zeros(len(at), bool)
+        found[order] = hit
         return found
 
     def _push(self, new: Level) -> None:
-        # only the strings' own bytes stay
-        grid = new.data[new.at[:, None] + np.arange(SPAN)] if len(new.at) else np.zeros((0, SPAN), np.uint8)
-        new.data, new.at = np.append(grid.ravel(), np.zeros(8, np.uint8)), np.arange(len(new.keys)) * SPAN
         while self.levels and len(self.levels[-1].keys) < 2 * len(new.keys):
             old = self.levels.pop()
             keys = np.concatenate((old.keys, new.keys))
             order = np.argsort(keys, kind="stable")
-            both = np.concatenate((old.data[:-8].reshape(-1, SPAN), new.data[:-8].reshape(-1, SPAN)))[order]
-            new = Level(keys[order], np.concatenate((old.docs, new.docs))[order], np.arange(len(order)) * SPAN, np.append(both.ravel(), np.zeros(8, np.uint8)))
+            new = Level(keys[order], np.concatenate((old.docs, new.docs))[order], np.concatenate((old.at, new.at))[order])
         self.levels.append(new)
 
 
@@ -343,12 +348,12 @@ def resolve(batches):
         by_id = np.argsort(ids[owner], kind="stable")
         owner, start, count, base = owner[by_id], start[by_id], count[by_id], base[by_id]
         batch = np.cumsum(count) // BATCH_STRINGS
-        family, found = Family(), []
+        family, found = Family(data), []
         for part in np.split(np.arange(len(count)), np.flatnonzero(np.diff(batch)) + 1):
             n = count[part]
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             who = np.repeat(owner[part], n)
-            hit = family.add(data, np.repeat(base[part], n) + within, ids[who])
+            hit = family.add(np.repeat(base[part], n) + within, ids[who])
             found.append((who[hit], (np.repeat(start[part], n) + within)[hit]))
         who, pos = (np.concatenate(x) for x in zip(*found))
         if len(who):

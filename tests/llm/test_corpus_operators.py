@@ -137,12 +137,12 @@ def test_suffix_dedup_across_pieces(spark, monkeypatch):
 
 def test_index_family_levels():
     rng = np.random.default_rng(8)
-    family, seen = suffix_dedup.Family(), {}
+    data = np.concatenate([np.random.default_rng(s).integers(0, 255, 50).astype(np.uint8) for s in range(400)] * 3 + [np.zeros(8, np.uint8)])
+    family, seen = suffix_dedup.Family(data), {}
     for batch in range(20):
         strings = rng.integers(0, 400, 60)
-        data = np.concatenate([np.random.default_rng(int(s)).integers(0, 255, 50).astype(np.uint8) for s in strings] + [np.zeros(8, np.uint8)])
         docs = np.sort(rng.integers(batch * 10, batch * 10 + 10, 60))
-        got = family.add(data, np.arange(60) * 50, docs)
+        got = family.add((strings + 400 * rng.integers(0, 3, 60)) * 50, docs)
         for s, d in zip(strings.tolist(), docs.tolist()):
             seen[s] = min(seen.get(s, d), d)
         assert got.tolist() == [seen[s] < d for s, d in zip(strings.tolist(), docs.tolist())]
