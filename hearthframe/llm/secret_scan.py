@@ -96,7 +96,7 @@ def battery(s: str) -> tuple[str, float] | None:
     mean = sum(codes) / n
     spread = sum((c - mean) ** 2 for c in codes)
     serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread if spread else 1.0
-    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < 5e-3:
+    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < 1e-3:
         return None
     extra = n * (size * POWERS[alphabet] - 1)
     p_chi = normal_tail(-(chi - df - extra) / math.sqrt(2 * (df + 2 * extra)))
