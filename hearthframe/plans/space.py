@@ -244,3 +244,52 @@ def zone_connectivity(spark, d):
     return zones.connectivity(z.select("p_partkey", "zones"), "zones").select("p_partkey", "n_groups")
 
 
+
+
+# Shades and windows: buildings in a row, each with the next one as neighbour, 8 m apart.
+
+
+def row_of_buildings(spark, d):
+    from ..operators import shading
+
+    f = footprints(spark, d).filter("p_partkey < 300")
+    moved = f.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("other"), g.shift(F.col("ring"), F.lit(-60.0), F.lit(0.0)).alias("r"))
+    return shading.gather_neighbours(f.select("p_partkey", "w", "ring"), moved, "p_partkey", "r", "other")
+
+
+@query("shading_edges", f"WITH {FOOT} SELECT n.p_partkey - 1 AS p_partkey, count(*) AS n FROM f n, (SELECT unnest(range(0, 6)) AS edge) WHERE n.p_partkey BETWEEN 1 AND 299 AND edge = CASE WHEN n.ell THEN 5 ELSE 3 END GROUP BY 1")
+def shading_edges(spark, d):
+    from ..operators import shading
+
+    out = shading.shading_edges(row_of_buildings(spark, d), "p_partkey", "ring")
+    left = out.filter(F.abs(F.col("e.x1") - 60) + F.abs(F.col("e.x2") - 60) < 1e-9)  # the walls that look back
+    return left.groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("window_candidates")
+def window_candidates(spark, d):
+    from ..operators import shading
+
+    c = shading.window_candidates(row_of_buildings(spark, d), "p_partkey", "ring")
+    return shading.select_windows(c, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n_windows"), F.round(F.sum("length"), 4).alias("length"))
+
+
+@query("visible_edges")
+def visible_edges(spark, d):
+    from ..operators import shading
+
+    b = row_of_buildings(spark, d)
+    edges = shading.shading_edges(b, "p_partkey", "ring").groupBy("p_partkey").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    lines = shading.rays(edges.join(b.select("p_partkey", "ring"), "p_partkey"), "edges", "ring", 5.0)
+    return shading.visible_edges(lines, b.select("p_partkey", F.col("neighbours").alias("masks")), "p_partkey", ["edge"]).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query(
+    "footprint_filter",
+    f"WITH {FOOT} SELECT p_partkey, round(CASE WHEN ell THEN w * h * 0.75 ELSE w * h END, 6) AS area FROM f WHERE CASE WHEN ell THEN w * h * 0.75 ELSE w * h END BETWEEN 100 AND 300",
+)
+def footprint_filter(spark, d):
+    from ..operators import shading
+
+    f = footprints(spark, d).select("p_partkey", F.array(F.struct(F.col("ring").alias("exterior"), F.array().cast(f"array<{g.RING}>").alias("holes"))).alias("polygons"))
+    return shading.filter_footprints(f, "p_partkey", "polygons", ["p_partkey"], {"least": 100.0, "most": 300.0}).select("p_partkey", F.round("area", 6).alias("area"))

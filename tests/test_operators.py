@@ -203,3 +203,39 @@ def test_streaming(spark, tmp_path):
     one = spark.createDataFrame([(1, "failed"), (2, "ok")], "g int, status string")
     write(one, 0), write(spark.createDataFrame([(1, "success")], "g int, status string"), 1)
     assert rows(spark.read.parquet(str(tmp_path / "log" / "v=1"))) == [(1, "success"), (2, "ok")]
+
+
+def ring_of(points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+def test_shading(spark):
+    from hearthframe.functions import geometry as g
+    from hearthframe.operators import shading
+
+    far = [(28, 0), (38, 0), (38, 10), (28, 10)]
+    b = spark.createDataFrame([(1, ring_of(RECT)), (2, ring_of(RECT))], f"k int, ring {g.RING}")
+    n = spark.createDataFrame([(1, 7, ring_of(far))], f"k int, other int, r {g.RING}")
+    rows_ = shading.gather_neighbours(b, n, "k", "r", "other")
+    edges = shading.shading_edges(rows_, "k", "ring").collect()
+    back = [e for e in edges if e.e.x1 == e.e.x2 == 28]
+    assert len(back) == 1 and back[0].distance == pytest.approx(8) and back[0].facing_score > 0.9
+    assert not any(e.e.x1 == e.e.x2 == 38 for e in edges)
+    sight = spark.createDataFrame([(1, [tuple(map(float, (0, 28, 0, 28, 10, 10)))], ring_of(RECT))], "k int, edges array<struct<edge:int,x1:double,y1:double,x2:double,y2:double,length:double>>, ring array<struct<x:double,y:double>>".replace("edge:int", "edge:double"))
+    lines = shading.rays(sight, "edges", "ring", 5.0)
+    assert lines.count() == 3 and all(r.x2 == pytest.approx(20) for r in lines.collect())
+    wall = [[(22, -5), (24, -5), (24, 30), (22, 30)]]
+    mask = lambda m: spark.createDataFrame([(1, [ring_of(r) for r in m])], f"k int, masks array<{g.RING}>")
+    assert shading.visible_edges(lines, mask(wall), "k", ["edge"]).count() == 0
+    assert shading.visible_edges(lines, mask([]), "k", ["edge"]).count() == 1
+    touching = shading.gather_neighbours(b.filter("k = 1"), spark.createDataFrame([(1, 7, ring_of([(20, 0), (30, 0), (30, 10), (20, 10)]))], f"k int, other int, r {g.RING}"), "k", "r", "other")
+    touch = {r.edge: r.touch for r in shading.window_candidates(touching, "k", "ring").collect()}
+    assert touch[1] == "partial_clear" and touch[3] == "none" and touch[0] == "corner_only"
+    assert {r.edge for r in shading.select_windows(shading.window_candidates(touching, "k", "ring"), "k", 1.0).collect()} == {0, 2, 3}
+    e = lambda x1, y1, x2, y2: {"edge": 0, "x1": float(x1), "y1": float(y1), "x2": float(x2), "y2": float(y2), "length": float(abs(x2 - x1) + abs(y2 - y1))}
+    walls = spark.createDataFrame([(1, e(0, 0, 10, 0)), (1, e(0, 5, 10, 5)), (2, e(0, 0, 10, 0))], f"k int, e {shading.EDGE}")
+    windows = spark.createDataFrame([(1, e(2, 0.05, 6, 0.05))], f"k int, e {shading.EDGE}")
+    assert [(r.k, r.e.y1) for r in shading.walls_of_windows(windows, walls, "k").collect()] == [(1, 0.0)]
+    runs = spark.createDataFrame([([True, False, True, True],), ([True] * 3,), ([False] * 3,), ([True, False, True, False],)], "t array<boolean>").select(shading.contact_runs(F.col("t")))
+    assert [r[0] for r in runs.collect()] == [1, 1, 0, 2]
+    assert spark.range(1).select(shading.decomposition_input(F.array(), F.array(F.lit(1)), F.lit(1))).first()[0] == "perimeter"
