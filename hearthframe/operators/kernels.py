@@ -24,9 +24,7 @@ def area(ring: Ring) -> float:
     """Signed; positive is counter-clockwise."""
     if len(ring) < 3:
         return 0.0
-    p = np.asarray(ring)
-    q = np.roll(p, -1, axis=0)
-    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+    return sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) / 2
 
 
 def length(ring: Ring) -> float:
@@ -77,18 +75,18 @@ def compact(ring: Ring) -> float:
 
 def clean(ring: Ring, shortest: float = 0.01, straight_deg: float = 1.0) -> Ring:
     """Without edges under ``shortest`` and vertices within ``straight_deg`` of a straight line; three vertices always stay."""
-    out = list(ring)
-    changed = True
-    while changed and len(out) > 3:
-        changed = False
-        for k in range(len(out)):
-            a, b, c = out[k - 1], out[k], out[(k + 1) % len(out)]
-            close = math.dist(a, b) < shortest
-            turn = abs(math.degrees(math.atan2(cross(a, b, c), (b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]))))
-            if close or turn < straight_deg:
-                del out[k]
-                changed = True
-                break
+    out, k, kept = list(ring), 0, 0  # kept: vertices in a row that stayed
+    sine = math.sin(math.radians(straight_deg))
+    while len(out) > 3 and kept < len(out):
+        k %= len(out)
+        a, b, c = out[k - 1], out[k], out[(k + 1) % len(out)]
+        first, second = math.dist(a, b), math.dist(b, c)
+        ahead = (b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) > 0
+        if first < shortest or (ahead and abs(cross(a, b, c)) < sine * first * second):
+            del out[k]
+            k, kept = max(k - 1, 0), 0
+        else:
+            k, kept = k + 1, kept + 1
     return out
 
 

@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_m, parallel_difference
+from ..session import checkpoint_ready
 
-#: Most rows of the small side that a nearest join compares with everything.
-NEAREST_BROADCAST = 50_000
+#: Most rows of the small side that a nearest join compares with every row.
+NEAREST_BROADCAST = 2_000
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, lat: str, lon: str, right_key: str, right_lat: str, right_lon: str, cell_deg: float = 1.0) -> DataFrame:
     """(left columns, right_key, distance_m): the nearest right row by great circle, ties to the smaller key.
 
-    A counted small right side (station catalogues) is broadcast. Beyond that, rows meet in a
-    latitude-longitude grid over ever larger rings until each has a proven nearest.
+    A counted small right side (station catalogues) travels as one array in one row, so the left
+    side is only projected: no shuffle, no pairs. Beyond ``NEAREST_BROADCAST`` rows, both meet in
+    a latitude-longitude grid over ever larger rings until each row has a proven nearest.
     """
-    small = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
-    d = haversine_m(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
-    r = small.select(F.col(right_key).alias("__key"), F.col(right_lat).alias("__lat"), F.col(right_lon).alias("__lon"))
-    best = F.min(F.struct(d.alias("d"), F.col("__key").alias("k"))).alias("m")
+    r = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).select(F.col(right_key).alias("__key"), F.col(right_lat).alias("__lat"), F.col(right_lon).alias("__lon"))
     if r.limit(NEAREST_BROADCAST + 1).count() <= NEAREST_BROADCAST:
-        found = left.join(F.broadcast(r), F.lit(True), "left").groupBy(*left.columns).agg(best)
-        return found.select(*left.columns, F.col("m.k").alias(right_key), F.when(F.col("m.k").isNotNull(), F.col("m.d")).alias("distance_m"))
+        one = r.agg(F.collect_list(F.struct("__key", "__lat", "__lon")).alias("__all"))
+        each = F.transform("__all", lambda s: F.struct(haversine_m(F.col(lat), F.col(lon), s["__lat"], s["__lon"]).alias("d"), s["__key"].alias("k")))
+        found = left.join(F.broadcast(one), F.lit(True)).withColumn("__m", F.array_min(F.filter(each, lambda x: x["d"].isNotNull())))
+        return found.select(*left.columns, F.col("__m.k").alias(right_key), F.col("__m.d").alias("distance_m"))
+    d = haversine_m(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
     return _nearest_grid(left, r, lat, lon, right_key, d, cell_deg)
 
 
 def _nearest_grid(left, r, lat, lon, right_key, d, cell_deg) -> DataFrame:
-    """Rings of grid cells, doubled until the best distance is inside the ring's sure radius."""
-    todo, done, reach, spark = left, None, 1, left.sparkSession
+    """Rings of grid cells, doubled until the best distance is inside the ring's sure radius.
+
+    The least distances of a ring are combined before the shuffle; rounds are checkpointed.
+    """
+    checkpoint_ready(left.sparkSession)
+    todo, done, reach = left, None, 1
     cell = lambda x: F.floor(x / cell_deg).cast("int")
     columns_around = int(360 / cell_deg)
     while True:
@@ -67,13 +73,19 @@ def within_radius(df: DataFrame, key: str, x: str, y: str, radius: float, groups
 
 
 def match_or_nearest(left: DataFrame, right: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Rows joined by id; those without a partner take the nearest right row of their cell ring (ties: smaller id)."""
+    """Rows joined by id; those without a partner take the nearest right row (ties: smaller id).
+
+    The right side is one city's sample and must have at most ``NEAREST_BROADCAST`` rows.
+    """
+    if right.limit(NEAREST_BROADCAST + 1).count() > NEAREST_BROADCAST:
+        raise ValueError(f"match_or_nearest takes at most {NEAREST_BROADCAST} candidates")
     r = right.select(F.col(key).alias("matched"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     by_id = left.join(r, left[key] == r["matched"], "left_semi").withColumn("matched", F.col(key)).withColumn("how", F.lit("id"))
     rest = left.join(r, left[key] == r["matched"], "left_anti")
-    d = F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))
-    near = rest.join(F.broadcast(r) if r.limit(NEAREST_BROADCAST + 1).count() <= NEAREST_BROADCAST else r, F.lit(True)).groupBy(*left.columns).agg(F.min(F.struct(d.alias("d"), F.col("matched").alias("k"))).alias("m"))
-    return by_id.unionByName(near.select(*left.columns, F.col("m.k").alias("matched"), F.lit("nearest").alias("how")))
+    one = r.agg(F.collect_list(F.struct("matched", "__x", "__y")).alias("__all"))  # a city's few candidates
+    each = F.transform("__all", lambda s: F.struct(F.hypot(F.col(x) - s["__x"], F.col(y) - s["__y"]).alias("d"), s["matched"].alias("k")))
+    near = rest.join(F.broadcast(one), F.lit(True)).withColumn("__m", F.array_min(each))
+    return by_id.unionByName(near.select(*left.columns, F.col("__m.k").alias("matched"), F.lit("nearest").alias("how")))
 
 
 def sample_raster(points: DataFrame, x: str, y: str, pixels: DataFrame, x0: float, y0: float, size: float, nodata: float | None, out: str, required: bool) -> DataFrame:

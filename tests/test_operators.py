@@ -118,11 +118,9 @@ def test_spatial(spark, monkeypatch):
     args = (cities, stations, "c", "lat", "lon", "s", "slat", "slon")
     want = rows(spatial.nearest(*args).select("c", "s"))
     assert want[0][1] in (10, 11) and want[1] == (2, 12)
-    from hearthframe.session import checkpoint_ready
-
-    checkpoint_ready(spark)
-    monkeypatch.setattr(spatial, "NEAREST_BROADCAST", 0)
-    assert rows(spatial.nearest(*args, cell_deg=10.0).select("c", "s")) == want
+    with monkeypatch.context() as m:
+        m.setattr(spatial, "NEAREST_BROADCAST", 0)
+        assert rows(spatial.nearest(*args, cell_deg=10.0).select("c", "s")) == want
     px = spark.createDataFrame([(0, 0, 1.0), (0, 1, -9.0)], "row int, col int, value double")
     pt = spark.createDataFrame([(1, 0.5, 9.5), (2, 1.5, 9.5), (3, 50.0, 9.5)], "k int, x double, y double")
     assert rows(spatial.sample_raster(pt, "x", "y", px, 0.0, 10.0, 1.0, -9.0, "v", True).select("k", "v")) == [(1, 1.0)]
