@@ -45,3 +45,25 @@ def export_reasons(zones: Column, windows_: Column, valid: Column, most_zones: i
     """Why a model is removed, in order; empty for a good one."""
     rules = [(~valid, "validation_failed"), (zones < 1, "no_zones"), (zones > most_zones, f"zones_above_{most_zones}"), (windows_ < least_windows, "no_windows")]
     return F.array_distinct(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules])))
+
+
+def energy_properties(room: DataFrame, constants: dict[str, float | str]) -> DataFrame:
+    """Rooms with constant properties (set points, loads, schedules) as columns."""
+    return room.withColumns({name: F.lit(value) for name, value in constants.items()})
+
+
+#: What a construction set must name for each kind of face.
+FACE_SETS = {"wall_set": ("exterior_construction",), "roof_ceiling_set": ("exterior_construction",), "floor_set": ("ground_construction",), "aperture_set": ("window_construction",)}
+
+
+def construction_set_issues(sets: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, issues) of construction sets in JSON: not parsed, or a face set without its construction; good ones are not listed."""
+    at = lambda part, name: F.get_json_object(F.col(text), f"$.{part}.{name}")
+    bad = [F.when(F.get_json_object(F.col(text), "$").isNull(), F.lit("not_json"))]
+    bad += [F.when(F.get_json_object(F.col(text), "$").isNotNull() & at(p, n).isNull(), F.lit(f"missing_{p}")) for p, names in FACE_SETS.items() for n in names]
+    return sets.select(key, F.array_compact(F.array(*bad)).alias("issues")).filter(F.size("issues") > 0)
+
+
+def split_valid(models: DataFrame, reasons: str) -> tuple[DataFrame, DataFrame]:
+    """(models without removal reasons, index of the others with reasons joined)."""
+    return models.filter(F.size(reasons) == 0), models.filter(F.size(reasons) > 0).withColumn(reasons, F.array_join(reasons, "; "))

@@ -68,3 +68,34 @@ def stale(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def run_status(finished, has_output, failed) -> F.Column:
     """Status of a run: exception, failed_job, failed_no_sql or success."""
     return F.when(failed.isNotNull(), "exception").when(~finished, "failed_job").when(~has_output, "failed_no_sql").otherwise("success")
+
+
+def select_more(chosen: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """A review selection (key, place) with new keys added behind, each once; keys it has keep their place."""
+    fresh = keep_one(new.select(key, "place"), [key], ["place"]).join(chosen.select(key), key, "left_anti")
+    end = chosen.agg(F.coalesce(F.max("place"), F.lit(0)).alias("__end"))
+    return chosen.select(key, "place").unionByName(fresh.crossJoin(F.broadcast(end)).select(key, (F.col("place") + F.col("__end")).alias("place")))
+
+
+def select_less(chosen: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return chosen.join(gone.select(key), key, "left_anti")
+
+
+def concat(frames: list[DataFrame], schema, spark) -> DataFrame:
+    """All rows of frames of one schema; a typed empty table where there are none."""
+    out = spark.createDataFrame([], schema)
+    for f in frames:
+        out = out.unionByName(f)
+    return out
+
+
+def conversion_status(model_read, weather_found, translated, n_objects, has_errors) -> F.Column:
+    """Status of a model's conversion: the first step that failed, else ok or ok_with_warnings."""
+    return (
+        F.when(~model_read, "model_unreadable")
+        .when(~weather_found, "weather_missing")
+        .when(~translated, "translation_failed")
+        .when(F.coalesce(n_objects, F.lit(0)) == 0, "empty_model")
+        .when(has_errors, "ok_with_warnings")
+        .otherwise("ok")
+    )

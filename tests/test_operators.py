@@ -237,3 +237,28 @@ def test_shading(spark):
     runs = spark.createDataFrame([([True, False, True, True],), ([True] * 3,), ([False] * 3,), ([True, False, True, False],)], "t array<boolean>").select(shading.contact_runs(F.col("t")))
     assert [r[0] for r in runs.collect()] == [1, 1, 0, 2]
     assert spark.range(1).select(shading.decomposition_input(F.array(), F.array(F.lit(1)), F.lit(1))).first()[0] == "perimeter"
+
+
+def test_weather_models_and_reviews(spark):
+    from hearthframe.operators import weather
+
+    cat = spark.createDataFrame([("A", "1", "2", "http://h/a.2007-2021.zip"), ("A", "1", "2", "http://h/a.zip"), ("B", "x", "2", "http://h/b.zip"), ("C", "1", "1", " ")], "n string, la string, lo string, u string")
+    assert rows(weather.stations(cat, "n", "la", "lo", "u")) == [("A", 1.0, 2.0, "http://h/a.zip")]
+    assert weather.bad_links(spark.createDataFrame([("x.zip",), ("x.ZIP ",), ("x.html",), (None,)], "u string"), "u").count() == 2
+    archives = spark.createDataFrame([("d/a.zip", ["a.epw", "b.epw", "a.ddy"]), ("d/b.zip", ["x.epw", "y.epw", "y.ddy"])], "path string, names array<string>")
+    good, bad = weather.preflight(archives, spark.createDataFrame([("d/a.zip",), ("d/b.zip",), ("d/c.zip",)], "path string"))
+    assert rows(good) == [("d/a.zip", "a.epw", "a.ddy")]
+    assert rows(bad) == [("d/b.zip", "no_single_epw"), ("d/c.zip", "archive_missing")]
+    assert weather.city_files(spark.createDataFrame([("x", "d/a.zip"), ("y", "d/a.zip")], "city string, path string"), good).count() == 2
+    whole = json.dumps({p: {n: "c" for n in ns} for p, ns in assembly.FACE_SETS.items()})
+    sets = spark.createDataFrame([("ok", whole), ("no", "{"), ("part", json.dumps({"wall_set": {"exterior_construction": "c"}}))], "k string, t string")
+    assert {r.k: len(r.issues) for r in assembly.construction_set_issues(sets, "k", "t").collect()} == {"no": 1, "part": 3}
+    chosen = spark.createDataFrame([("a", 1), ("b", 2)], "k string, place int")
+    new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3)], "k string, place int")
+    assert rows(incremental.select_more(chosen, new, "k")) == [("a", 1), ("b", 2), ("c", 4)]
+    assert rows(incremental.select_less(chosen, new, "k")) == [("a", 1)]
+    assert incremental.concat([], "k int", spark).count() == 0 and incremental.concat([chosen, new], chosen.schema, spark).count() == 5
+    status = spark.range(1).select(incremental.conversion_status(F.lit(True), F.lit(True), F.lit(True), F.lit(3), F.lit(False))).first()[0]
+    assert status == "ok"
+    one = assembly.energy_properties(spark.range(1), {"heating_setpoint": 20.0}).first()
+    assert one.heating_setpoint == 20.0
