@@ -33,7 +33,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates the document of the smallest id stays; of rows with that id, one.
+
+    Documents without an id go where their group has one with an id; otherwise one of them stays.
+    """
     heads = simhash.group(docs).select(F.col("component_id").alias("head")).distinct()
     kept = docs.select(*COLUMNS).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
