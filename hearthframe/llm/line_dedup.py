@@ -21,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
 from .frames import column
 
 RATIO, MIN_PAGES = 0.08, 20
+BROADCAST_LINES = 250_000
 
 
 def _hashes(line):
@@ -48,7 +50,11 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, id_col: str, ratio:
 
 def drop_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All rows and columns of ``df``, texts without their host's boilerplate, and ``n_lines``, ``n_dropped`` (long)."""
-    drops = boilerplate(df, host_col, text_col, id_col, ratio, min_pages)
+    checkpoint_ready(df.sparkSession)
+    drops = boilerplate(df, host_col, text_col, id_col, ratio, min_pages).checkpoint()
+    entries = drops.agg(F.coalesce(F.sum(F.size("__drop") + 1), F.lit(0))).first()[0]
+    if entries <= BROADCAST_LINES:
+        drops = F.broadcast(drops)
     host, text = column(host_col), column(text_col)
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     joined = df.join(drops, host.eqNullSafe(F.col("__h")), "left")

@@ -139,7 +139,7 @@ def test_battery_finds_random_strings_and_leaves_words():
         assert t is None or t[1] > 1e-3, word
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     head, texts = "Menu line", []
     for k in range(40):
         texts.append(f"{head} \nown {k}\n\nlast {k % 30}" if k % 2 == 0 else f"own {k}")
@@ -150,6 +150,9 @@ def test_line_dedup(spark):
     assert out[1].text == "own 1" and out[40].text is None and out[41].text == ""
     assert out[42].text == "" and len(out) == len(texts)
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    shuffled = {r.doc_id: r for r in line_dedup.drop_lines(df, ratio=0.5, min_pages=10).collect()}
+    assert shuffled == out
 
 
 def test_urls(spark):
