@@ -29,7 +29,7 @@ from .fm_index import FMIndex
 from .frames import LOWER, blocks, column, runs_of, text_pass, utf8_view, word_keys
 
 WINDOW = 13
-BENCH_BLOCK = 16 << 20
+BENCH_BLOCK = 1 << 20
 SHARD_BYTES = 4 << 20
 #: Bytes of words: digits, letters (upper case is lowered first) and all of non-ASCII.
 WORD = np.zeros(256, bool)
