@@ -41,11 +41,12 @@ WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu
     breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription
     signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond form search
-    pagination pager toolbar widget skip""".split()
+    pagination pager toolbar topbar widget skip side""".split()
 )
 #: Elements that hold one block and so contain no article.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr ul ol dl".split()) | INLINE
 NEVER = frozenset("html body article main".split())
+MODIFIERS = frozenset("no not without with has is".split())
 OWN = frozenset("article post entry content main story".split())
 MARKS = re.compile(r"[.,;:!?…。，！？،؟]")
 KERNEL = np.array([0.25, 0.5, 0.25])
@@ -64,19 +65,23 @@ def left_out(tag: str, attrs: str, up: Node) -> bool:
     if not attrs or tag in NEVER:
         return False
     for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value in ROLES:
+        if name == "role" and value.lower() in ROLES:
+            return True
+        if name in ("class", "id") and any(map(names_clutter, value.split())):
             return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            found = words & WORDS
-            if found and not (found == {"header"} and words & OWN):
-                return True
     return False
 
 
+def names_clutter(name: str) -> bool:
+    """Whether one class or id names something that is never content; ``no-sidebar`` and the like do not."""
+    words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()))
+    found = words & WORDS
+    return bool(found) and not words & MODIFIERS and not (found == {"header"} and words & OWN)
+
+
 def text_blocks(page: str) -> list[tuple[Node, str]]:
     """(element, text) of the blocks that are not left out, in page order."""
     root = Node("", None, False, False)

@@ -208,6 +208,8 @@ def test_html(spark):
         (PAGE % f"<article><h1>Head &amp; line</h1><p>{long}<p>Short<br>bit <b>bold</b>er.<form>f</form><div class='ad'>Buy, buy.</div></article>", f"Head & line {long.strip()} Short bit bolder."),
         (PAGE % f"<div><div class='story'><h2>H</h2><p>{long}</p><ul><li>One, two.<li>Three.</ul></div><div class='comments'><p>{long}</p></div></div>", f"H {long.strip()} One, two. Three."),
         (PAGE % f"<main><p>{long}</p><!-- <p>no</p> --><p>1 < 2 &nbsp; 3</p></main>", f"{long.strip()} 1 < 2 3"),
+        (PAGE % f"<div class='wrap no-sidebar'><div class='postBody'><p>{long}</p></div><div id='leftSidebar'><p>{long}</p></div></div>", long.strip()),
+        (PAGE % f"<article><header class='post-header'><h1>T</h1></header><p>{long}</p><section id='user-comments'><article><p>{long}</p></article></section></article>", f"T {long.strip()}"),
     ]
     df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(cases)], "page_id bigint, html string").withColumn("text", F.lit("clash"))
     out = {r.page_id: r for r in html_extract.extract(df).collect()}
