@@ -196,7 +196,7 @@ def connected_groups(spark, d):
     "edge_matching",
     """WITH e AS (SELECT c_custkey AS edge, c_nationkey AS k, (c_custkey * 7 % 180) * 1.0 AS ea, (c_custkey * 3 % 50) / 10.0 AS er FROM customer), l AS (SELECT s_suppkey AS line, s_nationkey AS k, (s_suppkey * 11 % 180) * 1.0 AS la, (s_suppkey % 50) / 10.0 AS lr FROM supplier),
     x AS (SELECT edge, line, least((ea - la + 180) % 180, 180 - (ea - la + 180) % 180) AS da, abs(er - lr) AS dr FROM e JOIN l USING (k)), m AS (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY da, dr, line) AS r FROM x WHERE da <= 10 AND dr <= 2.0)
-    SELECT edge, line, round(da, 6) AS angle, round(dr, 6) AS "offset" FROM m WHERE r = 1""",
+    SELECT edge, line, CAST(round(da, 6) AS DOUBLE) AS angle, CAST(round(dr, 6) AS DOUBLE) AS "offset" FROM m WHERE r = 1""",
 )
 def edge_matching(spark, d):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
