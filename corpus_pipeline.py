@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, documents stay; ``n_chars`` follows the text."""
-    return line_dedup.drop_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Boilerplate lines go, documents stay; ``n_chars`` follows the text. Copies of a page are near-dedup's, not boilerplate."""
+    return line_dedup.drop_lines(docs.select(*COLUMNS), per_text=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

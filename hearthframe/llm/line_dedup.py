@@ -32,12 +32,16 @@ def _hashes(line):
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def boilerplate(df: DataFrame, host_col: str, text_col: str, id_col: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(df: DataFrame, host_col: str, text_col: str, id_col: str, ratio: float, min_pages: int, per_text: bool = False) -> DataFrame:
     """(``__h``, ``__drop``): per host the hashes of its boilerplate lines."""
     pages = df.select(column(host_col).alias("__h"), column(id_col).alias("__id"), column(text_col).alias("__t"))
+    holder = F.col("__id")
+    if per_text:
+        holder = _hashes(F.col("__t"))
+        pages = pages.withColumn("__id", F.struct("__id", holder))
     totals = pages.groupBy("__h", "__id").agg(F.lit(1).alias("__one")).groupBy(F.col("__h").alias("__site")).agg(F.count("*").alias("__pages"))
     lines = F.transform(F.filter(F.split("__t", "\n", -1), lambda x: F.trim(x) != ""), lambda x: _hashes(F.trim(x)))
-    held = pages.select("__h", "__id", F.explode(lines).alias("__line")).groupBy("__h", "__line", "__id").agg(F.lit(1).alias("__one")).groupBy("__h", "__line").agg(F.count("*").alias("__n"))
+    held = pages.select("__h", holder.alias("__id"), F.explode(lines).alias("__line")).groupBy("__h", "__line", "__id").agg(F.lit(1).alias("__one")).groupBy("__h", "__line").agg(F.count("*").alias("__n"))
     # a line below the least count that any counted host could need leaves before the join
     held = held.filter(F.col("__n") > ratio * min_pages)
     return (
@@ -48,10 +52,13 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, id_col: str, ratio:
     )
 
 
-def drop_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All rows and columns of ``df``, texts without their host's boilerplate, and ``n_lines``, ``n_dropped`` (long)."""
+def drop_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, per_text: bool = False) -> DataFrame:
+    """All rows and columns of ``df``, texts without their host's boilerplate, and ``n_lines``, ``n_dropped`` (long).
+
+    ``per_text``: pages of one text hold a line once, so copies of a page are no evidence; the host's pages still count all of them.
+    """
     checkpoint_ready(df.sparkSession)
-    drops = boilerplate(df, host_col, text_col, id_col, ratio, min_pages).checkpoint()
+    drops = boilerplate(df, host_col, text_col, id_col, ratio, min_pages, per_text).checkpoint()
     entries = drops.agg(F.coalesce(F.sum(F.size("__drop") + 1), F.lit(0))).first()[0]
     if entries <= BROADCAST_LINES:
         drops = F.broadcast(drops)
