@@ -33,13 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows with that id, one.
+    """Of each group of near-duplicates one row stays: of the smallest id, and of texts with that id the least by hash.
 
     Documents without an id go where their group has one with an id; otherwise one of them stays.
     """
-    heads = simhash.group(docs).select(F.col("component_id").alias("head")).distinct()
-    kept = docs.select(*COLUMNS).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = ["text_a", "text_b"]
+    heads = simhash.heads(docs).select(F.col("doc_id").alias("head"), *[F.col(c).alias(f"head_{c}") for c in key])
+    rows = docs.select(*COLUMNS, *simhash.text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("head"))
+    for c in key:
+        same &= F.col(c) == F.col(f"head_{c}")
+    return rows.join(heads, same, "left_semi").dropDuplicates(["doc_id", *key]).drop(*key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,15 +259,36 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
+def rooted_classes(rows: DataFrame, least) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint: the minimum of ``least`` over its rows, and its component's root."""
+    classes = rows.groupBy("fp").agg(F.min(least).alias("least")).checkpoint()
+    roots = components(links(classes.select("fp")))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def text_key(text) -> list:
+    """Two 64-bit hashes that stand for a text in keys."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(text, F.lit(1)).alias("text_b")]
+
+
+def heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_a, text_b) of one row of every component: the least id, null last, then the least ``text_key``."""
+    from ..session import checkpoint_ready
+
+    checkpoint_ready(docs.sparkSession)
+    text = column(text_col)
+    rows = fingerprints(docs.select(column(id_col).alias("doc_id"), text.alias("text"), *text_key(text)), "text", ["doc_id", "text_a", "text_b"]).checkpoint()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    return rooted_classes(rows, order).groupBy("root").agg(F.min("least").alias("h")).select("h.doc_id", "h.text_a", "h.text_b")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     from ..session import checkpoint_ready
 
     checkpoint_ready(docs.sparkSession)
     rows = fingerprints(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "text", ["doc_id"]).checkpoint()
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = rooted_classes(rows, F.col("doc_id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

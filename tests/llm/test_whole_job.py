@@ -13,3 +13,14 @@ def test_lines_of_exact_copies_stay(spark):
     # copies count as pages of the host: a line of one page in 24 stays
     rows = [(k, "same text" if k < 23 else "shared\nelse", "en", "s", 1) for k in range(24)]
     assert {r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()} == {"same text", "shared\nelse"}
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(None, one), (None, two), (None, two), (7, one), (8, three), (8, two), (9, three), (8, three), (11, None), (12, "")]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, one), (8, two), (8, three), (11, None)]
+    rows = [(None, t, "en", "s", 1) for t in (one, two, two, three)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.text for r in kept.collect()) == [one, two, three]
