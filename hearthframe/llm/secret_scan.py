@@ -1,8 +1,9 @@
 """Secret scan: fixed forms, and a battery of randomness tests under false-discovery control.
 
 Fixed forms (assignments, access keys, long hex) are always reported. The battery looks at
-runs of 20 and more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit and a letter. It
-infers the run's encoding (hex, base32, base36, base64) and computes three tests:
+runs of 20 and more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit and a letter. Runs are
+cut at inner ``=``; what then mixes ``+/`` with ``-_`` is cut at either pair of marks, and of
+overlapping parts the least p-value stays. It infers the run's encoding (hex, base32, base36, base64) and computes three tests:
 
 * chi-squared uniformity over the encoding's alphabet. Under the null "this is natural text"
   the statistic is a non-central one whose mean and variance follow from fixed letter
@@ -108,6 +109,32 @@ def battery(s: str) -> tuple[str, float] | None:
     return name, min(1.0, math.exp(-t / 2) * (1 + t / 2))
 
 
+def fits(body: str) -> bool:
+    return any(not set(body) - set(alphabet) for _, alphabet in ALPHABETS)
+
+
+def candidates(run: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p-value) of the parts of a run that are no plain counters, in order."""
+
+    def judged(pattern: str, lo: int, hi: int):
+        for m in re.compile(pattern).finditer(run, lo, hi):
+            part = m[0]
+            if len(part) >= LEAST and any(c.isdigit() for c in part) and not part.isdigit() and (told := battery(part)) is not None:
+                yield (*m.span(), *told)
+
+    out = []
+    for m in re.finditer("[^=]+(?:=+$)?", run):
+        if fits(m[0].rstrip("=")):
+            out += judged(".+", *m.span())
+            continue
+        taken = []
+        for one in sorted([x for marks in ("[^-_]+", "[^+/]+") for x in judged(marks, *m.span())], key=lambda x: (x[3], x[0], -x[1])):
+            if all(one[1] <= a or one[0] >= b for a, b, *_ in taken):
+                taken.append(one)
+        out += sorted(taken)
+    return out
+
+
 def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Fixed forms, by start and then kind; ``hexes`` are their code point borders."""
     found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -160,9 +187,9 @@ def scan_block(data: np.ndarray, offsets: np.ndarray):
         base[r] = [{"start": s, "end": e, "kind": k} for s, e, k in base_spans(text, at((ha, hb), lo, hi))]
         lo, hi = np.searchsorted(trow, [r, r + 1])
         for s, e in at((ta, tb), lo, hi):
-            if (told := battery(text[s:e])) is not None:
-                rank = min(BINS - 1, int(-math.log10(max(told[1], 1e-300)) / BIN_WIDTH))
-                cands[r].append({"start": s, "end": e, "kind": told[0], "bin": rank, "stratum": max(k for k, v in enumerate(STRATA) if e - s >= v)})
+            for a, b, kind, p in candidates(text[s:e]):
+                rank = min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN_WIDTH))
+                cands[r].append({"start": s + a, "end": s + b, "kind": kind, "bin": rank, "stratum": max(k for k, v in enumerate(STRATA) if b - a >= v)})
     return base, cands
 
 

@@ -1,6 +1,9 @@
 """Cases in which operators once lost clean text or missed findings."""
 
+import numpy as np
+
 import corpus_pipeline
+from hearthframe.llm import secret_scan
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -24,3 +27,21 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(None, t, "en", "s", 1) for t in (one, two, two, three)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r.text for r in kept.collect()) == [one, two, three]
+
+
+def test_secrets_inside_longer_runs(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda k, n=44: "".join(rng.choice(list(secret_scan.ALPHABETS[k][1]), n))
+    texts, want = [], []
+    for k in range(60):
+        key = draw(4, 42) + "q7"  # the ends are no marks
+        url = "Z5" + draw(5, 40) + "_8"
+        for before, secret, after in (("AWS_SECRET_ACCESS_KEY=", key, ""), ("ENC_KEY=", key[:43], "="), ("/v1/my-own/", url, "/end"), ("my-own-name_", key, "-x")):
+            texts.append(f"see {before}{secret}{after} here")
+            want.append((4 + len(before), 4 + len(before) + len(secret)))
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r.found for r in secret_scan.scan(df).collect()}
+    hit = [any(s.start <= b and s.end >= a and min(s.end, b) - max(s.start, a) >= 20 for s in out[k]) for k, (a, b) in enumerate(want)]
+    for kind in range(4):
+        assert sum(hit[kind::4]) > 48, (kind, sum(hit[kind::4]))
+    assert not secret_scan.candidates("some_long-file/name-of_words=and/other_words-here")
