@@ -6,7 +6,7 @@ one plus marks), laid out in page order, smoothed by a Gaussian and thresholded
 standard deviation. The paths that pass name the content nodes. The content's container is
 the page's ``article`` or ``main`` elements if these hold at least half of the content nodes' text, else
 the lowest element, other than a single paragraph, heading or item, that holds nine tenths of it. All blocks inside the container make the text,
-short ones too.
+short ones too, and so do content nodes outside it; all in page order.
 
 Elements that are never content are left out before that: by tag, by role, or by a word of
 their class or id (fixed lists below).
@@ -198,7 +198,7 @@ def main_text(page: str | None) -> str:
                 node.chars += len(text)
                 node = node.up
     if 2 * in_body >= total:
-        return " ".join(text for node, text in blocks if node.body)
+        return " ".join(text for path, (node, text) in zip(paths, blocks) if node.body or path in chosen)
     container = None
     for path, (node, _) in zip(paths, blocks):
         if path in chosen:
@@ -217,7 +217,7 @@ def main_text(page: str | None) -> str:
             node = node.up
         return False
 
-    return " ".join(text for node, text in blocks if inside(node))
+    return " ".join(text for path, (node, text) in zip(paths, blocks) if path in chosen or inside(node))
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

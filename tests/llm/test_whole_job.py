@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from hearthframe.llm import secret_scan
+from hearthframe.llm import html_extract, secret_scan
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -45,3 +45,11 @@ def test_secrets_inside_longer_runs(spark):
     for kind in range(4):
         assert sum(hit[kind::4]) > 48, (kind, sum(hit[kind::4]))
     assert not secret_scan.candidates("some_long-file/name-of_words=and/other_words-here")
+
+
+def test_chosen_blocks_outside_the_container_stay():
+    long = "A first sentence, long enough; a second one, too. "
+    page = f"<body><div class='lead'><p>{long}</p></div><div class='body'><p>{long * 20}</p></div><footer>Foot, foot.</footer></body>"
+    assert html_extract.main_text(page) == (long * 21).strip()
+    page = f"<body><article><p>{long * 11}</p></article><div><p>{long * 9}</p></div></body>"
+    assert html_extract.main_text(page) == (long * 20).strip()
