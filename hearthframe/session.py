@@ -10,11 +10,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def build(app: str = "hearthframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tested under: UTC, ANSI and adaptive execution on."""
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -39,8 +40,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` usable: the folder of ``spark.checkpoint.dir``, or a new one where that is unset, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local master, as in tests, may do without the setting; it gets one folder a context."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints_", dir=os.environ.get("TMPDIR")))
+    told = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if told:
+        return told
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="checkpoints_", dir=os.environ.get("TMPDIR")))
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Makes ``checkpoint()`` usable."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
