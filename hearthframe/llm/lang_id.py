@@ -2,9 +2,10 @@
 
 Learning: byte trigrams (lower-cased ASCII) of labelled documents are counted for each
 language in ``GRAMS`` hashed bins, inside the executors; the driver receives at most languages times
-``GRAMS`` sums. ``SAMPLE`` bounds the labelled documents of each language: with more of them, each enters
-by a hash of its text at the rate SAMPLE / count. Only texts and languages of the learning
-side are read.
+``GRAMS`` sums. Every language is learned, from at most ``SAMPLE`` of its distinct texts: those of least
+hash. Copies of a text enter once, so no text outweighs the others and a language with any text
+has at least one. Only texts and languages of the learning side are read. The model takes 256 kB
+a language.
 
 Prediction: a text is cut in units of ``UNIT`` bytes. Each unit has a log-likelihood under
 every language; expectation-maximisation over the units gives the text's language
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -32,7 +33,6 @@ GRAMS = 1 << 16
 SAMPLE = 2000
 UNIT = 48
 ROUNDS, LEAST_SHARE, PENALTY = 12, 0.1, 2.0
-MOST_LANGUAGES = 400
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[0x61:0x7B] = True
 
@@ -50,13 +50,19 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by bin and language) from columns ``text`` and ``lang``."""
     ship(labelled.sparkSession)
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    keyed = labelled.select("lang", "text", F.xxhash64("text", F.lit(9)).alias("a"), F.xxhash64("text", F.lit(10)).alias("b"))
+    # a count of distinct texts within a few hundredths is enough to thin out before the exact choice
+    counts = {r[0]: r[1] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("a", 0.02)).collect()}
     if not counts:
         return [], np.zeros((GRAMS, 0), np.float32)
     langs = sorted(counts)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))])
-    chance = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) / 1_000_000.0
-    sample = labelled.filter(F.col("lang").isin(langs)).filter(chance < rate[F.col("lang")]).select("lang", "text")
+    thin = {k: n for k, n in counts.items() if n > 2 * SAMPLE}
+    if thin:
+        share = F.pmod("a", F.lit(1 << 30)) / float(1 << 30)
+        rate = F.try_element_at(F.create_map(*[F.lit(x) for k, n in thin.items() for x in (k, 2.0 * SAMPLE / n)]), F.col("lang"))
+        keyed = keyed.filter(share < F.coalesce(rate, F.lit(1.0)))
+    least = Window.partitionBy("lang").orderBy(F.pmod("a", F.lit(1 << 30)), "a", "b")
+    sample = keyed.groupBy("lang", "a", "b").agg(F.first("text").alias("text")).withColumn("r", F.row_number().over(least)).filter(F.col("r") <= SAMPLE).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -99,18 +105,10 @@ def infer(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     weight = np.ones(len(data), np.float32)  # trigrams across a text's end do not count
     for back in (1, 2):
         weight[np.maximum(offsets[1:] - back, 0)[np.diff(offsets) >= back]] = 0
+    weight[np.repeat(~lettered, np.diff(offsets))] = 0  # nor do rows without letters, which lie between units
     like = np.empty((len(at), n_langs))
-    stops = np.append(at, len(data))
     for lang in range(n_langs):
-        value = table[bins, lang] * weight
-        # rows without letters lie between units; their values are cut off by adding them to no unit
-        sums = np.add.reduceat(value, at, dtype=np.float64)
-        like[:, lang] = sums
-    gap = np.flatnonzero((stops[1:] - stops[:-1] > UNIT))
-    for u in gap.tolist():  # a unit before skipped rows, or the last one
-        row_end = offsets[np.searchsorted(offsets, at[u], side="right")]
-        part = slice(at[u], min(at[u] + UNIT, row_end))
-        like[u] = (table[bins[part]] * weight[part, None]).sum(axis=0)
+        like[:, lang] = np.add.reduceat(table[bins, lang] * weight, at, dtype=np.float64)
     top = like.max(axis=1, keepdims=True)
     odds = np.exp(like - top)
     each = np.repeat(np.arange(len(rows)), units)
