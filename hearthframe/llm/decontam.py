@@ -10,12 +10,14 @@ occurrences; overlapping occurrences merge into removal spans.
 A word is looked up by a 64-bit key of its bytes and then compared byte for byte, so equal
 keys of different words change nothing.
 
-The benchmark is read in blocks of at most ``BENCH_BLOCK`` bytes, each broadcast by itself,
-so neither the driver nor a worker holds more of it at once. No step shuffles documents.
+The benchmark is cut in blocks of about ``BENCH_BLOCK`` bytes (by hash of id and text). A worker
+loads one block, searches a shard for it, and lets it go before the next one. A pass over the
+documents broadcasts at most ``PASS_BLOCKS`` blocks; a larger benchmark takes several passes, each
+checkpointed and its broadcasts destroyed, so no node ever holds more of it. No step shuffles documents.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no
-window; repeated items count by ``item_id`` once; null ``item_id``s are ignored; repeated
-documents are judged alike; other columns pass through. Empty tables work.
+window; repeated items count by ``item_id`` once; an item without an id hits words and is no item of
+the list; repeated documents are judged alike; other columns pass through. Empty tables work.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
 from .fm_index import FMIndex
 from .frames import LOWER, blocks, column, runs_of, text_pass, utf8_view, word_keys
 
 WINDOW = 13
-BENCH_BLOCK = 1 << 20
+BENCH_BLOCK, PASS_BLOCKS = 1 << 20, 32
 SHARD_BYTES = 4 << 20
 #: Bytes of words: digits, letters (upper case is lowered first) and all of non-ASCII.
 WORD = np.zeros(256, bool)
@@ -47,7 +50,7 @@ class Patterns:
     """The windows of a block of items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        raw = [(str(i), (t or "").encode()) for i, t in items]
+        raw = [(i, (t or "").encode()) for i, t in items]
         offsets = np.cumsum([0, *[len(t) for _, t in raw]])
         data = np.frombuffer(b"".join(t for _, t in raw), np.uint8)
         padded, starts, ends = words_of(data, offsets)
@@ -57,7 +60,8 @@ class Patterns:
         number = {w: k + 2 for k, w in enumerate(self.words)}
         symbols = np.array([number[w] for w in spelled], np.int64)
         self.longest = max(map(len, self.words), default=0)
-        self.item_names = sorted({i for i, _ in raw})
+        self.item_names = sorted({i for i, _ in raw if i is not None})
+        self.item_names.append(None)  # the items without an id
         item_no = {i: k for k, i in enumerate(self.item_names)}
         borders = np.searchsorted(starts, offsets)
         found: dict[tuple, set[int]] = {}
@@ -162,8 +166,8 @@ def occurrences(p: Patterns, padded: np.ndarray, starts: np.ndarray, ends: np.nd
     return [np.concatenate(x) for x in zip(*out)] if out else none
 
 
-def shard(patterns: list[Patterns], data: np.ndarray, offsets: np.ndarray):
-    """(words, hit words, merged spans, items) of each row of a block."""
+def shard(patterns, data: np.ndarray, offsets: np.ndarray):
+    """(words, hit words, merged spans, items) of each row of a block; ``patterns`` yields one block of items after the other."""
     padded, starts, ends = words_of(data, offsets)
     borders = np.searchsorted(starts, offsets)
     n_rows = len(offsets) - 1
@@ -189,13 +193,13 @@ def shard(patterns: list[Patterns], data: np.ndarray, offsets: np.ndarray):
     for x, y in zip(a.tolist(), b.tolist()):
         d = int(doc[x])
         spans[d].append({"first": x - int(borders[d]), "last": y - 1 - int(borders[d]), "start": int(starts[x] - offsets[d]), "end": int(ends[y - 1] - offsets[d])})
-    return np.diff(borders), total[borders[1:]] - total[borders[:-1]], spans, [sorted(s) for s in items]
+    return np.diff(borders), total[borders[1:]] - total[borders[:-1]], spans, [sorted(s - {None}) for s in items]
 
 
 ADDED = "n_words bigint, n_hit bigint, spans array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``keep`` columns and ``n_words``, ``n_hit``, ``spans``, ``items``, ``contaminated``.
 
     ``spans`` are the merged removal spans: first and last word, and byte positions in the
@@ -203,26 +207,66 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     at least a twentieth of the words.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    bench = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text).alias("text")).filter("text IS NOT NULL")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-int(total) // BENCH_BLOCK) or 1
-    shared = []
-    for k in range(parts):
-        rows = bench if parts == 1 else bench.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        shared.append(spark.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in rows.collect()], window)))
+    passes = -(-parts // PASS_BLOCKS)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "n_hit", "spans", "items", "contaminated")]
+    if passes == 1:
+        out = _one_pass(docs, _blocks(bench, parts), text_col, keep)[0]
+    else:
+        checkpoint_ready(spark)
+        out = docs.select(*[column(c).alias(f"__c{i}") for i, c in enumerate(keep)], column(text_col).alias("__t"))
+        names = out.columns
+        out = out.withColumns({"__s": F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>)"), "__i": F.expr("CAST(array() AS array<string>)"), "__n": F.lit(0).cast("long")})
+        for k in range(passes):
+            mine = bench.filter(F.pmod(F.xxhash64("item", "text", F.lit(2)), F.lit(passes)) == k)
+            found, shared = _one_pass(out, _blocks(mine, -(-parts // passes)), "__t", [*names, "__s", "__i"])
+            out = found.select(*names, F.concat("__s", "spans").alias("__s"), F.array_union("__i", "items").alias("__i"), F.col("n_words").alias("__n")).checkpoint()
+            for b in shared:
+                b.destroy()
+        out = out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)], F.col("__n").alias("n_words"), _merged(F.col("__s")).alias("spans"), F.array_sort("__i").alias("items"))
+        out = out.select(*keep_columns(keep), "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1).alias("n_hit"), "spans", "items")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_columns(names: list[str]) -> list[F.Column]:
+    return [column(c) for c in names]
+
+
+def _blocks(bench: DataFrame, parts: int) -> list:
+    """Broadcasts of the windows of ``parts`` blocks of items; at most a pass's share of the benchmark is at the driver."""
+    rows: list[list] = [[] for _ in range(parts)]
+    for k, item, text in bench.select(F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"), "item", "text").toLocalIterator():
+        rows[k].append((item, text))
+    return [bench.sparkSession.sparkContext.broadcast(Patterns(r, WINDOW)) for r in rows]
+
+
+def _merged(spans):
+    """Spans in order, overlapping and touching ones joined."""
+    one = lambda a, b: F.struct(a["first"].alias("first"), F.greatest(a["last"], b["last"]).alias("last"), a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
+    empty = F.slice(spans, 1, 0)
+    step = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] + 1 >= x["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one(F.element_at(done, -1), x)))).otherwise(F.concat(done, F.array(x)))
+    return F.aggregate(F.array_sort(spans), empty, step)
+
+
+def _one_pass(docs: DataFrame, shared: list, text_col: str, keep: list[str]):
+    def patterns():
+        for b in shared:
+            yield b.value
+            if len(shared) > 1 and hasattr(b, "_value"):
+                del b._value  # the worker's copy; it is read again from the worker's file for the next shard
 
     def kernel(col: pa.Array) -> list[pa.Array]:
-        patterns = [b.value for b in shared]
         words, hits, spans, items = [], [], [], []
         for _, _, data, offs in blocks(*utf8_view(col), SHARD_BYTES):
-            w, h, s, i = shard(patterns, data, offs)
+            w, h, s, i = shard(patterns(), data, offs)
             words.append(w), hits.append(h), spans.extend(s), items.extend(i)
         flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
         span = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))
         return [flat(words), flat(hits), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
 
-    out = text_pass(docs, text_col, kernel, ADDED, keep, SHARD_BYTES)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return text_pass(docs, text_col, kernel, ADDED, keep, SHARD_BYTES), shared
 
 
 def query(spark, sf_dir):
@@ -244,7 +288,7 @@ dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM dp),
 hit AS (SELECT doc_id, item_id, dg.k, i FROM dg JOIN win ON dg.k = win.k AND dg.g = win.g),
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM hit)),
 nh AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN nh ON dw.doc_id = nh.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
