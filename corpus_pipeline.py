@@ -10,26 +10,26 @@ whole is tested against a brute-force version.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthframe import session
 from hearthframe.llm import bpe, decontam, lang_id, line_dedup, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (``und``) go."""
+    """Documents without any letter (``und``) go; of the others ``lang`` becomes the language found."""
     told = lang_id.predict(docs.select(*COLUMNS), lang_id.fit_documents(docs))
-    return told.filter("lang_pred <> 'und'").select(*COLUMNS)
+    return told.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, documents stay; ``n_chars`` follows the text. Copies of a page are near-dedup's, not boilerplate."""
-    return line_dedup.drop_lines(docs.select(*COLUMNS), per_text=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup.drop_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,13 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them goes to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline_")
+    """All stages over ``documents``.
+
+    A stage's output lies in the shared folder until the next one is written; the last output stays
+    there, as the returned rows read it. Runs have folders of their own, named pipeline-*.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+    root, before = f"{session.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        folder = f"{root}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            session.remove_folder(spark, before)
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)

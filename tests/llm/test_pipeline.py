@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import tiktoken
+from pyspark.sql import functions as F
 from test_corpus_operators import brute_components, brute_fingerprint
 from test_text_operators import brute_decontam
 
@@ -18,12 +19,17 @@ def test_pipeline_matches_brute_force(spark, sf):
     docs = [d for d in docs if any(map(str.isalpha, d["text"] or ""))]
     pages, held = {}, {}
     for d in docs:
-        pages.setdefault(d["source"], set()).add(d["doc_id"])
-        for line in {x.strip(" ") for x in d["text"].split("\n")} - {""}:
-            held.setdefault((d["source"], line), set()).add(d["doc_id"])
-    drop = {key for key, ids in held.items() if len(pages[key[0]]) >= line_dedup.MIN_PAGES and len(ids) > line_dedup.RATIO * len(pages[key[0]])}
+        pages.setdefault(d["source"], set()).add(d["text"])
+        for line in {x.strip(line_dedup.BLANKS) for x in d["text"].split("\n")} - {""}:
+            held.setdefault((d["source"], line), set()).add(d["text"])
+    drop = set()
+    for key, texts in held.items():
+        n, over, r = len(pages[key[0]]), len(texts) - line_dedup.RATIO * len(pages[key[0]]), line_dedup.RATIO
+        if len(texts) > 1 and over > 0 and over**2 > line_dedup.SPREAD * r * (1 - r) * n:
+            drop.add(key)
+    assert drop
     for d in docs:
-        d["text"] = "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(" ")) not in drop)
+        d["text"] = "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(line_dedup.BLANKS)) not in drop)
     heads = brute_components([d["doc_id"] for d in docs], [brute_fingerprint(d["text"]) for d in docs])
     docs = [d for d, head in zip(docs, heads) if d["doc_id"] == head]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -42,3 +48,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == 0, name
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, sf):
+    text = " ".join(f"word{k}" for k in range(50))
+    rows = [(None, None, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, "", None, None, 0), (None, text + " more", None, None, 5), (3, text + " more", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = {c: F.lit("clash") for c in ("lang_pred", "score", "n_lines", "n_dropped", "spans", "items", "contaminated", "id", "mark", "head")}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.withColumns(clash), sf)
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() > 0, name
+    out = corpus_pipeline.tokens(spark, docs.withColumns(clash), sf)
+    assert out.count() == len(rows)

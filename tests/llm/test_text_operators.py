@@ -145,13 +145,13 @@ def test_line_dedup(spark, monkeypatch):
         texts.append(f"{head} \nown {k}\n\nlast {k % 30}" if k % 2 == 0 else f"own {k}")
     texts += [None, "", head]
     df = docs(spark, texts).withColumn("n_lines", F.lit("clash"))
-    out = {r.doc_id: r for r in line_dedup.drop_lines(df, ratio=0.5, min_pages=10).collect()}
+    out = {r.doc_id: r for r in line_dedup.drop_lines(df, ratio=0.2, spread=4.0).collect()}
     assert out[0].text == "own 0\n\nlast 0" and (out[0].n_lines, out[0].n_dropped) == (4, 1)
     assert out[1].text == "own 1" and out[40].text is None and out[41].text == ""
     assert out[42].text == "" and len(out) == len(texts)
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
-    shuffled = {r.doc_id: r for r in line_dedup.drop_lines(df, ratio=0.5, min_pages=10).collect()}
+    shuffled = {r.doc_id: r for r in line_dedup.drop_lines(df, ratio=0.2, spread=4.0).collect()}
     assert shuffled == out
 
 
