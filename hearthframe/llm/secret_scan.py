@@ -1,19 +1,22 @@
 """Secret scan: fixed forms, and a battery of randomness tests under false-discovery control.
 
-Fixed forms (assignments, access keys, long hex) are always reported. The battery looks at
-runs of 20 and more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit and a letter. Runs are
-cut at inner ``=``; what then mixes ``+/`` with ``-_`` is cut at either pair of marks, and of
-overlapping parts the least p-value stays. It infers the run's encoding (hex, base32, base36, base64) and computes three tests:
+Fixed forms (assignments, access keys, long hex) are always reported. The battery looks at all
+runs of 20 and more characters of ``[A-Za-z0-9+/_=-]``. Runs are cut at inner ``=``; what then mixes
+``+/`` with ``-_`` is cut at either pair of marks, and of overlapping parts the least p-value stays.
+It infers the run's encoding (base16, base32, base36 of either case, base64 of either pair of
+marks: the first whose alphabet holds the run) and computes these tests:
 
 * chi-squared uniformity over the encoding's alphabet. Under the null "this is natural text"
   the statistic is a non-central one whose mean and variance follow from fixed letter
-  frequencies and the length; its lower tail is the first p-value.
-* runs of character classes. Natural text changes class rarely (``TEXT_CHANGE``); many
-  changes for the length are the second p-value.
+  frequencies and the length; its lower tail is a p-value. So is the upper tail of the letters' mean
+  surprise under these frequencies, with room (``OVERSPREAD``) for other languages. Twice the
+  lesser of both is the alphabet's p-value.
+* runs of character classes. Natural text changes class rarely (``TEXT_CHANGE``; a capital at a
+  word's start is no change); many changes for the length are the second p-value.
 * lag-one serial correlation and the upper chi-squared tail against a random string: a
-  candidate that is plainly not random (a counter, a repeated unit) leaves here.
+  candidate that is plainly not random (a counter, a repeated unit) has p-value 1, as have numbers.
 
-Fisher's method joins the two p-values. Benjamini and Hochberg's rule at level ``Q`` then runs
+Fisher's method joins the two p-values. No candidate leaves before the rule. Benjamini and Hochberg's rule at level ``Q`` then runs
 inside each stratum of length over all candidates of the corpus, so short strings, where
 the tests are weak, don't borrow strength from long ones. It uses counts of p-values in
 ``BINS`` fixed logarithmic bins for each stratum (a candidate counts at its bin's upper border), so
@@ -41,20 +44,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 HEX = np.zeros(256, bool)
 HEX[0x30:0x3A] = HEX[0x61:0x67] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[0x30:0x3A] = True
 TOKEN = np.zeros(256, bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-":
     TOKEN[_c] = True
 
 Q, LEAST, TEXT_CHANGE, BINS, BIN_WIDTH = 0.01, 20, 0.06, 120, 0.25
+UNEVEN, SERIAL, OVERSPREAD = 1e-5, 1e-3, 1.5
 STRATA = (20, 24, 32, 40, 64, 128)
 #: Letter frequencies of English, a to z, in thousandths (fixed values).
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("hex", "0123456789ABCDEF"),
+    ("base16", "0123456789abcdef"),
+    ("base16", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -76,8 +80,28 @@ def text_power(alphabet: str) -> float:
 POWERS = {a: text_power(a) for _, a in ALPHABETS}
 
 
+def rarity(letters: str) -> tuple[dict[str, float], float, float]:
+    """(surprise of each letter, its mean and variance) in natural text restricted to ``letters``."""
+    f = {c: LETTERS[ord(c) - 97] for c in letters}
+    surprise = {c: -math.log(x / sum(f.values())) for c, x in f.items()}
+    mean = sum(x * surprise[c] for c, x in f.items()) / sum(f.values())
+    return surprise, mean, sum(x * (surprise[c] - mean) ** 2 for c, x in f.items()) / sum(f.values())
+
+
+RARITY = {a: rarity("".join(sorted({c.lower() for c in a if c.isalpha()}))) for _, a in ALPHABETS}
+
+
+def classes(body: str) -> list[int]:
+    """Digit, capital or small letter of each letter and digit; a capital before a small letter starts a word and is small."""
+    told = [c for c in body if c.isalnum()]
+    return [1 if c.isdigit() else 2 if c.isupper() and not (after and after.islower()) else 0 for c, after in zip(told, [*told[1:], ""])]
+
+
 def battery(s: str) -> tuple[str, float] | None:
-    """(encoding, p-value of "natural text") of a candidate; None if it is plainly not random."""
+    """(encoding, p-value of "natural text") of a candidate; None if no single alphabet fits.
+
+    The p-value is 1 for what is plainly not random and for numbers: they count as tested.
+    """
     body = s.rstrip("=")
     n = len(body)
     for name, alphabet in ALPHABETS:
@@ -92,20 +116,24 @@ def battery(s: str) -> tuple[str, float] | None:
         counts[c] += 1
     chi = size / n * sum(c * c for c in counts) - n
     df = size - 1
-    if normal_tail((chi - df) / math.sqrt(2 * df)) < 1e-5:
-        return None
+    if body.isdigit() or normal_tail((chi - df) / math.sqrt(2 * df)) < UNEVEN:
+        return name, 1.0
     mean = sum(codes) / n
     spread = sum((c - mean) ** 2 for c in codes)
     serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread if spread else 1.0
-    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < 1e-3:
-        return None
+    if 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < SERIAL:
+        return name, 1.0
     extra = n * (size * POWERS[alphabet] - 1)
     p_chi = normal_tail(-(chi - df - extra) / math.sqrt(2 * (df + 2 * extra)))
-    kind = [c.isdigit() + 2 * c.isupper() for c in body if c.isalnum()]  # joining marks are no class of their own
+    surprise, usual, variance = RARITY[alphabet]
+    letters = [surprise[c] for c in body.lower() if c in surprise]
+    p_rare = normal_tail((sum(letters) - len(letters) * usual) / math.sqrt(OVERSPREAD * len(letters) * variance)) if letters else 1.0
+    p_alphabet = min(1.0, 2 * p_chi, 2 * p_rare)
+    kind = classes(body)
     changes = sum(a != b for a, b in zip(kind, kind[1:]))
     expected = (n - 1) * TEXT_CHANGE
     p_runs = normal_tail((changes - 0.5 - expected) / math.sqrt(expected * (1 - TEXT_CHANGE)))
-    t = -2 * (math.log(max(p_chi, 1e-300)) + math.log(max(p_runs, 1e-300)))
+    t = -2 * (math.log(max(p_alphabet, 1e-300)) + math.log(max(p_runs, 1e-300)))
     return name, min(1.0, math.exp(-t / 2) * (1 + t / 2))
 
 
@@ -114,12 +142,12 @@ def fits(body: str) -> bool:
 
 
 def candidates(run: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p-value) of the parts of a run that are no plain counters, in order."""
+    """(start, end, encoding, p-value) of the parts of a run, in order."""
 
     def judged(pattern: str, lo: int, hi: int):
         for m in re.compile(pattern).finditer(run, lo, hi):
             part = m[0]
-            if len(part) >= LEAST and any(c.isdigit() for c in part) and not part.isdigit() and (told := battery(part)) is not None:
+            if len(part) >= LEAST and (told := battery(part)) is not None:
                 yield (*m.span(), *told)
 
     out = []
@@ -170,11 +198,6 @@ def scan_block(data: np.ndarray, offsets: np.ndarray):
     ta, tb = runs_of(TOKEN[data], offsets)
     long = tb - ta >= LEAST
     ta, tb = ta[long], tb[long]
-    if len(ta):
-        digits = np.append(0, np.cumsum(DIGIT[data]))
-        n_digits = digits[tb] - digits[ta]
-        mixed = (n_digits > 0) & (n_digits < tb - ta)
-        ta, tb = ta[mixed], tb[mixed]
     row_of = lambda x: np.searchsorted(offsets, x, side="right") - 1
     rows = np.unique(np.concatenate((row_of(np.array(spots, np.int64)), row_of(ha), row_of(ta)))).astype(int)
     hrow, trow = row_of(ha), row_of(ta)
@@ -230,7 +253,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
     return found.withColumn("found", F.concat("base", more)).drop("candidates")
 
 
-KINDS = ("assign", "access", "hex", "base32", "base36", "base64")
+KINDS = ("assign", "access", "hex", "base16", "base32", "base36", "base64")
 
 
 def spell(spans) -> F.Column:

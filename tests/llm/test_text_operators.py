@@ -1,6 +1,7 @@
 """Row-wise corpus operators against brute force, with nulls, empties, long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -129,14 +130,65 @@ def test_secrets(spark):
         assert [(s.kind, s.start, s.end) for s in out[i].found][: len(out[i].base)] == brute_secrets(t)
 
 
-def test_battery_finds_random_strings_and_leaves_words():
+def test_battery_tells_random_strings_from_words():
     rng = np.random.default_rng(5)
-    alphabet = secret_scan.ALPHABETS[4][1]
-    told = [secret_scan.battery("".join(rng.choice(list(alphabet), 44))) for _ in range(200)]
-    assert sum(t is not None and t[1] < 1e-3 for t in told) > 180
-    for word in ("internationalization2", "averylongfilename_with_words_2024", "aaaaaaaaaaaaaaaaaaaaaaaa1", "0123456789abcdef0123456789abcdef0123456789abcdef"):
+    for kind, alphabet in secret_scan.ALPHABETS:
+        for n in (20, 32, 44, 64, 128):
+            told = [secret_scan.battery("".join(rng.choice(list(alphabet), n))) for _ in range(100)]
+            assert sum(t is not None and t[1] < 1e-3 for t in told) >= 90, (kind, alphabet[:12], n)
+    for word in WORDS:
         t = secret_scan.battery(word)
-        assert t is None or t[1] > 1e-3, word
+        assert t is None or t[1] > 1e-3, (word, t)
+
+
+WORDS = (
+    "internationalization2", "averylongfilename_with_words_2024", "aaaaaaaaaaaaaaaaaaaaaaaa1", "0123456789abcdef0123456789abcdef0123456789abcdef",
+    "getElementByIdAndClassName", "A_LONG_CONSTANT_OF_THE_HOUSE", "src/main/resources/application/settings", "Donaudampfschifffahrtsgesellschaft", "20240115123000200000000",
+)
+
+
+def brute_findings(texts):
+    """Battery and rule without bins' counts, blocks or columns: all p-values of a stratum, sorted."""
+    found = []
+    for r, text in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            for a, b, kind, p in secret_scan.candidates(m[0]):
+                level = 10 ** (-0.25 * min(119, int(-math.log10(max(p, 1e-300)) / 0.25)))  # the bin's upper border
+                found.append((sum(b - a >= v for v in secret_scan.STRATA), level, r, m.start() + a, m.start() + b, kind))
+    out = set()
+    for stratum in {f[0] for f in found}:
+        own = sorted(f for f in found if f[0] == stratum)
+        last = max((k for k, f in enumerate(own, 1) if f[1] <= secret_scan.Q * k / len(own)), default=0)
+        limit = own[last - 1][1] if last else -1
+        out |= {f[2:] for f in own if f[1] <= limit}
+    return out
+
+
+def test_found_spans_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [w.decode() for w in (b"house", b"river", b"tea", b"green", b"stone", b"window", b"paper", b"running")]
+    texts, planted = [], []
+    for k in range(900):
+        text = " ".join("-".join(rng.choice(words, 5)) if j % 3 else "_".join(rng.choice(words, 6)) + "/index" for j in range(4))
+        if k % 3 == 0:
+            _, alphabet = secret_scan.ALPHABETS[k // 3 % len(secret_scan.ALPHABETS)]
+            secret = "".join(rng.choice(list(alphabet), int(rng.choice([20, 24, 32, 44, 64, 128]))))
+            planted.append((k, len(text) + 4, len(text) + 4 + len(secret), k // 3 % len(secret_scan.ALPHABETS)))
+            text += f" é: {secret} end"
+        texts.append(text)
+    texts += [None, "", texts[0], "x" * 300_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, s.start, s.end, s.kind) for r in secret_scan.scan(rows).collect() for s in r.found if s.kind.startswith("base")}
+    base = {(r, a, b) for r, t in enumerate(texts) for _, a, b in brute_secrets(t or "")}
+    want = {f for f in brute_findings(texts) if not any(r == f[0] and a <= f[1] and b >= f[2] for r, a, b in base)}
+    assert got == want
+    covered = {(r, a, b) for r, a, b, _ in got} | base
+    hits = [any(r == d and a <= x + 4 and b >= y - 4 for r, a, b in covered) for d, x, y, _ in planted]
+    assert np.mean(hits) >= 0.95
+    spots = {(d, x) for d, x, _, _ in planted} | {(len(texts) - 2, planted[0][1])}
+    false = [f for f in got if not any((f[0], x) in spots for x in range(f[1] - 130, f[2] + 1))]
+    assert len(false) <= 0.05 * len(got)
+    assert secret_scan.scan(rows.limit(0)).count() == 0
 
 
 def test_line_dedup(spark, monkeypatch):

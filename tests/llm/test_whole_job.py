@@ -108,11 +108,11 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_secrets_inside_longer_runs(spark):
     rng = np.random.default_rng(3)
-    draw = lambda k, n=44: "".join(rng.choice(list(secret_scan.ALPHABETS[k][1]), n))
+    draw = lambda k, n=44: "".join(rng.choice(list([a for n, a in secret_scan.ALPHABETS if n == "base64"][k]), n))
     texts, want = [], []
     for k in range(60):
-        key = draw(4, 42) + "q7"  # the ends are no marks
-        url = "Z5" + draw(5, 40) + "_8"
+        key = draw(0, 42) + "q7"  # the ends are no marks
+        url = "Z5" + draw(1, 40) + "_8"
         for before, secret, after in (("AWS_SECRET_ACCESS_KEY=", key, ""), ("ENC_KEY=", key[:43], "="), ("/v1/my-own/", url, "/end"), ("my-own-name_", key, "-x")):
             texts.append(f"see {before}{secret}{after} here")
             want.append((4 + len(before), 4 + len(before) + len(secret)))
@@ -121,7 +121,7 @@ def test_secrets_inside_longer_runs(spark):
     hit = [any(s.start <= b and s.end >= a and min(s.end, b) - max(s.start, a) >= 20 for s in out[k]) for k, (a, b) in enumerate(want)]
     for kind in range(4):
         assert sum(hit[kind::4]) > 48, (kind, sum(hit[kind::4]))
-    assert not secret_scan.candidates("some_long-file/name-of_words=and/other_words-here")
+    assert all(p > 0.01 for *_, p in secret_scan.candidates("some_long-file/name-of_words=and/other_words-here"))
 
 
 def test_chosen_blocks_outside_the_container_stay():
