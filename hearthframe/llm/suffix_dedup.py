@@ -5,24 +5,26 @@ id. The corpus is far too large for one suffix array, so it is dealt out by cont
 
 1. Anchors. Of the k-grams of every string of ``SPAN`` bytes the one of least hash is its
    anchor, so equal strings have equal anchors at equal places. About one byte in eighteen is
-   an anchor. Anchors travel to buckets as eight bytes: 48 bits of the k-gram's hash and eight
-   each of the ``SIDE`` bytes after and before it. Equal strings agree in the k-gram and in at
-   least one side. A block of documents sends a bucket one packed row.
+   an anchor. Anchors travel to buckets as eight bytes: 32 bits of the k-gram's hash (others choose the
+   bucket) and sixteen each of the ``SIDE`` bytes after and before it. Equal strings agree in the
+   k-gram and in at least one side. A block of documents sends a bucket one packed row. There is a bucket,
+   and a task, for each ``BUCKET`` bytes of text, so no task grows with the corpus. An anchor that
+   documents of one block share needs no answer: of all its copies in the block one value without an owner
+   is sent, so a hot passage costs its bucket eight bytes a block.
 2. A bucket replies to the documents which of their anchors some other document has as well:
    a bit an anchor, in the order in which the document will find them again.
 3. Documents send only those anchors' surroundings, packed, to the bucket of the anchor. Copies
    of surroundings inside one block are sent once, by the smallest document; the other
    documents know then that theirs is taken.
-4. In a bucket documents are taken by id, in batches. Each batch gets the suffix array of its
-   strings (suffixes cut at ``SPAN`` bytes, ordered by a 64-bit key of these bytes), is
-   merge-scanned against all levels of the index family, and becomes a level itself; levels of
-   equal size merge, so there are logarithmically many. What a scan finds is compared byte for
-   byte.
+4. In a bucket documents are taken by id, in batches. Equal strings of a batch are folded (by a 64-bit
+   key, compared byte for byte); the distinct ones get a suffix array: their places in the order
+   of their bytes, up to ``SPAN``, as that is the common prefix an occurrence needs (longer matches are runs of
+   neighbouring places). The array is merge-scanned against all levels of the index family,
+   and what no level has becomes a level itself; levels of like size merge, both being in order, so
+   there are logarithmically many.
 5. Ranges return to the documents and are joined to their texts. Both joins with the texts
    use the same shuffle of them.
 
-Hot passages: step 3 leaves one copy a batch; step 1 sends eight bytes an occurrence.
-
 Defined cases: a null text is the empty text; texts under ``SPAN`` bytes lose nothing; a null id
 comes after all ids; rows of one id never remove from each other; repeated rows each get the
 result; other columns are ignored; empty tables work. Texts of any length are processed in
@@ -41,9 +43,10 @@ from .frames import blocks, column, same_slices, utf8_view
 
 SPAN, GRAM, SIDE = 50, 16, 17
 WIDE = SPAN - GRAM + 1  # k-grams of a string
-PIECE = 1 << 21  # string starts handled at once; positions in a piece must fit PLACE bits
+PIECE = 1 << 20  # string starts handled at once; positions in a piece must fit PLACE bits
 PLACE = np.uint64(22)
 BATCH_STRINGS = 1 << 20
+BLOCK, BUCKET = 4 << 20, 8 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -90,26 +93,47 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(np.uint64), padded
-    return (*[np.concatenate(x) for x in zip(*out)], padded)
+    row, first, count, place, grams = (np.concatenate(x) for x in zip(*out))
+    # a run cut at a piece's border is one run: anchors depend on a text alone, not on its block
+    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (first[1:] != first[:-1] + count[:-1]))
+    at = np.flatnonzero(new)
+    return row[at], first[at], np.add.reduceat(count, at), place[at], grams[at], padded
 
 
 def packed(row, place, grams, padded, offsets) -> np.ndarray:
-    """48 bits of the k-gram's hash, then eight of the bytes after it and eight of those before it; 0 where a text has fewer."""
+    """32 bits of the k-gram's hash, then sixteen of the bytes after it and sixteen of those before it; 0 where a text has fewer."""
     words = loads(padded)
     begin, end = offsets[row], offsets[row + 1]
 
     def side(at, ok):
         at = np.where(ok, at, 0)
-        h = mixed(words[at] * M1 ^ mixed(words[at + SIDE - 8] + M2)) >> np.uint64(56)
+        h = mixed(words[at] * M1 ^ mixed(words[at + 8] + mixed(words[at + SIDE - 8] + M2))) >> np.uint64(48)
         return np.where(ok, np.maximum(h, np.uint64(1)), np.uint64(0))
 
     after = side(place + GRAM, place + GRAM + SIDE <= end)
     before = side(place - SIDE, place - SIDE >= begin)
-    return (grams << np.uint64(16)) | (after << np.uint64(8)) | before
+    return (grams << np.uint64(32)) | (after << np.uint64(16)) | before
+
+
+def sides(value: np.ndarray):
+    """The keys that two equal strings' anchors share one of, and where a value has them: k-gram and after, k-gram and before."""
+    low = np.uint64(0xFFFF)
+    yield value >> np.uint64(16), (value >> np.uint64(16)) & low != 0
+    yield (value >> np.uint64(32) << np.uint64(16)) | (value & low), value & low != 0
+
+
+def told_apart(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a key that another document has too."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    differs = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(differs, np.diff(np.append(first, len(order))))
+    return out
 
 
 def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def binaries(parts: list[bytes]) -> pa.Array:
@@ -146,26 +170,56 @@ def row_groups(bucket: np.ndarray, row: np.ndarray, buckets: int):
     return order, out
 
 
+ASKED = ["task", "bucket", "packed", "id", "mark"]
+WHOLE = b"\xff\xff\xff\xff"
+
+
 def ask(batches, buckets):
-    """Step 1: (bucket, packed ids, texts' hashes, counts and anchors) of each block and bucket."""
+    """Step 1: (bucket's task, bucket, packed counts and anchors) of each block and bucket.
+
+    What a block's documents share among themselves is known at once: a row (any task, bucket -1, bits of
+    all anchors of a text, its id and hash). An anchor all of whose keys are so shared is not asked for; one
+    value without owners, in the bucket's row, stands for all its copies in the block.
+    """
     for batch in batches:
         ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        for lo, _, data, offs in blocks(*utf8_view(batch.column(2))):
+        for lo, _, data, offs in blocks(*utf8_view(batch.column(2)), BLOCK):
             row, _, _, place, grams, padded = anchors(data, offs)
             if not len(row):
                 continue
+            value = packed(row, place, grams, padded, offs)
+            known, asked = np.zeros(len(row), bool), np.zeros(len(row), bool)
+            for key, has in sides(value):
+                use = np.flatnonzero(has)
+                if len(use):
+                    here = told_apart(key[use], ids[lo + row[use]])
+                    known[use[here]] = True
+                    asked[use[~here]] = True
             order, groups = row_groups(bucket_of(grams, buckets), row, buckets)
-            value = packed(row, place, grams, padded, offs)[order]
-            rows = [pack(ids[lo + r].astype("<i8"), marks[lo + r].astype("<i4"), n.astype("<u4"), value[part].astype("<u8")) for _, part, r, n in groups]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), binaries(rows)], names=["bucket", "packed"])
+            value, sent, common = value[order], asked[order], known[order] & ~asked[order]
+            rows = []
+            for _, part, r, n in groups:
+                bits, v = sent[part], value[part]
+                stand = np.unique(v[common[part]])
+                rows.append(pack(ids[lo + r].astype("<i8"), marks[lo + r].astype("<i4"), n.astype("<u4"), np.packbits(bits), v[bits].astype("<u8"), stand.astype("<u8")))
+            number = pa.array([g[0] for g in groups], pa.int32())
+            nothing = len(groups)
+            yield pa.RecordBatch.from_arrays([number, number, binaries(rows), pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.int32())], names=ASKED)
+            some = np.unique(row[known])
+            if len(some):
+                stops = np.searchsorted(row, np.append(some, some[-1] + 1))
+                ends = np.searchsorted(row, some, side="right")
+                bits = [WHOLE + int(b - a).to_bytes(4, "little") + np.packbits(known[a:b]).tobytes() for a, b in zip(stops.tolist(), ends.tolist())]
+                own = pa.array((marks[lo + some].astype(np.int64) % buckets).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(some), -1, np.int32)), binaries(bits), pa.array(ids[lo + some]), pa.array(marks[lo + some])], names=ASKED)
 
 
 def by_bucket(batches):
-    """(bucket, its packed values) from batches sorted by bucket."""
+    """(bucket, its packed values) from batches (bucket, packed) sorted by bucket; rows of bucket -1 come one by one."""
     held, values = None, []
     for batch in batches:
         for b, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if b != held:
+            if b != held or b < 0:
                 if values:
                     yield held, values
                 held, values = b, []
@@ -179,28 +233,47 @@ def gather(values: list[bytes], *kinds: str) -> list[np.ndarray]:
 
 
 def reply(batches):
-    """Step 2: (id, text's hash, bucket and a bit for each of its anchors there) of documents that share any."""
-    for bucket, values in by_bucket(batches):
-        ids, marks, counts, value = gather(values, "<i8", "<i4", "<u4", "<u8")
-        owner = np.repeat(np.arange(len(ids)), counts)
-        doc = ids[owner]
-        shared = np.zeros(len(value), bool)
-        for key, known in (((value >> np.uint64(8)), (value >> np.uint64(8)) & np.uint64(255)), ((value >> np.uint64(16) << np.uint64(8)) | (value & np.uint64(255)), value & np.uint64(255))):
-            use = np.flatnonzero(known)
-            if not len(use):
-                continue
-            order = use[np.argsort(key[use], kind="stable")]
-            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-            sizes = np.diff(np.append(first, len(order)))
-            differs = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-            shared[order[np.repeat(differs, sizes)]] = True
+    """Step 2: (id, text's hash, bucket and a bit for each of its anchors there) of documents that share any; known rows pass."""
+    names = ["id", "mark", "shared"]
+
+    def asked():
+        for batch in batches:
+            known = np.asarray(batch.column(0)) < 0
+            if known.any():
+                passed.append(pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(known)) for k in (2, 3, 1)], names=names))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(~known)) for k in (0, 1)], names=["bucket", "packed"])
+
+    passed: list[pa.RecordBatch] = []
+    for bucket, values in by_bucket(asked()):
+        while passed:
+            yield passed.pop()
+        ids, marks, counts, bits, value, stand = ([], [], [], [], [], [])
+        for v in values:
+            i, m, n, b, x, s = unpack(v, "<i8", "<i4", "<u4", "u1", "<u8", "<u8")
+            ids.append(i), marks.append(m), counts.append(n), value.append(x), stand.append(s)
+            bits.append(np.unpackbits(b)[: int(n.sum())].astype(bool))
+        ids, marks, counts, sent, value, stand = map(np.concatenate, (ids, marks, counts, bits, value, stand))
+        doc = ids[np.repeat(np.arange(len(ids)), counts)[sent]]
+        # a value without owner is two documents' at least: two entries under ids that no other entry has
+        both = np.concatenate((value, stand, stand))
+        held_by = np.concatenate((np.unique(ids, return_inverse=True)[1][np.repeat(np.arange(len(ids)), counts)[sent]], np.full(len(stand), -1), np.full(len(stand), -2)))
+        found = np.zeros(len(doc), bool)
+        for key, has in sides(both):
+            use = np.flatnonzero(has)
+            if len(use):
+                apart = use[told_apart(key[use], held_by[use])]
+                found[apart[apart < len(doc)]] = True
+        shared = np.zeros(len(sent), bool)
+        shared[np.flatnonzero(sent)[found]] = True
         stops = np.append(0, np.cumsum(counts, dtype=np.int64))
         total = np.append(0, np.cumsum(shared))
         some = np.flatnonzero(total[stops[1:]] > total[stops[:-1]])
         if len(some):
             head = int(bucket).to_bytes(4, "little")
             bits = [head + int(stops[k + 1] - stops[k]).to_bytes(4, "little") + np.packbits(shared[stops[k] : stops[k + 1]]).tobytes() for k in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(marks[some]), binaries(bits)], names=["id", "mark", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(marks[some]), binaries(bits)], names=names)
+    while passed:
+        yield passed.pop()
 
 
 def send(batches, buckets):
@@ -208,14 +281,21 @@ def send(batches, buckets):
     for batch in batches:
         ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         lists = batch.column(3)
-        for lo, hi, data, offs in blocks(*utf8_view(batch.column(2))):
+        for lo, hi, data, offs in blocks(*utf8_view(batch.column(2)), BLOCK):
             row, start, count, _, grams, padded = anchors(data, offs)
             if not len(row):
                 continue
             bucket = bucket_of(grams, buckets)
             order, groups = row_groups(bucket, row, buckets)
             wanted = np.zeros(len(row), bool)
-            told = {(k, int.from_bytes(x[:4], "little")): x for k, xs in enumerate(lists.slice(lo, hi - lo).to_pylist()) for x in xs or ()}
+            told, borders = {}, np.searchsorted(row, np.arange(hi - lo + 1))
+            known = np.zeros(len(row), bool)
+            for k, xs in enumerate(lists.slice(lo, hi - lo).to_pylist()):
+                for x in xs or ():
+                    if x[:4] == WHOLE:
+                        known[borders[k] : borders[k + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8, offset=8))[: borders[k + 1] - borders[k]].astype(bool)
+                    else:
+                        told[k, int.from_bytes(x[:4], "little")] = x
             for b, part, rows, sizes in groups:
                 at = part.start
                 for r, n in zip(rows.tolist(), sizes.tolist()):
@@ -223,7 +303,7 @@ def send(batches, buckets):
                     if x is not None and int.from_bytes(x[4:8], "little") == n:
                         wanted[at : at + n] = np.unpackbits(np.frombuffer(x, np.uint8, offset=8))[:n]
                     at += n
-            keep = order[wanted]
+            keep = order[wanted | known[order]]
             if not len(keep):
                 continue
             row, start, count, grams, bucket = row[keep], start[keep], count[keep], grams[keep], bucket[keep]
@@ -260,18 +340,22 @@ def send(batches, buckets):
 
 
 class Level:
-    """A suffix array: keys of its strings in order, their first document, and their places."""
+    """A suffix array: places of distinct strings in the order of their bytes, their first eight bytes and least document."""
+
+    __slots__ = ("at", "heads", "docs")
 
-    __slots__ = ("keys", "docs", "at")
+    def __init__(self, at, heads, docs):
+        self.at, self.heads, self.docs = at, heads, docs
 
-    def __init__(self, keys, docs, at):
-        self.keys, self.docs, self.at = keys, docs, at
+
+#: Where the words of a string begin that order it: the last one overlaps.
+STEPS = (*range(8, SPAN - 7, 8), SPAN - 8)
 
 
 def string_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     words = loads(data)
     key = np.zeros(len(at), np.uint64)
-    for k in (*range(0, SPAN - 7, 8), SPAN - 8):
+    for k in (0, *STEPS):
         key = mixed(key + words[at + k] * M1)
     return key
 
@@ -279,11 +363,49 @@ def string_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     words = loads(data)
     same = np.ones(len(a), bool)
-    for k in (*range(0, SPAN - 7, 8), SPAN - 8):
+    for k in (0, *STEPS):
         same &= words[a + k] == words[b + k]
     return same
 
 
+def big_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes at each place as numbers that order like the bytes."""
+    return np.ndarray((len(data) - 7,), np.dtype(">u8"), data, 0, (1,))[at].astype(np.uint64)
+
+
+def text_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of distinct strings by their bytes, their first words in this order): ties of a word are settled by the next."""
+    heads = big_words(data, at)
+    order = np.argsort(heads)
+    heads = heads[order]
+    group = np.cumsum(np.append(True, heads[1:] != heads[:-1])) if len(at) else np.zeros(0, np.int64)
+    tied = np.flatnonzero(np.bincount(group)[group] > 1)
+    group = group[tied]
+    for k in STEPS:
+        if not len(tied):
+            break
+        word = big_words(data, at[order[tied]] + k)
+        sub = np.lexsort((word, group))
+        order[tied] = order[tied][sub]
+        group, word = group[sub], word[sub]
+        group = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])))
+        still = np.bincount(group)[group] > 1
+        tied, group = tied[still], group[still]
+    return order, heads
+
+
+def less(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the string at ``a`` comes before that at ``b``; their first words are equal."""
+    out, open_ = np.zeros(len(a), bool), np.arange(len(a))
+    for k in STEPS:
+        x, y = big_words(data, a[open_] + k), big_words(data, b[open_] + k)
+        out[open_[x < y]] = True
+        open_ = open_[x == y]
+        if not len(open_):
+            break
+    return out
+
+
 class Family:
     """Levels of suffix arrays over one bucket's bytes, sizes growing geometrically."""
 
@@ -293,42 +415,71 @@ class Family:
 
     def add(self, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Takes a batch of strings (documents not smaller than any before); which of them a smaller document has."""
-        data = self.data
-        keys = string_keys(data, at)
-        order = np.argsort(keys, kind="stable")  # places ascend by document
-        k, o = keys[order], at[order]
-        d = docs[order]
-        first = np.append(True, k[1:] != k[:-1])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
-        equal = first.copy()
-        rest = np.flatnonzero(~first)
-        equal[rest] = equal_strings(data, o[rest], o[head[rest]])
-        hit = equal & (d > d[head])
-        # strings that share a key with another string (one in 2**64) are kept as further entries
-        entry = np.flatnonzero(first | ~equal)
+        own, who, kind = self._fold(at, docs)
+        order, heads = text_order(self.data, own)
+        own, who, hit, fresh = own[order], who[order], np.zeros(len(own), bool), np.ones(len(own), bool)
         for level in self.levels:
-            # merge scan: both sides are in order
-            place = np.searchsorted(level.keys, k[entry])
-            for step in range(2):
-                p = np.minimum(place + step, len(level.keys) - 1)
-                same = np.flatnonzero(level.keys[p] == k[entry])
-                same = same[equal_strings(data, o[entry[same]], level.at[p[same]]) & (level.docs[p[same]] < d[entry[same]])]
-                hit[entry[same]] = True
-        # what holds for an entry holds for the batch's equal strings: their documents are no smaller
-        hit |= equal & hit[head]
-        fresh = entry[~hit[entry]]
-        if len(fresh):
-            self._push(Level(k[fresh], d[fresh], o[fresh]))
-        found = np.zeros(len(at), bool)
-        found[order] = hit
-        return found
+            place = self._merge_scan(level, own, heads)
+            p = np.minimum(place, len(level.at) - 1)
+            same = np.flatnonzero((place < len(level.at)) & (level.heads[p] == heads))
+            same = same[equal_strings(self.data, own[same], level.at[p[same]])]
+            hit[same] |= level.docs[p[same]] < who[same]
+            fresh[same] = False
+        if fresh.any():
+            self._push(Level(own[fresh], heads[fresh], who[fresh]))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return hit[back[kind]] | (docs > who[back[kind]])
+
+    def _fold(self, at: np.ndarray, docs: np.ndarray):
+        """(a place and the least document of each distinct string, which of these each string is)."""
+        keys = string_keys(self.data, at)
+        order = np.argsort(keys)
+        first = np.append(True, np.diff(keys[order]) != 0)
+        kind = np.empty(len(at), np.int64)
+        kind[order] = np.cumsum(first) - 1
+        own = at[order[first]]
+        odd = np.flatnonzero(~equal_strings(self.data, at, own[kind]))
+        seen: dict[tuple, int] = {}
+        for k in odd.tolist():  # equal keys of different strings: one pair in 2**64
+            kind[k] = seen.setdefault((int(keys[k]), self.data[at[k] : at[k] + SPAN].tobytes()), len(own) + len(seen))
+        more = np.zeros(len(seen), np.int64)
+        more[kind[odd] - len(own)] = at[odd]
+        own = np.append(own, more)
+        who = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(who, kind, docs)
+        return own, who, kind
+
+    def _merge_scan(self, level: Level, at: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """How many of a level's strings come before each of the batch's: both sides run in order."""
+        n = len(level.heads)
+        runs = np.argsort(np.concatenate((heads, level.heads)), kind="stable")  # two ascending runs: one merge
+        lo = np.empty(len(at), np.int64)
+        mine = np.flatnonzero(runs < len(at))
+        lo[runs[mine]] = mine - np.arange(len(mine))
+        open_ = np.flatnonzero((lo < n) & (level.heads[np.minimum(lo, n - 1)] == heads))
+        hi = np.searchsorted(level.heads, heads[open_], side="right")
+        while len(open_):  # inside equal first words: halve
+            mid = (lo[open_] + hi) >> 1
+            before = less(self.data, level.at[mid], at[open_])
+            lo[open_[before]] = mid[before] + 1
+            hi[~before] = mid[~before]
+            more = lo[open_] < hi
+            open_, hi = open_[more], hi[more]
+        return lo
 
     def _push(self, new: Level) -> None:
-        while self.levels and len(self.levels[-1].keys) < 2 * len(new.keys):
+        while self.levels and len(self.levels[-1].at) < 2 * len(new.at):
             old = self.levels.pop()
-            keys = np.concatenate((old.keys, new.keys))
-            order = np.argsort(keys, kind="stable")
-            new = Level(keys[order], np.concatenate((old.docs, new.docs))[order], np.concatenate((old.at, new.at))[order])
+            place = self._merge_scan(old, new.at, new.heads) + np.arange(len(new.at))
+            rest = np.ones(len(old.at) + len(new.at), bool)
+            rest[place] = False
+            columns = []
+            for a, b in ((old.at, new.at), (old.heads, new.heads), (old.docs, new.docs)):
+                both = np.empty(len(rest), a.dtype)
+                both[place], both[rest] = b, a
+                columns.append(both)
+            new = Level(*columns)
         self.levels.append(new)
 
 
@@ -388,22 +539,26 @@ def remove(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, list[tuple[in
     return b"".join(kept), runs
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans array of (start, end) in bytes) of every row."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans array of (start, end) in bytes) of every row.
+
+    The texts' bytes are counted first: there is a bucket, and a task, for each ``bucket_bytes`` of them.
+    """
     spark = docs.sparkSession
     ship(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * partitions
     last = 2**63 - 1
     text = F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(last)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     key = ["id", "mark"]
-    spread = lambda df: df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    asked = spread(rows.mapInArrow(lambda b: ask(b, buckets), "bucket int, packed binary"))
+    asked = rows.mapInArrow(lambda b: ask(b, buckets), "task int, bucket int, packed binary, id bigint, mark int")
+    asked = asked.repartitionById(buckets, F.col("task")).select("bucket", "packed", "id", "mark").sortWithinPartitions("bucket")
     replies = asked.mapInArrow(reply, "id bigint, mark int, shared binary").groupBy(*key).agg(F.collect_list("shared").alias("shared"))
     sent = rows.join(replies, key).select("id", "mark", "text", "shared").mapInArrow(lambda b: send(b, buckets), "bucket int, packed binary")
     # known ranges need no bucket's company: they are dealt out evenly
-    dealt = sent.repartition(partitions, "bucket", F.when(F.col("bucket") < 0, F.xxhash64("packed"))).sortWithinPartitions("bucket")
+    own = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("packed"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    dealt = sent.repartitionById(buckets, own).sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(resolve, "id bigint, mark int, ranges binary").groupBy(*key).agg(F.collect_list("ranges").alias("ranges"))
     joined = rows.join(ranges, key, "left").select("id", "text", "ranges")
 
