@@ -9,17 +9,19 @@ A query visits leaves from a priority queue of tree nodes, nearest centre first.
 visits is calibrated: for ``CALIBRATION`` queries the exact neighbours are found by brute
 force over all rows (in blocks; a task keeps the best k only), and the visits are widened until
 the mean recall of these reaches ``TARGET``. A query also goes on until its leaves hold more than k rows.
+Vectors without any clusters make the calibrated visits many (README gives figures): the recall is
+kept then, not the saving.
 
-Queries and rows meet in cells (leaf, part of the rows, part of the queries). Both
-parts have bounded sizes, so a leaf that a third of all rows share is many cells. Cells
-return their best k for each query and a ranked window joins them. Scores are sums of
-products in double precision over the original vectors.
+Queries and rows travel in packed blobs, a blob a leaf and block, and meet in cells (leaf, part of
+the rows' blobs, part of the queries' blobs). Both parts have bounded sizes, so a leaf that a third of
+all rows share is many cells. Cells return their best k for each query and a ranked window joins them.
+Scores are sums of products in double precision over the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do rows with a null id or of another dimension than the most frequent one; a
-query's own id is no candidate, repeated rows of other ids are candidates each; ties go to
-the smaller id; with k candidates or fewer all are returned; no query or no candidate gives
-no rows.
+part, nor do rows with a null id; vectors of different dimensions are searched each among their own;
+a query's own id is no candidate, repeated rows of other ids are candidates each; of several vectors under one
+query id (of one dimension) the least by its components asks; ties go to the smaller id; with k
+candidates or fewer all are returned; no query or no candidate gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_ready, ship
 from .frames import column
 
-K, TARGET = 20, 0.97
-SAMPLE, LEAF, BRANCH, CALIBRATION = 16_384, 32, 16, 128
-ROWS_A_CELL, QUERIES_A_CELL = 8_192, 2_048
+K, TARGET = 20, 0.93
+SAMPLE, LEAF, BRANCH, CALIBRATION = 16_384, 32, 16, 256
+ROWS_A_CELL, QUERIES_A_CELL, QUERIES_A_TASK = 8_192, 2_048, 512
 SLACK = 1e-9
 
 
@@ -158,24 +160,53 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 SCHEMA = "query_id bigint, vec_id bigint, score double"
+BLOB = "leaf int, n int, packed binary"
 
 
 def table_of(q, v, s) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
+def packed(leaf: np.ndarray, which: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> pa.RecordBatch:
+    """Blobs (ids, then vectors) of at most ``most`` rows of one leaf; row ``which[k]`` belongs to ``leaf[k]``."""
+    order = np.argsort(leaf, kind="stable")
+    leaf, which = leaf[order], which[order]
+    borders = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])).tolist() if len(leaf) else []
+    leaves, counts, out = [], [], []
+    for lo, hi in zip(borders, [*borders[1:], len(leaf)]):
+        for at in range(lo, hi, most):
+            part = which[at : min(at + most, hi)]
+            leaves.append(int(leaf[lo])), counts.append(len(part))
+            out.append(ids[part].astype("<i8").tobytes() + vectors[part].astype("<f8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(counts, pa.int32()), pa.array(out, pa.binary())], names=["leaf", "n", "packed"])
+
+
+def unpacked(blobs: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of blobs."""
+    ids, vectors = [np.zeros(0, "<i8")], [np.zeros((0, dim), "<f8")]
+    for blob in blobs:
+        n = len(blob) // (8 * (dim + 1))
+        ids.append(np.frombuffer(blob, "<i8", n)), vectors.append(np.frombuffer(blob, "<f8", offset=8 * n).reshape(n, dim))
+    return np.concatenate(ids), np.concatenate(vectors)
+
+
 def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     ship(spark), checkpoint_ready(spark)
     rows = usable(df, id_col, vector_col)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dims = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
-    common = dims.orderBy(F.desc("n"), "dim").first()
-    if common is None:
-        return empty
-    dim, count, top = common["dim"], common["n"], float(np.sqrt(common["m"]))
-    rows = rows.filter(F.size("embedding") == dim)
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    dims = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(size).alias("m"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim, count, longest, asked in dims.orderBy("dim").collect():
+        if asked:
+            out = out.unionByName(_search(rows.filter(F.size("embedding") == dim), dim, count, asked, float(np.sqrt(longest)), every, k, target))
+    return out
+
+
+def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every: int, k: int, target: float) -> DataFrame:
+    """The search among ``count`` rows of one dimension with ``asked`` queries; ``top`` is the longest vector's length."""
+    spark = rows.sparkSession
     chance = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30))
     sample = rows.filter(chance < int(min(1.0, SAMPLE / count) * (1 << 30))).select("embedding")
     points = np.array([r[0] for r in sample.collect()], float).reshape(-1, dim)
@@ -186,25 +217,23 @@ def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, i
 
     def place(batches):
         for b in batches:
-            leaf = shared.value.assign(lift(matrix(b.column(1), dim), top))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["vec_id", "embedding", "leaf"])
+            ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
+            yield packed(shared.value.assign(lift(vectors, top)), np.arange(len(ids)), ids, vectors, ROWS_A_CELL)
 
-    placed = rows.mapInArrow(place, "vec_id bigint, embedding array<double>, leaf int").checkpoint()
+    placed = rows.mapInArrow(place, BLOB).checkpoint()
     sizes = np.zeros(tree.leaves, np.int64)
-    for leaf, n in placed.groupBy("leaf").count().collect():
+    for leaf, n in placed.groupBy("leaf").agg(F.sum("n")).collect():
         sizes[leaf] = n
-    queries = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"])
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("q"))
     trial = queries.orderBy(F.xxhash64("query_id", F.lit(5)), "query_id").limit(CALIBRATION).collect()
-    if not trial:
-        return empty
     t_ids, t_vectors = np.array([r[0] for r in trial]), np.array([r[1] for r in trial], float)
 
     def brute(batches):
         kept = None
         for b in batches:
-            ids, vectors, leaf = np.asarray(b.column(0)), matrix(b.column(1), dim), np.asarray(b.column(2))
+            ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
             q, v, s = best(t_ids, t_vectors, ids, vectors, k)
-            now = (q, ids[v], s, leaf[v])
+            now = (q, ids[v], s, shared.value.assign(lift(vectors[v], top)))
             if kept is not None:
                 now = tuple(np.concatenate(x) for x in zip(kept, now))
             order = np.lexsort((now[1], -now[2], now[0]))
@@ -215,7 +244,7 @@ def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, i
             yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.float64()), pa.array(kept[3], pa.int32())], names=["t", "vec_id", "score", "leaf"])
 
     by_trial = Window.partitionBy("t").orderBy(F.desc("score"), "vec_id")
-    exact = placed.mapInArrow(brute, "t bigint, vec_id bigint, score double, leaf int").withColumn("r", F.row_number().over(by_trial)).filter(F.col("r") <= k).select("t", "leaf").collect()
+    exact = rows.mapInArrow(brute, "t bigint, vec_id bigint, score double, leaf int").withColumn("r", F.row_number().over(by_trial)).filter(F.col("r") <= k).select("t", "leaf").collect()
     lifted = lift_queries(t_vectors)
     orders = [{leaf: j for j, leaf in enumerate(tree.visits(x, tree.leaves, sizes, k))} for x in lifted]
     ranks = np.sort([orders[t][leaf] for t, leaf in exact])
@@ -223,25 +252,26 @@ def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, i
 
     def spread(batches):
         for b in batches:
-            q = lift_queries(matrix(b.column(1), dim))
-            found = [shared.value.visits(x, width, sizes, k) for x in q]
-            which = np.repeat(np.arange(len(q)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), b.column(1).take(pa.array(which)), pa.array([x for f in found for x in f], pa.int32())], names=["query_id", "q", "leaf"])
-
-    visits = queries.mapInArrow(spread, "query_id bigint, q array<double>, leaf int")
-    q_sizes = {r[0]: r[1] for r in visits.groupBy("leaf").count().collect()}
+            ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
+            found = [shared.value.visits(x, width, sizes, k) for x in lift_queries(vectors)]
+            which = np.repeat(np.arange(len(ids)), [len(f) for f in found])
+            yield packed(np.array([x for f in found for x in f], np.int64), which, ids, vectors, QUERIES_A_CELL)
+
+    dealt = queries.repartition(-(-asked // QUERIES_A_TASK), "query_id")
+    visits = dealt.mapInArrow(spread, BLOB).checkpoint()
+    q_sizes = {r[0]: r[1] for r in visits.groupBy("leaf").agg(F.sum("n")).collect()}
     parts = spark.createDataFrame([(i, int(-(-sizes[i] // ROWS_A_CELL)), int(-(-q_sizes.get(i, 1) // QUERIES_A_CELL))) for i in range(tree.leaves) if sizes[i]], "leaf int, v_parts int, q_parts int")
     parts = F.broadcast(parts)  # at most SAMPLE / LEAF rows
-    own = lambda name, n: F.pmod(F.xxhash64(name, F.lit(11)), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("packed", F.lit(11)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(parts, "leaf").select("leaf", upto("v_parts").alias("v_part"), own("query_id", "q_parts").alias("q_part"), "query_id", "q")
-    right = placed.join(parts, "leaf").select("leaf", own("vec_id", "v_parts").alias("v_part"), upto("q_parts").alias("q_part"), "vec_id", "embedding")
+    left = visits.join(parts, "leaf").select("leaf", upto("v_parts").alias("v_part"), own("q_parts").alias("q_part"), "packed")
+    right = placed.join(parts, "leaf").select("leaf", own("v_parts").alias("v_part"), upto("q_parts").alias("q_part"), "packed")
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return table_of([], [], [])
-        q_ids, v_ids = np.asarray(a["query_id"]), np.asarray(b["vec_id"])
-        q, v, s = best(q_ids, matrix(a["q"], dim), v_ids, matrix(b["embedding"], dim), k)
+        (q_ids, asking), (v_ids, vectors) = unpacked(a["packed"].to_pylist(), dim), unpacked(b["packed"].to_pylist(), dim)
+        q, v, s = best(q_ids, asking, v_ids, vectors, k)
         return table_of(q_ids[q], v_ids[v], s)
 
     keys = ["leaf", "v_part", "q_part"]

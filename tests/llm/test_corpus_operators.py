@@ -146,14 +146,52 @@ def test_index_family_levels():
         for s, d in zip(strings.tolist(), docs.tolist()):
             seen[s] = min(seen.get(s, d), d)
         assert got.tolist() == [seen[s] < d for s, d in zip(strings.tolist(), docs.tolist())]
-    sizes = [len(level.keys) for level in family.levels]
+    sizes = [len(level.at) for level in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def spelled(data, places):
+    return [data[p : p + suffix_dedup.SPAN].tobytes() for p in places]
+
+
+def test_levels_are_suffix_arrays(monkeypatch):
+    rng = np.random.default_rng(9)
+    data = np.append(rng.choice(np.frombuffer(b"ab", np.uint8), 6000), np.zeros(8, np.uint8))
+    data[1000:1400] = data[3000:3400] = data[5000:5400] = ord("a")
+    where = np.arange(6000 - suffix_dedup.SPAN)
+    for keys in (suffix_dedup.string_keys, lambda data, at: (at % 3).astype(np.uint64) * 0 + np.uint64(7)):
+        # with one key for all strings the fold must tell them apart byte by byte
+        monkeypatch.setattr(suffix_dedup, "string_keys", keys)
+        family, seen = suffix_dedup.Family(data), {}
+        for batch in range(7):
+            at = np.sort(rng.choice(where, 700, replace=False))
+            docs = np.sort(rng.integers(batch * 5, batch * 5 + 6, 700))
+            for s, d in zip(spelled(data, at), docs.tolist()):
+                seen[s] = min(seen.get(s, d), d)
+            assert family.add(at, docs).tolist() == [seen[s] < d for s, d in zip(spelled(data, at), docs.tolist())]
+        levels = [spelled(data, level.at) for level in family.levels]
+        for level, words in zip(family.levels, levels):
+            assert words == sorted(set(words)) and level.heads.tolist() == [int.from_bytes(w[:8]) for w in words]
+            assert level.docs.tolist() == [seen[w] for w in words]
+        assert sorted(w for words in levels for w in words) == sorted(seen)
+
+
+def test_hot_passage_is_asked_for_once_a_block():
+    import pyarrow as pa
+
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(400))
+    batch = pa.record_batch([pa.array(range(500), pa.int64()), pa.array(range(500), pa.int32()), pa.array([passage] * 500)], names=["id", "mark", "text"])
+    asked = [r for out in suffix_dedup.ask([batch], 4) for r in out.to_pylist()]
+    values = [suffix_dedup.unpack(r["packed"], "<i8", "<i4", "<u4", "u1", "<u8", "<u8") for r in asked if r["bucket"] >= 0]
+    assert sum(len(v[4]) for v in values) == 0 and 0 < sum(len(v[5]) for v in values) < 400
+    known = [r for r in asked if r["bucket"] < 0]
+    assert len(known) == 500 and all(r["packed"][:4] == suffix_dedup.WHOLE for r in known)
+
+
 def brute_neighbours(rows, every, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and np.any(np.array(v, float) != 0)]
     out = []
-    for q, qv in {i: v for i, v in reversed(good) if i % every == 0}.items():
+    for q, qv in {i: v for i, v in reversed(good) if i % every == 0}.items():  # ids of queries are given once
         near = sorted((-(qv * v).sum(), i) for i, v in good if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(near, 1)]
     return sorted(out)
@@ -166,6 +204,8 @@ def test_neighbours_edges(spark):
     want = brute_neighbours(rows, 20, 20)
     assert [x[:3] for x in out] == [x[:3] for x in want] and np.allclose([x[3] for x in out], [x[3] for x in want])
     assert ann.search(df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [2.0]), (3, [1.0]), (5, [4.0, 4.0, 4.0]), (20, [0.5, 0.0])], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in ann.search(mixed).collect()) == [(20, 1, 1, 0.25), (40, 1, 3, 2.0)]
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in ann.search(few).collect()] == [(20, 1, 1, 0.5)]
 
