@@ -12,7 +12,8 @@ id. The corpus is far too large for one suffix array, so it is dealt out by cont
    documents of one block share needs no answer: of all its copies in the block one value without an owner
    is sent, so a hot passage costs its bucket eight bytes a block.
 2. A bucket replies to the documents which of their anchors some other document has as well:
-   a bit an anchor, in the order in which the document will find them again.
+   a bit an anchor, in the order in which the document will find them again. Replies travel packed to
+   the documents' homes (a task each for a share of the ids), which hand each document one value.
 3. Documents send only those anchors' surroundings, packed, to the bucket of the anchor. Copies
    of surroundings inside one block are sent once, by the smallest document; the other
    documents know then that theirs is taken.
@@ -22,7 +23,7 @@ id. The corpus is far too large for one suffix array, so it is dealt out by cont
    neighbouring places). The array is merge-scanned against all levels of the index family,
    and what no level has becomes a level itself; levels of like size merge, both being in order, so
    there are logarithmically many.
-5. Ranges return to the documents and are joined to their texts. Both joins with the texts
+5. Ranges return to the documents by their homes and are joined to their texts. Both joins with the texts
    use the same shuffle of them.
 
 Defined cases: a null text is the empty text; texts under ``SPAN`` bytes lose nothing; a null id
@@ -46,7 +47,7 @@ WIDE = SPAN - GRAM + 1  # k-grams of a string
 PIECE = 1 << 20  # string starts handled at once; positions in a piece must fit PLACE bits
 PLACE = np.uint64(22)
 BATCH_STRINGS = 1 << 20
-BLOCK, BUCKET = 4 << 20, 8 << 20
+BLOCK, BUCKET = 2 << 20, 8 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -170,15 +171,15 @@ def row_groups(bucket: np.ndarray, row: np.ndarray, buckets: int):
     return order, out
 
 
-ASKED = ["task", "bucket", "packed", "id", "mark"]
+ASKED = ["task", "bucket", "packed"]
 WHOLE = b"\xff\xff\xff\xff"
 
 
 def ask(batches, buckets):
     """Step 1: (bucket's task, bucket, packed counts and anchors) of each block and bucket.
 
-    What a block's documents share among themselves is known at once: a row (any task, bucket -1, bits of
-    all anchors of a text, its id and hash). An anchor all of whose keys are so shared is not asked for; one
+    What a block's documents share among themselves is known at once: rows (their home, bucket -1, packed bits of
+    all anchors of texts). An anchor all of whose keys are so shared is not asked for; one
     value without owners, in the bucket's row, stands for all its copies in the block.
     """
     for batch in batches:
@@ -203,15 +204,48 @@ def ask(batches, buckets):
                 stand = np.unique(v[common[part]])
                 rows.append(pack(ids[lo + r].astype("<i8"), marks[lo + r].astype("<i4"), n.astype("<u4"), np.packbits(bits), v[bits].astype("<u8"), stand.astype("<u8")))
             number = pa.array([g[0] for g in groups], pa.int32())
-            nothing = len(groups)
-            yield pa.RecordBatch.from_arrays([number, number, binaries(rows), pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.int32())], names=ASKED)
+            yield pa.RecordBatch.from_arrays([number, number, binaries(rows)], names=ASKED)
             some = np.unique(row[known])
             if len(some):
-                stops = np.searchsorted(row, np.append(some, some[-1] + 1))
-                ends = np.searchsorted(row, some, side="right")
-                bits = [WHOLE + int(b - a).to_bytes(4, "little") + np.packbits(known[a:b]).tobytes() for a, b in zip(stops.tolist(), ends.tolist())]
-                own = pa.array((marks[lo + some].astype(np.int64) % buckets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(some), -1, np.int32)), binaries(bits), pa.array(ids[lo + some]), pa.array(marks[lo + some])], names=ASKED)
+                begins, ends = np.searchsorted(row, some), np.searchsorted(row, some, side="right")
+                bits = [WHOLE + int(b - a).to_bytes(4, "little") + np.packbits(known[a:b]).tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+                home, rows = to_documents(ids[lo + some], marks[lo + some], bits, buckets)
+                yield pa.RecordBatch.from_arrays([home, pa.array(np.full(len(home), -1, np.int32)), rows], names=ASKED)
+
+
+def home_of(ids: np.ndarray, marks: np.ndarray, homes: int) -> np.ndarray:
+    """The task that gathers what buckets say about a text."""
+    return (mixed(ids.astype(np.uint64) * M1 ^ mixed(marks.astype(np.int64).astype(np.uint64))) >> np.uint64(20)) % np.uint64(homes)
+
+
+def to_documents(ids: np.ndarray, marks: np.ndarray, values: list[bytes], homes: int) -> tuple[pa.Array, pa.Array]:
+    """(homes, packed values) of texts: one row a home, so rows are as many as tasks and not as texts."""
+    home = home_of(ids, marks, homes)
+    order = np.argsort(home, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(home[order]) != 0)), len(order)).tolist()
+    lens, out = np.array([len(v) for v in values], "<u4"), []
+    for a, b in zip(cuts, cuts[1:]):
+        part = order[a:b]
+        out.append(pack(ids[part].astype("<i8"), marks[part].astype("<i4"), lens[part], np.frombuffer(b"".join(values[k] for k in part.tolist()), np.uint8)))
+    return pa.array(home[order[cuts[:-1]]].astype(np.int32)), binaries(out)
+
+
+def at_home(batches):
+    """(id, text's hash, all values of it, joined) from packed values; a text's rows all have one home."""
+    parts = [unpack(v.as_py(), "<i8", "<i4", "<u4", "u1") for batch in batches for v in batch.column(0)]
+    if not parts:
+        return
+    ids, marks, lens = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    raw = b"".join(p[3].tobytes() for p in parts)
+    stops = np.append(0, np.cumsum(lens, dtype=np.int64))
+    order = np.lexsort((marks, ids))
+    first = np.flatnonzero(np.append(True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0)))
+    cuts = [*first.tolist(), len(order)]
+    spots = [(int(stops[k]), int(stops[k + 1])) for k in order.tolist()]
+    values = [b"".join(raw[x:y] for x, y in spots[a:b]) for a, b in zip(cuts, cuts[1:])]
+    for at in range(0, len(first), 4096):
+        head = order[first[at : at + 4096]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(marks[head]), binaries(values[at : at + 4096])], names=["id", "mark", "said"])
 
 
 def by_bucket(batches):
@@ -232,18 +266,17 @@ def gather(values: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*[unpack(v, *kinds) for v in values])]
 
 
-def reply(batches):
-    """Step 2: (id, text's hash, bucket and a bit for each of its anchors there) of documents that share any; known rows pass."""
-    names = ["id", "mark", "shared"]
+def reply(batches, homes):
+    """Step 2: (home, packed: bucket and a bit for each anchor there) of documents that share any; known rows pass."""
+    names, passed = ["home", "packed"], []
 
     def asked():
         for batch in batches:
-            known = np.asarray(batch.column(0)) < 0
-            if known.any():
-                passed.append(pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(known)) for k in (2, 3, 1)], names=names))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(~known)) for k in (0, 1)], names=["bucket", "packed"])
+            known = pa.array(np.asarray(batch.column(1)) < 0)
+            passed.append(pa.RecordBatch.from_arrays([batch.column(0).filter(known), batch.column(2).filter(known)], names=names))
+            other = pa.array(np.asarray(batch.column(1)) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(other), batch.column(2).filter(other)], names=["bucket", "packed"])
 
-    passed: list[pa.RecordBatch] = []
     for bucket, values in by_bucket(asked()):
         while passed:
             yield passed.pop()
@@ -271,7 +304,7 @@ def reply(batches):
         if len(some):
             head = int(bucket).to_bytes(4, "little")
             bits = [head + int(stops[k + 1] - stops[k]).to_bytes(4, "little") + np.packbits(shared[stops[k] : stops[k + 1]]).tobytes() for k in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(marks[some]), binaries(bits)], names=names)
+            yield pa.RecordBatch.from_arrays(list(to_documents(ids[some], marks[some], bits, homes)), names=names)
     while passed:
         yield passed.pop()
 
@@ -280,7 +313,7 @@ def send(batches, buckets):
     """Step 3: packed surroundings for buckets (bucket >= 0), and ranges that are known already (bucket -1)."""
     for batch in batches:
         ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        lists = batch.column(3)
+        said = batch.column(3).to_pylist()
         for lo, hi, data, offs in blocks(*utf8_view(batch.column(2)), BLOCK):
             row, start, count, _, grams, padded = anchors(data, offs)
             if not len(row):
@@ -290,18 +323,21 @@ def send(batches, buckets):
             wanted = np.zeros(len(row), bool)
             told, borders = {}, np.searchsorted(row, np.arange(hi - lo + 1))
             known = np.zeros(len(row), bool)
-            for k, xs in enumerate(lists.slice(lo, hi - lo).to_pylist()):
-                for x in xs or ():
-                    if x[:4] == WHOLE:
-                        known[borders[k] : borders[k + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8, offset=8))[: borders[k + 1] - borders[k]].astype(bool)
+            for k, x in enumerate(said[lo:hi]):
+                at = 0
+                while at < len(x):
+                    bucket_no, n = x[at : at + 4], int.from_bytes(x[at + 4 : at + 8], "little")
+                    bits, at = x[at + 8 : at + 8 + -(-n // 8)], at + 8 + -(-n // 8)
+                    if bucket_no == WHOLE:
+                        known[borders[k] : borders[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
                     else:
-                        told[k, int.from_bytes(x[:4], "little")] = x
+                        told[k, int.from_bytes(bucket_no, "little")] = n, bits
             for b, part, rows, sizes in groups:
                 at = part.start
                 for r, n in zip(rows.tolist(), sizes.tolist()):
                     x = told.get((r, b))
-                    if x is not None and int.from_bytes(x[4:8], "little") == n:
-                        wanted[at : at + n] = np.unpackbits(np.frombuffer(x, np.uint8, offset=8))[:n]
+                    if x is not None and x[0] == n:
+                        wanted[at : at + n] = np.unpackbits(np.frombuffer(x[1], np.uint8))[:n]
                     at += n
             keep = order[wanted | known[order]]
             if not len(keep):
@@ -436,18 +472,21 @@ class Family:
         keys = string_keys(self.data, at)
         order = np.argsort(keys)
         first = np.append(True, np.diff(keys[order]) != 0)
+        group = np.cumsum(first) - 1
+        heads = np.flatnonzero(first)
+        own, who = at[order[heads]], np.minimum.reduceat(docs[order], heads)
         kind = np.empty(len(at), np.int64)
-        kind[order] = np.cumsum(first) - 1
-        own = at[order[first]]
-        odd = np.flatnonzero(~equal_strings(self.data, at, own[kind]))
-        seen: dict[tuple, int] = {}
-        for k in odd.tolist():  # equal keys of different strings: one pair in 2**64
-            kind[k] = seen.setdefault((int(keys[k]), self.data[at[k] : at[k] + SPAN].tobytes()), len(own) + len(seen))
-        more = np.zeros(len(seen), np.int64)
-        more[kind[odd] - len(own)] = at[odd]
-        own = np.append(own, more)
-        who = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(who, kind, docs)
+        kind[order] = group
+        rest = np.flatnonzero(~first)
+        odd = order[rest[~equal_strings(self.data, at[order[rest]], own[group[rest]])]]
+        if len(odd):  # equal keys of different strings, one pair in 2**64: told apart by their bytes
+            names, whole = {}, np.unique(kind[odd])
+            for j in np.flatnonzero(np.isin(kind, whole)).tolist():
+                kind[j] = names.setdefault(self.data[at[j] : at[j] + SPAN].tobytes(), len(own) + len(names))
+            kind = np.unique(kind, return_inverse=True)[1]
+            own, who = np.empty(kind.max() + 1, np.int64), np.full(kind.max() + 1, np.iinfo(np.int64).max)
+            own[kind] = at
+            np.minimum.at(who, kind, docs)
         return own, who, kind
 
     def _merge_scan(self, level: Level, at: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -483,13 +522,13 @@ class Family:
         self.levels.append(new)
 
 
-def resolve(batches):
-    """Step 4: (id, text's hash, ranges of bytes) from buckets; known ranges pass."""
+def resolve(batches, homes):
+    """Step 4: (home, packed ranges of bytes) from buckets; known ranges pass."""
     for bucket, values in by_bucket(batches):
         if bucket < 0:
             for v in values:
                 ids, marks, sizes, start, count, _ = unpack(v, "<i8", "<i4", "<u4", "<i8", "<u4", "u1")
-                yield ranges_of(ids, marks, np.repeat(np.arange(len(ids)), sizes), start, count.astype(np.int64))
+                yield ranges_of(ids, marks, np.repeat(np.arange(len(ids)), sizes), start, count.astype(np.int64), homes)
             continue
         ids, marks, sizes, start, count, data = gather(values, "<i8", "<i4", "<u4", "<i8", "<u4", "u1")
         count = count.astype(np.int64)
@@ -511,22 +550,22 @@ def resolve(batches):
             order = np.lexsort((pos, who))
             who, pos = who[order], pos[order]
             first = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (np.diff(pos) != 1)))
-            yield ranges_of(ids, marks, who[first], pos[first], np.diff(np.append(first, len(pos))))
+            yield ranges_of(ids, marks, who[first], pos[first], np.diff(np.append(first, len(pos))), homes)
 
 
-def ranges_of(ids, marks, owner, start, count) -> pa.RecordBatch:
-    """Rows (id, text's hash, pairs of first byte and end); ``owner`` ascends."""
+def ranges_of(ids, marks, owner, start, count, homes) -> pa.RecordBatch:
+    """Rows (home, packed pairs of first byte and end); ``owner`` ascends."""
     pair = np.stack((start, start + count + SPAN - 1), axis=1).astype("<i8").tobytes()
     first = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else np.zeros(0, int)
     cuts, rows = [*(first * 16).tolist(), len(start) * 16], owner[first]
-    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), binaries([pair[a:b] for a, b in zip(cuts, cuts[1:])])], names=["id", "mark", "ranges"])
+    return pa.RecordBatch.from_arrays(list(to_documents(ids[rows], marks[rows], [pair[a:b] for a, b in zip(cuts, cuts[1:])], homes)), names=["home", "packed"])
 
 
-def remove(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
+def remove(raw: bytes, ranges: bytes | None) -> tuple[bytes, list[tuple[int, int]]]:
     """(what is left, maximal removed runs) of a text."""
     if not ranges:
         return raw, []
-    pairs = np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(ranges, "<i8").reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
@@ -552,14 +591,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     key = ["id", "mark"]
-    asked = rows.mapInArrow(lambda b: ask(b, buckets), "task int, bucket int, packed binary, id bigint, mark int")
-    asked = asked.repartitionById(buckets, F.col("task")).select("bucket", "packed", "id", "mark").sortWithinPartitions("bucket")
-    replies = asked.mapInArrow(reply, "id bigint, mark int, shared binary").groupBy(*key).agg(F.collect_list("shared").alias("shared"))
+    asked = rows.mapInArrow(lambda b: ask(b, buckets), "task int, bucket int, packed binary")
+    asked = asked.repartitionById(buckets, F.col("task")).sortWithinPartitions("bucket")
+
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        home = df.repartitionById(buckets, F.col("home")).select("packed")
+        return home.mapInArrow(at_home, "id bigint, mark int, said binary").withColumnRenamed("said", name)
+
+    replies = gathered(asked.mapInArrow(lambda b: reply(b, buckets), "home int, packed binary"), "shared")
     sent = rows.join(replies, key).select("id", "mark", "text", "shared").mapInArrow(lambda b: send(b, buckets), "bucket int, packed binary")
     # known ranges need no bucket's company: they are dealt out evenly
     own = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("packed"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     dealt = sent.repartitionById(buckets, own).sortWithinPartitions("bucket")
-    ranges = dealt.mapInArrow(resolve, "id bigint, mark int, ranges binary").groupBy(*key).agg(F.collect_list("ranges").alias("ranges"))
+    ranges = gathered(dealt.mapInArrow(lambda b: resolve(b, buckets), "home int, packed binary"), "ranges")
     joined = rows.join(ranges, key, "left").select("id", "text", "ranges")
 
     def finish(batches):

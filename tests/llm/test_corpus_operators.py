@@ -185,7 +185,7 @@ def test_hot_passage_is_asked_for_once_a_block():
     values = [suffix_dedup.unpack(r["packed"], "<i8", "<i4", "<u4", "u1", "<u8", "<u8") for r in asked if r["bucket"] >= 0]
     assert sum(len(v[4]) for v in values) == 0 and 0 < sum(len(v[5]) for v in values) < 400
     known = [r for r in asked if r["bucket"] < 0]
-    assert len(known) == 500 and all(r["packed"][:4] == suffix_dedup.WHOLE for r in known)
+    assert 1 <= len(known) <= 4 and sum(len(suffix_dedup.unpack(r["packed"], "<i8", "<i4", "<u4", "u1")[0]) for r in known) == 500
 
 
 def brute_neighbours(rows, every, k):
