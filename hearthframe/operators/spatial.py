@@ -2,59 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_m, parallel_difference
 from ..session import checkpoint_ready
 
-#: Most rows of the small side that a nearest join compares with every row.
-NEAREST_BROADCAST = 2_000
+#: Nearest joins: a cell is split in ``SPLIT`` a dimension until none holds more than ``LEAF`` places, ``DEPTH`` times at most.
+SPLIT, LEAF, DEPTH = 4, 256, 12
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, lat: str, lon: str, right_key: str, right_lat: str, right_lon: str, cell_deg: float = 1.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, lat: str, lon: str, right_key: str, right_lat: str, right_lon: str) -> DataFrame:
     """(left columns, right_key, distance_m): the nearest right row by great circle, ties to the smaller key.
 
-    A counted small right side (station catalogues) travels as one array in one row, so the left
-    side is only projected: no shuffle, no pairs. Beyond ``NEAREST_BROADCAST`` rows, both meet in
-    a latitude-longitude grid over ever larger rings until each row has a proven nearest.
+    Every left row comes out once, repeated ones too; without coordinates, or without any right row, with nulls.
+    ``key`` need not be unique. Right rows without coordinates or key are no candidates.
     """
-    r = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).select(F.col(right_key).alias("__key"), F.col(right_lat).alias("__lat"), F.col(right_lon).alias("__lon"))
-    if r.limit(NEAREST_BROADCAST + 1).count() <= NEAREST_BROADCAST:
-        one = r.agg(F.collect_list(F.struct("__key", "__lat", "__lon")).alias("__all"))
-        each = F.transform("__all", lambda s: F.struct(haversine_m(F.col(lat), F.col(lon), s["__lat"], s["__lon"]).alias("d"), s["__key"].alias("k")))
-        found = left.join(F.broadcast(one), F.lit(True)).withColumn("__m", F.array_min(F.filter(each, lambda x: x["d"].isNotNull())))
-        return found.select(*left.columns, F.col("__m.k").alias(right_key), F.col("__m.d").alias("distance_m"))
-    d = haversine_m(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
-    return _nearest_grid(left, r, lat, lon, right_key, d, cell_deg)
+    space = lambda la, lo: (F.cos(F.radians(la)) * F.cos(F.radians(lo)), F.cos(F.radians(la)) * F.sin(F.radians(lo)), F.sin(F.radians(la)))
+    metres = haversine_m(F.col("__a"), F.col("__b"), F.col("__ra"), F.col("__rb"))
+    return _nearest(left, right, (lat, lon), (right_lat, right_lon), right_key, space, metres, right_key, "distance_m")
 
 
-def _nearest_grid(left, r, lat, lon, right_key, d, cell_deg) -> DataFrame:
-    """Rings of grid cells, doubled until the best distance is inside the ring's sure radius.
+def _nearest(left, right, at, right_at, right_key, space, distance, key_out, distance_out) -> DataFrame:
+    """Branch and bound down a grid pyramid over the right side, all left rows at once.
 
-    The least distances of a ring are combined before the shuffle; rounds are checkpointed.
+    ``space`` maps two coordinates to points in which straight distance orders like ``distance``. Each level
+    holds the occupied cells with the bounds of what they hold. A left row keeps, level by level, the
+    cells whose least distance does not exceed the least of all cells' greatest distances, and meets the rows of the
+    last level's cells only. So the work a row is a few cells a level at any size and density; places of
+    the right side are distinct (the least key stays), so a hot place is one row.
     """
     checkpoint_ready(left.sparkSession)
-    todo, done, reach = left, None, 1
-    cell = lambda x: F.floor(x / cell_deg).cast("int")
-    columns_around = int(360 / cell_deg)
+    names = left.columns
+    rows = left.withColumn("__id", F.monotonically_increasing_id()).checkpoint()  # ids must not change
+    points = rows.select("__id", F.col(at[0]).cast("double").alias("__a"), F.col(at[1]).cast("double").alias("__b")).filter("__a IS NOT NULL AND __b IS NOT NULL AND NOT isnan(__a) AND NOT isnan(__b)")
+    places = right.select(F.col(right_key).alias("__key"), F.col(right_at[0]).cast("double").alias("__ra"), F.col(right_at[1]).cast("double").alias("__rb"))
+    places = places.filter("__key IS NOT NULL AND __ra IS NOT NULL AND __rb IS NOT NULL AND NOT isnan(__ra) AND NOT isnan(__rb)").groupBy("__ra", "__rb").agg(F.min("__key").alias("__key"))
+    p, r = space(F.col("__a"), F.col("__b")), space(F.col("__ra"), F.col("__rb"))
+    dims = range(len(p))
+    points = points.withColumns({f"__p{i}": x for i, x in enumerate(p)})
+    places = places.withColumns({f"__r{i}": x for i, x in enumerate(r)})
+    found = places.agg(*[f(f"__r{i}") for i in dims for f in (F.min, F.max)], F.count("*")).first()
+    nothing = F.lit(None).cast(right.schema[right_key].dataType).alias(key_out), F.lit(None).cast("double").alias(distance_out)
+    if not found[-1]:
+        return rows.select(*names, *nothing)
+    low = [found[2 * i] for i in dims]
+    size = max(found[2 * i + 1] - found[2 * i] for i in dims) or 1.0
+    cell = lambda i, n: F.least(F.floor((F.col(f"__r{i}") - low[i]) / size * n).cast("long"), F.lit(n - 1).cast("long"))
+    cells = [f"__c{i}" for i in dims]
+    frontier, depth = None, 0
     while True:
-        rows = F.explode(F.sequence(cell(F.col(lat)) - reach, cell(F.col(lat)) + reach))
-        cols = F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col(lon)) - reach, cell(F.col(lon)) + reach), lambda c: F.pmod(c, F.lit(columns_around)))))
-        asked = todo.withColumn("__i", rows).withColumn("__j", cols)
-        placed = r.withColumns({"__i": cell(F.col("__lat")), "__j": F.pmod(cell(F.col("__lon")), F.lit(columns_around))})
-        found = asked.join(placed, ["__i", "__j"]).groupBy(*left.columns).agg(F.min(F.struct(d.alias("d"), F.col("__key").alias("k"))).alias("m"))
-        # anything outside the ring is at least this far: whole rows of latitude, or columns at the ring's far latitude
-        far_lat = F.radians(F.least(F.abs(F.col(lat)) + (reach + 1) * cell_deg, F.lit(90.0)))
-        sure = F.lit(reach * cell_deg * 111_000.0) * F.greatest(F.cos(far_lat) * 0.6, F.lit(0.0))
-        ok = found.select(*left.columns, F.col("m.k").alias(right_key), F.col("m.d").alias("distance_m")).withColumn("__sure", sure)
-        ok = ok.filter(F.col("distance_m") <= F.col("__sure")).drop("__sure") if reach * cell_deg < 180 else ok.drop("__sure")
-        ok = ok.checkpoint()
-        done = ok if done is None else done.unionByName(ok)
-        todo = todo.join(ok.select(*left.columns), left.columns, "left_anti").checkpoint()
-        if reach * cell_deg >= 180 or todo.isEmpty():
-            return done
-        reach *= 2
+        depth += 1
+        level = places.withColumns({c: cell(i, SPLIT**depth) for i, c in enumerate(cells)})
+        held = level.groupBy(*cells).agg(F.count("*").alias("__n"), *[f(f"__r{i}").alias(f"__{w}{i}") for i in dims for w, f in (("lo", F.min), ("hi", F.max))]).checkpoint()
+        if frontier is None:
+            frontier = points.crossJoin(F.broadcast(held.drop("__n")))  # at most SPLIT ** dimensions cells
+        else:
+            up = [F.floor(F.col(c) / SPLIT).cast("long").alias(f"__u{i}") for i, c in enumerate(cells)]
+            kids = held.drop("__n").select("*", *up)
+            above = frontier.select("__id", "__a", "__b", *[f"__p{i}" for i in dims], *[F.col(c).alias(f"__u{i}") for i, c in enumerate(cells)])
+            frontier = above.join(kids, [f"__u{i}" for i in dims]).drop(*[f"__u{i}" for i in dims])
+        out_by = [F.greatest(F.col(f"__lo{i}") - F.col(f"__p{i}"), F.col(f"__p{i}") - F.col(f"__hi{i}"), F.lit(0.0)) for i in dims]
+        at_most = [F.greatest(F.abs(F.col(f"__p{i}") - F.col(f"__lo{i}")), F.abs(F.col(f"__p{i}") - F.col(f"__hi{i}"))) for i in dims]
+        length = lambda xs: F.sqrt(sum((x * x for x in xs[1:]), xs[0] * xs[0]))
+        bound = F.min(length(at_most)).over(Window.partitionBy("__id"))
+        frontier = frontier.withColumn("__bound", bound).filter(length(out_by) <= F.col("__bound") + 1e-9 * size).drop("__bound", *[f"__{w}{i}" for i in dims for w in ("lo", "hi")])
+        if depth == DEPTH or held.agg(F.max("__n")).first()[0] <= LEAF:
+            break
+    near = frontier.join(level, cells).groupBy("__id").agg(F.min(F.struct(distance.alias("d"), F.col("__key").alias("k"))).alias("__m"))
+    return rows.join(near, "__id", "left").select(*names, F.col("__m.k").alias(key_out), F.col("__m.d").alias(distance_out))
 
 
 def within_radius(df: DataFrame, key: str, x: str, y: str, radius: float, groups: list[str] | None = None) -> DataFrame:
@@ -73,19 +89,14 @@ def within_radius(df: DataFrame, key: str, x: str, y: str, radius: float, groups
 
 
 def match_or_nearest(left: DataFrame, right: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Rows joined by id; those without a partner take the nearest right row (ties: smaller id).
-
-    The right side is one city's sample and must have at most ``NEAREST_BROADCAST`` rows.
-    """
-    if right.limit(NEAREST_BROADCAST + 1).count() > NEAREST_BROADCAST:
-        raise ValueError(f"match_or_nearest takes at most {NEAREST_BROADCAST} candidates")
-    r = right.select(F.col(key).alias("matched"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    by_id = left.join(r, left[key] == r["matched"], "left_semi").withColumn("matched", F.col(key)).withColumn("how", F.lit("id"))
-    rest = left.join(r, left[key] == r["matched"], "left_anti")
-    one = r.agg(F.collect_list(F.struct("matched", "__x", "__y")).alias("__all"))  # a city's few candidates
-    each = F.transform("__all", lambda s: F.struct(F.hypot(F.col(x) - s["__x"], F.col(y) - s["__y"]).alias("d"), s["matched"].alias("k")))
-    near = rest.join(F.broadcast(one), F.lit(True)).withColumn("__m", F.array_min(each))
-    return by_id.unionByName(near.select(*left.columns, F.col("__m.k").alias("matched"), F.lit("nearest").alias("how")))
+    """Rows joined by id; those without a partner take the nearest right row (ties: smaller id), null without a place."""
+    partners = right.select(F.col(key).alias("matched")).filter("matched IS NOT NULL").distinct()
+    both = left.join(partners, F.col(key) == F.col("matched"), "left")
+    by_id = both.filter("matched IS NOT NULL").withColumn("how", F.lit("id"))
+    flat = lambda a, b: (a, b)
+    planar = F.hypot(F.col("__a") - F.col("__ra"), F.col("__b") - F.col("__rb"))
+    near = _nearest(both.filter("matched IS NULL").drop("matched"), right, (x, y), (x, y), key, flat, planar, "matched", "__d")
+    return by_id.unionByName(near.drop("__d").withColumn("how", F.lit("nearest")))
 
 
 def sample_raster(points: DataFrame, x: str, y: str, pixels: DataFrame, x0: float, y0: float, size: float, nodata: float | None, out: str, required: bool) -> DataFrame:
@@ -123,7 +134,7 @@ def best_edges(edges: DataFrame, lines: DataFrame, groups: list[str], edge: str,
     bands = int(180 // angle) or 1
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     asked = edges.withColumn("__da", F.explode(steps)).withColumn("__dr", F.explode(steps))
-    asked = asked.withColumns({"__a": F.pmod(F.least(band("alpha", angle), F.lit(bands - 1)) + F.col("__da"), F.lit(bands)), "__sense": F.lit(1.0)})
+    asked = asked.withColumns({"__a": F.pmod(F.least(band("alpha", angle), F.lit(bands - 1)) + F.col("__da"), F.lit(bands))})
     asked = asked.withColumn("__b", band("rho", offset) + F.col("__dr")).select(*groups, edge, F.col("alpha").alias("ea"), F.col("rho").alias("er"), "__a", "__b").distinct()
     there = lines.withColumns({"__a": F.least(band("alpha", angle), F.lit(bands - 1)), "__b": band("rho", offset)}).select(*groups, line, F.col("alpha").alias("la"), F.col("rho").alias("lr"), "__a", "__b")
     da, dr = parallel_difference(F.col("ea"), F.col("la")), F.abs(F.col("er") - F.col("lr"))
