@@ -121,17 +121,6 @@ def crosses_itself(ring: Ring) -> bool:
     return False
 
 
-def valid(ring: Ring) -> Ring:
-    """The ring without repeated vertices if it is simple and has area; else the largest slab pieces' hull order, or nothing."""
-    out = [p for k, p in enumerate(ring) if math.dist(p, ring[k - 1]) > EPS]
-    if len(out) < 3 or abs(area(out)) < EPS:
-        return []
-    if not crosses_itself(out):
-        return out
-    pieces = slabs([out])
-    return max(pieces, key=lambda r: abs(area(r)), default=[])
-
-
 def normalise(ring: Ring, tolerance: float = 0.2, most_m2: float = 3.0, most_share: float = 0.03) -> Ring:
     """Simplified and cleaned, unless the area changes by more than the larger of the two limits."""
     size = abs(area(ring))
@@ -223,33 +212,70 @@ def partition_score(pieces: list[Ring]) -> float:
     return len(pieces) + 20 * (1 - sum(s * compact(r) for s, r in zip(sizes, pieces)) / whole)
 
 
-def convex_pieces(ring: Ring, depth: int = 24, width: int = 4, variants: int = 32) -> list[Ring]:
-    """Convex pieces by a beam search over chords from reflex vertices; slabs where the search ends without any."""
+def grown(state: list[Ring], most_reflex: int, variants: int) -> list[list[Ring]]:
+    """States in which the first piece that is not convex has been cut once."""
+    bad = next(i for i, r in enumerate(state) if not is_convex(r))
+    piece, out = state[bad], []
+    for j in reflex(piece)[:most_reflex]:
+        for d in inside_directions(piece, j):
+            if made := cut_from(piece, j, d):
+                out.append(state[:bad] + [counter_clockwise(clean(r)) for r in made] + state[bad + 1 :])
+    out.sort(key=promise)
+    return out[:variants]
+
+
+def promise(state: list[Ring]) -> float:
+    """Lower is better: what a state scores, and two points a reflex vertex that is left."""
+    return 2 * sum(len(reflex(r)) for r in state) + partition_score(state)
+
+
+def convex_pieces(ring: Ring, depths: tuple[int, int] = (4, 24), widths: tuple[int, int] = (3, 4), variants: int = 32, most_reflex: int = 8, most_failed: int = 500) -> list[Ring]:
+    """Convex pieces by an adaptive beam over cuts from reflex vertices; slabs where the search fails.
+
+    ``width`` states go on at a time. Those beyond it overflow and have their turn once the beam is empty;
+    those beyond ``depth`` cuts are deferred until nothing else is left: then depth and width grow by one. The
+    search ends with the first beam that completes a partition, or after ``most_failed`` states without a cut.
+    """
     whole = counter_clockwise(clean(ring))
-    beam, best = [[whole]], None
-    for _ in range(depth):
-        grown = []
-        for state in beam:
-            bad = next((i for i, r in enumerate(state) if not is_convex(r)), None)
-            if bad is None:
+    if len(whole) < 3:
+        return []
+    depth, width, failed, best = depths[0], widths[0], 0, None
+    active: list[tuple[int, list[Ring]]] = [(0, [whole])]
+    overflow: list[tuple[int, list[Ring]]] = []
+    deferred: list[tuple[int, list[Ring]]] = []
+    seen = set()
+    while failed < most_failed:
+        if not active:
+            if best is not None:
+                break
+            source = overflow or deferred
+            if not source:
+                break
+            if source is deferred:
+                if depth >= depths[1]:
+                    break
+                depth, width = depth + 1, min(widths[1], width + 1)
+            source.sort(key=lambda s: promise(s[1]))
+            active, source[:] = source[:width], source[width:]
+        fresh = []
+        for cuts, state in active:
+            if all(map(is_convex, state)):
                 if best is None or partition_score(state) < partition_score(best):
                     best = state
                 continue
-            piece = state[bad]
-            for k in reflex(piece)[:3]:
-                for d in inside_directions(piece, k)[:variants]:
-                    if made := cut_from(piece, k, d):
-                        grown.append(state[:bad] + [counter_clockwise(clean(r)) for r in made] + state[bad + 1 :])
-        if not grown:
-            break
-        seen, beam = set(), []
-        for state in sorted(grown, key=lambda s: (sum(len(reflex(r)) for r in s) * 2 + partition_score(s))):
-            key = tuple(sorted((round(abs(area(r)), 4), round(length(r), 4)) for r in state))
-            if key not in seen:
-                seen.add(key)
-                beam.append(state)
-            if len(beam) == width:
-                break
+            if cuts >= depth:
+                deferred.append((cuts, state))
+                continue
+            made = grown(state, most_reflex, variants)
+            failed += not made
+            for new in made:
+                key = tuple(sorted((round(abs(area(r)), 4), round(length(r), 4)) for r in new))
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append((cuts + 1, new))
+        fresh.sort(key=lambda s: promise(s[1]))
+        active = fresh[:width]
+        overflow += fresh[width:]
     if best is None or abs(sum(map(area, best)) - area(whole)) > 0.01 * area(whole):
         best = slabs([whole])
     return best
@@ -317,49 +343,6 @@ def inset(ring: Ring, depth: float) -> Ring:
     return out if area(out) > EPS and not crosses_itself(out) else []
 
 
-def opening(ring: Ring, by: float) -> Ring:
-    """Shrunk and grown again; the ring itself where it would vanish."""
-    small = inset(ring, by)
-    return inset(small, -by) if small else list(ring)
-
-
-def perimeter_zones(ring: Ring, depth: float = 4.5) -> tuple[list[Ring], list[Ring], str]:
-    """(core zones, perimeter zones, how): a core and one trapezoid a wall, or convex pieces where no core fits."""
-    r = counter_clockwise(clean(ring))
-    core = inset(r, depth)
-    if not core:
-        return [], convex_pieces(r), "thin"
-    n = len(r)
-    bands = [[r[k], r[(k + 1) % n], core[(k + 1) % n], core[k]] for k in range(n)]
-    if any(area(b) <= 0 for b in bands):
-        return [], convex_pieces(r), "folded"
-    return convex_pieces(core), bands, "ring"
-
-
-def align(ring: Ring, tolerance_deg: float = 8.0, most_shift: float = 0.4) -> tuple[Ring, bool]:
-    """Walls near the main direction (modulo a right angle) turned onto it; kept only if area and vertices barely move."""
-    r = counter_clockwise(ring)
-    n = len(r)
-    ang = [math.atan2(r[(k + 1) % n][1] - r[k][1], r[(k + 1) % n][0] - r[k][0]) for k in range(n)]
-    size = [math.dist(r[k], r[(k + 1) % n]) for k in range(n)]
-    main = math.atan2(sum(s * math.sin(4 * a) for s, a in zip(size, ang)), sum(s * math.cos(4 * a) for s, a in zip(size, ang))) / 4
-    lines = []
-    for k in range(n):
-        off = (ang[k] - main + math.pi / 4) % (math.pi / 2) - math.pi / 4
-        a = ang[k] - off if abs(math.degrees(off)) <= tolerance_deg else ang[k]
-        mid = ((r[k][0] + r[(k + 1) % n][0]) / 2, (r[k][1] + r[(k + 1) % n][1]) / 2)
-        lines.append((mid, (math.cos(a), math.sin(a))))
-    out = []
-    for k in range(n):
-        (p, u), (q, v) = lines[k - 1], lines[k]
-        det = u[0] * v[1] - u[1] * v[0]
-        t = ((q[0] - p[0]) * v[1] - (q[1] - p[1]) * v[0]) / det if abs(det) > 1e-6 else None
-        out.append(r[k] if t is None else (p[0] + t * u[0], p[1] + t * u[1]))
-    ratio = area(out) / area(r) if area(r) else 0
-    ok = 0.97 <= ratio <= 1.03 and max(math.dist(a, b) for a, b in zip(out, r)) <= most_shift and not crosses_itself(out)
-    return (out, True) if ok else (r, False)
-
-
 def point_segment(p, a, b) -> float:
     dx, dy = b[0] - a[0], b[1] - a[1]
     s = dx * dx + dy * dy
@@ -435,20 +418,6 @@ def zone_groups(zones: list[Ring], least: float = 0.1, corners: bool = True) ->
     return [names[find(k)] for k in range(len(zones))]
 
 
-def project_shared(ring: Ring, other: Ring, gap: float = 0.3) -> Ring:
-    """Vertices within ``gap`` of a neighbour's wall moved onto it."""
-    out = []
-    for p in ring:
-        best = min(((point_segment(p, a, b), a, b) for a, b in zip(other, other[1:] + other[:1])), default=None)
-        if best and EPS < best[0] <= gap:
-            _, a, b = best
-            dx, dy = b[0] - a[0], b[1] - a[1]
-            t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
-            p = (a[0] + t * dx, a[1] + t * dy)
-        out.append(p)
-    return out if area(out) * area(ring) > 0 else list(ring)
-
-
 def points(value) -> Ring:
     """A ring from a column's list of structs."""
     return [(p["x"], p["y"]) for p in value or []]

@@ -1,7 +1,7 @@
 """Neighbours as shades: facing edges, rays, visibility, and windows on walls that look out.
 
-A neighbourhood stays a set of polygons: distance and sight distribute over a union (a minimum,
-an any), so nothing has to be dissolved. Kernels run inside a row: a building with its own neighbours.
+Distance and sight distribute over a union (a minimum, an any), so they need no dissolved
+neighbourhood; ``zones.dissolve`` makes one. Kernels run inside a row: a building with its own neighbours.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import kernels as k
+from . import overlay
 
 EDGE = "struct<edge:int,x1:double,y1:double,x2:double,y2:double,length:double>"
 
@@ -23,6 +24,29 @@ def gather_neighbours(buildings: DataFrame, neighbours: DataFrame, key: str, rin
     return buildings.join(rings, key, "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(f"array<{g.RING}>")))
 
 
+def nearby(buildings: DataFrame, candidates: DataFrame, key: str, other: str, ring: str, radius: float = 20.0, overlap: float = 0.5) -> DataFrame:
+    """(key, other, ring of the other): footprints with a vertex within ``radius`` of a vertex of the building.
+
+    Vertices meet in grid cells as wide as the radius. A candidate that overlaps the building by more than
+    ``overlap`` square metres is the same one drawn twice and leaves; of equal outlines the least id stays.
+    """
+    cell = lambda c: F.floor(c / radius).cast("long")
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    own = buildings.select(key, F.explode(F.array_distinct(ring)).alias("p")).withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
+    own = own.select(key, F.col("p.x").alias("x"), F.col("p.y").alias("y"), (cell(F.col("p.x")) + F.col("i")).alias("i"), (cell(F.col("p.y")) + F.col("j")).alias("j"))
+    there = candidates.select(F.col(other).alias("__other"), F.explode(F.array_distinct(ring)).alias("q"))
+    there = there.select("__other", F.col("q.x").alias("ox"), F.col("q.y").alias("oy"), cell(F.col("q.x")).alias("i"), cell(F.col("q.y")).alias("j"))
+    pairs = own.join(there, ["i", "j"]).filter(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius).select(key, "__other").distinct()
+    rings = candidates.select(F.col(other).alias("__other"), F.col(ring).alias("__ring"))
+    both = pairs.join(buildings.select(key, ring), key).join(rings, "__other")
+
+    def common(one, two):
+        return {"__common": overlay.size(overlay.intersection([(k.points(one), [])], [(k.points(two), [])]))}
+
+    apart = k.ring_pass(both, [ring, "__ring"], common, "__common double").filter(F.col("__common") <= overlap)
+    return apart.groupBy(key, "__ring").agg(F.min("__other").alias(other)).select(key, other, F.col("__ring").alias("neighbour"))
+
+
 def shading_edges(df: DataFrame, key: str, ring: str, gap: float = 0.2) -> DataFrame:
     """(key, neighbour, edge, facing_score, distance): edges of neighbours that face the building, or touch it.
 
@@ -64,15 +88,20 @@ def rays(df: DataFrame, edges: str, ring: str, step: float = 2.0) -> DataFrame:
 def visible_edges(rays_: DataFrame, masks: DataFrame, key: str, edge: list[str], trim: float = 0.05) -> DataFrame:
     """Edges kept: those with a clear ray, and those of buildings without masks.
 
-    ``masks``: one row a building with ``masks``, an array of rings. Rays too short to trim are clear.
+    ``masks``: one row a building with ``masks``, an array of rings. Rays too short to trim are clear. A building's
+    rays meet its masks as one array, so the masks are copied once a building and not once a ray.
     """
+    ray = F.struct(*edge, "x1", "y1", "x2", "y2")
+    lines = rays_.groupBy(key).agg(F.collect_list(ray).alias("__rays"))
+    joined = lines.join(masks.select(key, "masks"), key, "left")
 
-    def sight(x1, y1, x2, y2, rings):
-        return {"clear": not k.blocked((x1, y1), (x2, y2), [k.points(r) for r in rings or []], trim)}
+    def sight(rays, rings):
+        rings = [k.points(r) for r in rings or []]
+        return {"__clear": [not k.blocked((r["x1"], r["y1"]), (r["x2"], r["y2"]), rings, trim) for r in rays]}
 
-    joined = rays_.join(masks.select(key, "masks"), key, "left")
-    seen = k.ring_pass(joined, ["x1", "y1", "x2", "y2", "masks"], sight, "clear boolean")
-    return seen.groupBy(key, *edge).agg(F.bool_or("clear").alias("keep")).filter("keep").drop("keep")
+    seen = k.ring_pass(joined, ["__rays", "masks"], sight, "__clear array<boolean>")
+    each = seen.select(key, F.explode(F.arrays_zip("__rays", "__clear")).alias("z")).select(key, *[F.col(f"z.__rays.{e}").alias(e) for e in edge], F.col("z.__clear").alias("__c"))
+    return each.groupBy(key, *edge).agg(F.bool_or("__c").alias("keep")).filter("keep").drop("keep")
 
 
 def window_candidates(df: DataFrame, key: str, ring: str, gap: float = 0.5) -> DataFrame:

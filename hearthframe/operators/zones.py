@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import kernels as k
+from . import overlay as o
+from . import perimeter, regularise
 
 #: Limits of zone shapes in metres and ratios (fixed values).
 HARD_WIDTH, HARD_ASPECT, HARD_COMPACT = 1.0, 8.0, 0.25
@@ -23,37 +25,81 @@ def decompose(df: DataFrame, ring: str) -> DataFrame:
     return k.ring_pass(df, [ring], one, f"zones array<{g.RING}>, zone_area double, convex boolean")
 
 
-def perimeter_core(df: DataFrame, ring: str, depth: float = 4.5) -> DataFrame:
-    """Adds ``zones_core``, ``zones_perimeter`` and ``how``."""
+def perimeter_core(df: DataFrame, polygon: str, depth: float = perimeter.DEPTH) -> DataFrame:
+    """Adds ``zones_core``, ``zones_perimeter``, ``how`` the core came about and the subdivision's ``reason``.
+
+    ``polygon`` is a ring, or a struct of exterior and holes.
+    """
 
     def one(value):
-        core, bands, how = k.perimeter_zones(k.points(value), depth) if value and len(value) > 2 else ([], [], "empty")
-        return {"zones_core": [k.structs(p) for p in core], "zones_perimeter": [k.structs(p) for p in bands], "how": how}
+        made = perimeter.zones(outline(value), depth) if value else {"core": [], "perimeter": [], "how": "input_too_small", "reason": "no_perimeter_geom"}
+        return {"zones_core": [k.structs(p) for p in made["core"]], "zones_perimeter": [k.structs(p) for p in made["perimeter"]], "how": made["how"], "reason": made["reason"]}
+
+    return k.ring_pass(df, [polygon], one, f"zones_core array<{g.RING}>, zones_perimeter array<{g.RING}>, how string, reason string")
+
 
-    return k.ring_pass(df, [ring], one, f"zones_core array<{g.RING}>, zones_perimeter array<{g.RING}>, how string")
+def outline(value) -> o.Polygon:
+    """A polygon from a column's ring or struct of exterior and holes."""
+    if isinstance(value, dict):
+        return k.points(value["exterior"]), [k.points(h) for h in value["holes"] or []]
+    return k.points(value), []
 
 
 def split_holes(df: DataFrame, polygon: str) -> DataFrame:
-    """Adds ``pieces``: convex rings that cover a polygon without its holes."""
+    """Adds ``pieces``: rings that cover a polygon without its holes, cut along the holes' own walls."""
 
     def one(p):
-        rings = [k.points(p["exterior"]), *[k.points(h) for h in p["holes"] or []]] if p else []
-        return {"pieces": [k.structs(r) for r in k.slabs(rings)]}
+        return {"pieces": [k.structs(ext) for ext, _ in o.without_holes(outline(p))] if p else []}
 
     return k.ring_pass(df, [polygon], one, f"pieces array<{g.RING}>")
 
 
+def valid_parts(df: DataFrame, ring: str, least: float = 1e-6) -> DataFrame:
+    """Adds ``parts``: all polygons that a ring encloses, also where it crosses itself."""
+
+    def one(value):
+        return {"parts": [{"exterior": k.structs(e), "holes": [k.structs(h) for h in hs]} for e, hs in o.made_valid(k.points(value), least)]}
+
+    return k.ring_pass(df, [ring], one, f"parts array<{g.POLYGON}>")
+
+
+def dissolve(df: DataFrame, rings: str, gap: float = 0.1, least: float = 1.0) -> DataFrame:
+    """Adds ``dissolved``: one region of an array of rings, hairline gaps closed, small parts left out."""
+
+    def one(value):
+        region = o.dissolve([(k.points(r), []) for r in value or [] if r], gap, least)
+        return {"dissolved": [{"exterior": k.structs(e), "holes": [k.structs(h) for h in hs]} for e, hs in region]}
+
+    return k.ring_pass(df, [rings], one, f"dissolved array<{g.POLYGON}>")
+
+
 def normalise(df: DataFrame, ring: str) -> DataFrame:
-    """Adds ``normal``: the simplified ring, and ``aligned``: its walls turned to the main direction, with ``turned``."""
+    """Adds ``normal``: the simplified ring (of a ring that crosses itself its largest part), and ``aligned``: its walls on common lines, with ``turned``."""
 
     def one(value):
-        r = k.normalise(k.valid(k.points(value)) or k.points(value)) if value and len(value) > 2 else k.points(value)
-        a, turned = k.align(r) if len(r) > 2 else (r, False)
+        r = k.points(value)
+        if len(r) > 2 and k.crosses_itself(r):
+            r = max((p[0] for p in o.made_valid(r)), key=lambda x: abs(k.area(x)), default=r)
+        r = k.normalise(r) if len(r) > 2 else r
+        a, turned = regularise.aligned(r) if len(r) > 2 else (r, False)
         return {"normal": k.structs(r), "aligned": k.structs(a), "turned": turned}
 
     return k.ring_pass(df, [ring], one, f"normal {g.RING}, aligned {g.RING}, turned boolean")
 
 
+def fit_neighbours(df: DataFrame, ring: str, neighbours: str) -> DataFrame:
+    """Adds ``fitted``: each neighbour on the building's wall lines, moved onto shared walls, and without overlap."""
+
+    def one(main, others):
+        main, out = k.counter_clockwise(k.points(main)), []
+        for value in others or []:
+            r = regularise.aligned(k.points(value), main)[0]
+            out.append(k.structs(regularise.without_overlap(regularise.on_shared_walls(r, main), main)))
+        return {"fitted": out}
+
+    return k.ring_pass(df, [ring, neighbours], one, f"fitted array<{g.RING}>")
+
+
 def rectangle(df: DataFrame, ring: str) -> DataFrame:
     """Adds ``short`` and ``long`` sides of the least rectangle."""
 
@@ -96,7 +142,7 @@ def quality(zones: DataFrame, key: str, area: str, width: str, aspect: str, comp
 
 
 def score() -> F.Column:
-    """Fewer failures, then fewer awkward zones, then fewer zones; shapes settle the rest. Structs compare field by field."""
+    """Order of zonings, best last: counts of bad zones first, then of zones, then the worst shapes."""
     low = F.lit(float("-inf"))
     return F.struct(
         (-F.col("n_hard")).alias("a"),
