@@ -88,6 +88,11 @@ def utm_epsg(lat: Column, lon: Column) -> Column:
     return F.when(lat >= 0, 32600 + utm_zone(lon)).otherwise(32700 + utm_zone(lon))
 
 
+def metric_epsg(pairs: list[tuple[Column, Column]], default: int = 32633) -> Column:
+    """The metric system at the first pair (lat, lon) that is whole, else the default."""
+    return F.coalesce(*[F.when(la.isNotNull() & lo.isNotNull(), utm_epsg(la, lo)) for la, lo in pairs], F.lit(default))
+
+
 def utm_forward(lat: Column, lon: Column) -> Column:
     """Struct (x, y) in metres in the point's own UTM zone, by Krüger's series to the fourth order in n (WGS 84)."""
     a, f = 6378137.0, 1 / 298.257223563

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.text import as_json
 
 
 def rooms(buildings: DataFrame, key: str, levels: str, height: str, zones: str) -> DataFrame:
@@ -47,21 +48,59 @@ def export_reasons(zones: Column, windows_: Column, valid: Column, most_zones: i
     return F.array_distinct(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules])))
 
 
-def energy_properties(room: DataFrame, constants: dict[str, float | str]) -> DataFrame:
-    """Rooms with constant properties (set points, loads, schedules) as columns."""
-    return room.withColumns({name: F.lit(value) for name, value in constants.items()})
-
-
-#: What a construction set must name for each kind of face.
-FACE_SETS = {"wall_set": ("exterior_construction",), "roof_ceiling_set": ("exterior_construction",), "floor_set": ("ground_construction",), "aperture_set": ("window_construction",)}
-
-
-def construction_set_issues(sets: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, issues) of construction sets in JSON: not parsed, or a face set without its construction; good ones are not listed."""
-    at = lambda part, name: F.get_json_object(F.col(text), f"$.{part}.{name}")
-    bad = [F.when(F.get_json_object(F.col(text), "$").isNull(), F.lit("not_json"))]
-    bad += [F.when(F.get_json_object(F.col(text), "$").isNotNull() & at(p, n).isNull(), F.lit(f"missing_{p}")) for p, names in FACE_SETS.items() for n in names]
-    return sets.select(key, F.array_compact(F.array(*bad)).alias("issues")).filter(F.size("issues") > 0)
+#: Window parameters fall back to these building types (fixed values): residential and service.
+FALLBACK_TYPES = (3, 4)
+
+
+def window_parameters(buildings: DataFrame, parameters: DataFrame, kind: str, residential: Column, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(buildings with the window fields of their type, or else of the fallback type; buildings with neither).
+
+    ``parameters``: one row a type; a type that lacks any field counts as absent.
+    """
+    whole = parameters.dropna(subset=[kind, *fields])
+    fallback = F.when(residential, F.lit(FALLBACK_TYPES[0])).otherwise(F.lit(FALLBACK_TYPES[1]))
+    own = whole.select(F.col(kind).alias("__own"), *[F.col(f).alias(f"__o_{f}") for f in fields])
+    other = whole.select(F.col(kind).alias("__other"), *[F.col(f).alias(f"__f_{f}") for f in fields])
+    rows = buildings.withColumn("__fallback", fallback)
+    rows = rows.join(own, F.col(kind) == F.col("__own"), "left").join(other, F.col("__fallback") == F.col("__other"), "left")
+    out = rows.select(*buildings.columns, *[F.coalesce(f"__o_{f}", f"__f_{f}").alias(f) for f in fields])
+    return out.dropna(subset=fields), out.filter(F.col(fields[0]).isNull()).select(*buildings.columns)
+
+
+#: Opaque parts of a construction set and the columns that hold them.
+OPAQUE = ("wall", "roof", "floor")
+
+
+def construction_sets(buildings: DataFrame, key: str, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key with its set as JSON, excluded keys with reason and error).
+
+    Columns ``<part>_construction`` and ``<part>_material`` hold JSON (or a literal) for wall, roof, floor and window.
+    An opaque construction must name its own generated material, and only materials known otherwise; the
+    window's glazing serves apertures, skylights and operable panes. The first error found is kept.
+    """
+    read = lambda c, schema: F.from_json(as_json(F.col(c)), schema)
+    parts = [*OPAQUE, "window"]
+    rows = buildings.withColumns({f"__c_{p}": read(f"{p}_construction", "identifier string, materials array<string>") for p in parts} | {f"__m_{p}": read(f"{p}_material", "identifier string") for p in parts})
+    others = F.array_distinct(F.flatten(F.array(*[F.array_except(F.coalesce(F.col(f"__c_{p}.materials"), F.array().cast("array<string>")), F.array(F.coalesce(F.col(f"__m_{p}.identifier"), F.lit("")))) for p in OPAQUE])))
+    wanted = rows.select(F.col(key).alias("__key"), F.explode(others).alias("material"))
+    strange = wanted.join(materials.select("material").distinct(), "material", "left_anti").groupBy("__key").agg(F.min("material").alias("__strange"))
+    rows = rows.join(strange, F.col(key) == F.col("__key"), "left")
+    error = F.lit(None).cast("string")
+    for p in reversed(parts):
+        unread = F.col(f"__m_{p}.identifier").isNull() | F.get_json_object(as_json(F.col(f"{p}_construction")), "$").isNull()
+        check = F.when(unread, F.lit(f"invalid {p} construction or material"))
+        if p in OPAQUE:
+            names = F.coalesce(F.col(f"__c_{p}.materials"), F.array().cast("array<string>"))
+            check = check.when(~F.array_contains(names, F.col(f"__m_{p}.identifier")), F.lit(f"{p} construction lacks its generated material")).when(F.array_contains(names, F.col("__strange")), F.concat(F.lit(f"unknown {p} material "), F.col("__strange")))
+        error = F.coalesce(check, error)
+    rows = rows.withColumn("construction_error", error)
+    name = lambda p: F.coalesce(F.col(f"__c_{p}.identifier"), F.concat(F.col(key).cast("string"), F.lit(f"_{p}")))
+    last = F.element_at(F.split(F.col(key).cast("string"), "_"), -1)
+    opaque = {"wall_set": ("exterior_construction", "wall"), "roof_ceiling_set": ("exterior_construction", "roof"), "floor_set": ("ground_construction", "floor")}
+    panes = F.struct(*[name("window").alias(f"{k}_construction") for k in ("window", "skylight", "operable")])
+    made = F.to_json(F.struct(F.concat(F.lit("cs_"), last).alias("identifier"), *[F.struct(name(p).alias(c)).alias(k) for k, (c, p) in opaque.items()], panes.alias("aperture_set")))
+    good = rows.filter("construction_error IS NULL").select(key, made.alias("construction_set"))
+    return good, rows.filter("construction_error IS NOT NULL").select(key, F.lit("invalid_construction").alias("reason"), "construction_error")
 
 
 def split_valid(models: DataFrame, reasons: str) -> tuple[DataFrame, DataFrame]:

@@ -89,13 +89,34 @@ def concat(frames: list[DataFrame], schema, spark) -> DataFrame:
     return out
 
 
-def conversion_status(model_read, weather_found, translated, n_objects, has_errors) -> F.Column:
-    """Status of a model's conversion: the first step that failed, else ok or ok_with_warnings."""
+def conversion_status(**seen: F.Column) -> F.Column:
+    """Status of one model's conversion to a pair of files, from what is there and what each step said.
+
+    There: ``model weather design idf epjson``; what the run asks for: ``overwrite need_hvac validate``; the files' own
+    checks: ``idf_hvac idf_valid epjson_hvac epjson_valid``; what conversions made: ``made_idf made_epjson``; whether
+    translation ``failed``. Booleans, null as false. A whole pair is reused, half a pair restored, unless a
+    needed air system is missing in what exists; then, and without files, the model is translated anew.
+    """
+    s = {k: F.coalesce(v, F.lit(False)) for k, v in seen.items()}
+    hvac = lambda kind: ~s["need_hvac"] | s[f"{kind}_hvac"]
+    keep = ~s["overwrite"]
+    pair, only_idf, only_epjson = keep & s["idf"] & s["epjson"] & hvac("idf") & hvac("epjson"), keep & s["idf"] & ~s["epjson"] & hvac("idf"), keep & s["epjson"] & ~s["idf"] & hvac("epjson")
+    reused = F.when(~s["validate"], "skipped_existing").when(s["idf_valid"] & s["epjson_valid"], "validated_existing").otherwise("invalid_existing")
+    from_idf = lambda done: F.when(~s["idf_valid"], "idf_validation_failed").when(~s["made_epjson"], "epjson_not_generated").when(~hvac("epjson"), "epjson_structure_failed").otherwise(done)
+    from_epjson = F.when(~s["epjson_valid"], "epjson_validation_failed").when(~s["made_idf"], "idf_not_generated").when(~hvac("idf"), "idf_structure_failed").otherwise("restored_missing_idf")
+    anew = F.when(s["failed"] | ~s["made_idf"], "conversion_failed").when(~hvac("idf"), "idf_structure_failed").otherwise(from_idf(F.when(s["epjson_valid"], "converted").otherwise("epjson_validation_failed")))
     return (
-        F.when(~model_read, "model_unreadable")
-        .when(~weather_found, "weather_missing")
-        .when(~translated, "translation_failed")
-        .when(F.coalesce(n_objects, F.lit(0)) == 0, "empty_model")
-        .when(has_errors, "ok_with_warnings")
-        .otherwise("ok")
+        F.when(~s["model"], "missing_hbjson")
+        .when(~s["weather"], "missing_epw")
+        .when(~s["design"], "missing_ddy")
+        .when(pair, reused)
+        .when(only_idf, from_idf(F.lit("restored_missing_epjson")))
+        .when(only_epjson, from_epjson)
+        .otherwise(anew)
     )
+
+
+def first_seen(df: DataFrame, key: str, order: list) -> DataFrame:
+    """(key, place): distinct values in the order in which they are first seen, from one."""
+    first = keep_one(df, [key], order)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select(key, "place")

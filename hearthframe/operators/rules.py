@@ -59,10 +59,11 @@ def family_scores(shares: DataFrame, keys: list[str], element: str, name: str, s
 
 
 def template_family(element: Column, material: dict[str, Column], method: dict[str, Column]) -> Column:
-    """Structural family of an element from family scores of materials and of methods.
+    """The family whose template an element takes.
 
-    Materials count double. Floors are mass. Metal, then steel wins if any material names it
-    or its score tops wood and mass. Then wood against mass; ties are wood for roofs.
+    A family's weight is twice its materials' share plus its methods'. Only walls and roofs may be anything but mass.
+    Metal comes before steel: either takes the element by any material of its own or by outweighing wood and
+    mass. What is left is wood or mass by weight; equal weights make a roof wood and a wall mass.
     """
     both = {k: 2.0 * material[k] + method[k] for k in material}
     top = F.greatest(both["wood"], both["mass"])
@@ -90,6 +91,53 @@ def insulation(u_target: Column, r_fixed: Column) -> Column:
     return F.struct(target.alias("r_target"), F.when(clamped, F.lit(LEAST_R)).otherwise(target - r_fixed).alias("r_insulation"), clamped.alias("clamped"))
 
 
+#: Insulation layers of templates (a fixed value).
+INSULATION_PREFIX = "Typical Insulation"
+
+
+def opaque_constructions(targets: DataFrame, layers: DataFrame, materials: DataFrame, key: str, prefix: str = INSULATION_PREFIX) -> tuple[DataFrame, DataFrame]:
+    """(generated, failures): a template's layers with the one insulation that reaches a target.
+
+    ``targets``: key, construction, u_target, mode (replace or insert), donor, insert_after. ``layers``: construction,
+    position from zero, material, r. ``materials``: material. ``replace`` needs exactly one layer whose name begins
+    with ``prefix``; ``insert`` puts the donor (default: the prefix itself) behind position ``insert_after`` or
+    last. Generated rows have r_fixed, r_target, r_insulation, clamped, layers (the insulation named after the key),
+    u_value and u_diff; failures have the first ``error`` found.
+    """
+    is_ins = F.col("material").startswith(prefix)
+    entry = F.struct("position", "material")
+    template = layers.groupBy("construction").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["material"]).alias("__layers"),
+        F.sum("r").alias("__r_all"),
+        F.count_if(F.col("r").isNull()).alias("__unknown"),
+        F.count_if(is_ins).alias("__n"),
+        F.coalesce(F.sum(F.when(is_ins, F.col("r"))), F.lit(0.0)).alias("__r_ins"),
+        F.max(F.when(is_ins, F.col("material"))).alias("__own"),
+    )
+    replace, insert = F.col("mode") == "replace", F.col("mode") == "insert"
+    rows = targets.join(template, "construction", "left").withColumn("__donor", F.when(replace, F.col("__own")).otherwise(F.coalesce("donor", F.lit(prefix))))
+    known = materials.select(F.col("material").alias("__donor")).distinct().withColumn("__found", F.lit(True))
+    rows = rows.join(known, "__donor", "left")
+    error = (
+        F.when(~F.coalesce(replace | insert, F.lit(False)), F.concat(F.lit("unsupported mode "), F.coalesce("mode", F.lit("null"))))
+        .when(F.col("__layers").isNull(), "unknown construction")
+        .when(replace & (F.col("__n") != 1), F.format_string("expected one insulation layer, found %d", F.col("__n")))
+        .when(F.col("__found").isNull(), "unknown donor")
+        .when(F.col("__unknown") > 0, "unknown resistance")
+        .when(~F.coalesce(F.col("u_target") > 0, F.lit(False)), "no target")
+    )
+    rows = rows.withColumn("error", error)
+    name = F.concat(F.lit("insulation "), F.col(key).cast("string"))
+    size = F.size("__layers")
+    at = F.least(F.coalesce(F.col("insert_after") + 1, size), size)
+    own = F.when(replace, F.transform("__layers", lambda x: F.when(x.startswith(prefix), name).otherwise(x))).otherwise(F.concat(F.slice("__layers", F.lit(1), at), F.array(name), F.slice("__layers", at + 1, size)))
+    fixed = F.when(replace, F.col("__r_all") - F.col("__r_ins")).otherwise(F.col("__r_all"))
+    good = rows.filter("error IS NULL").withColumns({"r_fixed": fixed, "layers": own})
+    good = good.withColumn("__s", insulation(F.col("u_target"), F.col("r_fixed"))).withColumn("u_value", 1.0 / (F.col("r_fixed") + F.col("__s.r_insulation")))
+    out = good.select(key, "construction", "u_target", "mode", "r_fixed", "__s.r_target", "__s.r_insulation", "__s.clamped", "layers", "u_value", F.abs(F.col("u_value") - F.col("u_target")).alias("u_diff"))
+    return out, rows.filter("error IS NOT NULL").select(key, "u_target", "error")
+
+
 def optics(glazing: Column) -> Column:
     table = literal_map({k: v[0] for k, v in OPTICS.items()}), literal_map({k: v[1] for k, v in OPTICS.items()})
     key = F.lower(F.trim(glazing))
@@ -108,3 +156,20 @@ def program_candidates(vintage: Column, residential: Column, levels: Column, arc
 
 def first_installed(candidates: Column, installed: Column) -> Column:
     return F.try_element_at(F.filter(candidates, lambda c: F.array_contains(installed, c)), F.lit(1))
+
+
+#: Ideal air systems of all rooms (fixed values).
+IDEAL_AIR = {"economizer": "DifferentialDryBulb", "ventilation_on_demand": False, "sensible_recovery": 0.0, "latent_recovery": 0.0, "heating_air_c": 50.0, "cooling_air_c": 13.0}
+
+
+def programs(buildings: DataFrame, candidates: Column, installed: DataFrame, program: str = "program") -> tuple[DataFrame, DataFrame]:
+    """(buildings with their program, its type, whether it is a fallback, and the ideal air system; buildings no program fits).
+
+    The first candidate that is installed wins.
+    """
+    rows = buildings.withColumns({"__c": candidates, "__row": F.monotonically_increasing_id()})
+    each = rows.select("__row", F.posexplode("__c").alias("__at", program)).join(installed.select(program).distinct(), program)
+    first = each.groupBy("__row").agg(F.min(F.struct("__at", program)).alias("__m"))
+    both = rows.join(first, "__row", "left").withColumns({program: F.col(f"__m.{program}"), "program_type": F.split_part(F.col(f"__m.{program}"), F.lit("::"), F.lit(2)), "fallback": F.col("__m.__at") > 0})
+    named = both.filter("__m IS NOT NULL").drop("__c", "__row", "__m").withColumns({k: F.lit(v) for k, v in IDEAL_AIR.items()})
+    return named, both.filter("__m IS NULL").select(*buildings.columns, F.array_join("__c", "; ").alias("candidates"))

@@ -86,5 +86,5 @@ def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows by hash order (a sampling operator)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in the mixed order of an integer key (a sampling operator)."""
+    return df.orderBy(mixed_order(key, seed), key).limit(n)

@@ -22,10 +22,10 @@ def zone_peaks(facts: DataFrame, groups: list[str], value: str, order: list) ->
     return facts.withColumn("__r", F.row_number().over(ranked)).filter("__r = 1").drop("__r")
 
 
-def peak_hours(facts: DataFrame, groups: list[str], value: str, time: list[str]) -> DataFrame:
-    """For each group the time of the largest sum over its members, with ``total``; the earliest on ties."""
-    sums = facts.groupBy(*groups, *time).agg(F.sum(value).alias("total"))
-    return zone_peaks(sums, groups, "total", time)
+def peak_hours(facts: DataFrame, groups: list[str], value: str, time: list[str], digits: int | None = None) -> DataFrame:
+    """For each group the time of the largest sum over its members, with ``total`` (rounded, if asked for); the earliest on ties."""
+    total = F.sum(value) if digits is None else F.round(F.sum(value), digits)
+    return zone_peaks(facts.groupBy(*groups, *time).agg(total.alias("total")), groups, "total", time)
 
 
 def coincident(facts: DataFrame, peaks: DataFrame, groups: list[str], time: list[str]) -> DataFrame:
@@ -33,13 +33,18 @@ def coincident(facts: DataFrame, peaks: DataFrame, groups: list[str], time: list
     return facts.join(peaks.select(*groups, *time), [*groups, *time])
 
 
-def peak_summary(facts: DataFrame, group: str, member: str, time: str, value: str) -> DataFrame:
-    """Own peaks of members and coincident peaks of groups, as rows of (kind, group, member, time, value)."""
-    loads = facts.groupBy(group, member, time).agg(F.sum(value).alias("v"))
+def peak_summary(facts: DataFrame, group: str, member: str, time: str, value: str, digits: int | None = None) -> DataFrame:
+    """Own peaks of members and coincident peaks of groups, as rows of (kind, group, member, time, value).
+
+    ``digits`` rounds sums before they are compared, so that the order of adding decides nothing.
+    """
+    total = F.sum(value) if digits is None else F.round(F.sum(value), digits)
+    loads = facts.groupBy(group, member, time).agg(total.alias("v"))
     own = zone_peaks(loads, [group, member], "v", [time])
-    hours = peak_hours(loads, [group], "v", [time])
+    hours = peak_hours(loads, [group], "v", [time], digits)
     pick = lambda df, kind, who, v: df.select(F.lit(kind).alias("kind"), F.col(group), who.alias(member), F.col(time), F.col(v).alias("value"))
-    return pick(own, "own", F.col(member), "v").unionByName(pick(hours, "group", F.lit(None).cast(facts.schema[member].dataType), "total")).unionByName(pick(coincident(loads, hours, [group], [time]), "coincident", F.col(member), "v"))
+    nobody = F.lit(None).cast(facts.schema[member].dataType)
+    return pick(own, "own", F.col(member), "v").unionByName(pick(hours, "group", nobody, "total")).unionByName(pick(coincident(loads, hours, [group], [time]), "coincident", F.col(member), "v"))
 
 
 def wide_hours(facts: DataFrame, keys: list[str], name: str, values: list[str], value: str) -> DataFrame:
@@ -89,5 +94,15 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return bins.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def integer_counts(df: DataFrame, value: str, low: int, high: int, under: str | None = None, over: str | None = None) -> DataFrame:
+    """(label, n) of rounded values, one row an integer from ``low`` to ``high``, empty ones too, and tails where they have a label."""
+    whole = F.rint(F.col(value)).cast("long")
+    label = F.when(whole < low, F.lit(under)).when(whole > high, F.lit(over)).otherwise(whole.cast("string"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    names = [*([under] if under else []), *map(str, range(low, high + 1)), *([over] if over else [])]
+    wanted = df.sparkSession.createDataFrame([(n,) for n in names], "label string")
+    return wanted.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def series_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.groupBy(*groups).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
