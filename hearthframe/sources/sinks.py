@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.incremental import append_new
 from ..operators.quality import require_none
+from ..session import remove_folder
 from .tables import exists
 
 
@@ -20,18 +21,13 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: list
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
-def _move(spark: SparkSession, a: str, b: str) -> None:
+def move(spark: SparkSession, a: str, b: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(a).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.rename(path(a), path(b)):
         raise OSError(f"cannot move {a} to {b}")
 
 
-def _delete(spark: SparkSession, a: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def write_bundle(tables: dict[str, DataFrame], path: str, checks: dict[str, DataFrame] | None = None) -> None:
     """All tables under one folder, after all checks; the folder is staged and then renamed."""
     spark = next(iter(tables.values())).sparkSession
@@ -42,12 +38,12 @@ def write_bundle(tables: dict[str, DataFrame], path: str, checks: dict[str, Data
         for name, df in tables.items():
             write_table(df, f"{staged}/{name}")
         if exists(spark, path):
-            _move(spark, path, old)
-        _move(spark, staged, path)
+            move(spark, path, old)
+        move(spark, staged, path)
     finally:
         for leftover in (staged, old):
             if exists(spark, leftover) and exists(spark, path):
-                _delete(spark, leftover)
+                remove_folder(spark, leftover)
 
 
 def read_bundle(spark: SparkSession, path: str, required: list[str]) -> dict[str, DataFrame]:
@@ -66,10 +62,14 @@ def append_bundle(new: dict[str, DataFrame], path: str, key: str) -> None:
     return write_bundle({n: append_new(old[n], df, [key]) for n, df in new.items()}, path)
 
 
-def resume_mode(found: bool, asked: str) -> str:
-    """continue, overwrite or error, given whether outputs exist."""
-    if asked not in ("continue", "overwrite", "error"):
+def resume_mode(found: bool, asked: str, answer: str | None = None) -> str:
+    """continue, overwrite or error, given whether outputs exist. ``ask`` takes an answer; none, or a blank one, continues."""
+    if asked not in ("continue", "overwrite", "error", "ask"):
         raise ValueError(f"unknown resume mode {asked!r}")
-    if found and asked == "error":
+    if not found:
+        return "overwrite"
+    if asked == "error":
         raise FileExistsError("outputs exist; choose continue or overwrite")
-    return asked if found else "overwrite"
+    if asked == "ask":
+        return "continue" if (answer or "").strip().lower() in ("", "y", "yes") else "overwrite"
+    return asked

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoint_ready, ship
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
@@ -68,35 +67,40 @@ def file_listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return df.withColumns({"name": name, "stem": F.regexp_replace(name, r"\.[^.]*$", "")}).filter(~F.col("name").startswith("._"))
 
 
-def sqlite_query(spark: SparkSession, path: str, pattern: str, sql: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def sqlite_query(spark: SparkSession, path: str, pattern: str, sql: str, schema: str, batch: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(rows of ``sql`` over every SQLite file, errors), both with ``path``.
 
-    Files come through Spark's reader as bytes and are opened in memory, so any store works
-    and no task writes to a local disk. A file that fails is a row of errors and not an exception.
+    Files come through Spark's reader as bytes (up to its two gigabytes) and are opened in memory, so any store
+    works and no task writes to a local disk. Rows leave in batches as SQLite yields them. A file that fails
+    is a row of errors, behind what it gave before. Each file is read once: both results come from one checkpoint.
     """
-    ship(spark)
+    ship(spark), checkpoint_ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
     fields = [f.strip().split()[0] for f in schema.split(",")]
+    kinds = [to_arrow(f, schema) for f in fields]
+
+    def batch_of(name, rows, error=None):
+        n = 1 if error else len(rows)
+        columns = [pa.nulls(1, t) if error else pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *columns, pa.array([error] * n, pa.string())], names=["path", *fields, "__error"])
 
     def run(batches):
         import sqlite3
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows, error = [], None
+        for rows in batches:
+            for name, content in zip(rows.column(0).to_pylist(), rows.column(1)):
                 try:
                     con = sqlite3.connect(":memory:")
-                    con.deserialize(row["content"])
-                    rows = [dict(zip(fields, r)) for r in con.execute(sql).fetchall()]
+                    con.deserialize(content.as_py())
+                    found = con.execute(sql)
+                    while part := found.fetchmany(batch):
+                        yield batch_of(name, part)
                     con.close()
-                except sqlite3.Error as e:
-                    error = str(e)
-                kind = pa.list_(pa.struct([(f, to_arrow(f, schema)) for f in fields]))
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([rows], kind), pa.array([error], pa.string())], names=["path", "rows", "error"])
+                except (sqlite3.Error, pa.ArrowInvalid, pa.ArrowTypeError) as e:
+                    yield batch_of(name, [], str(e) or type(e).__name__)
 
-    inner = ",".join(f"{f.strip().split()[0]}:{f.strip().split()[1]}" for f in schema.split(","))
-    staged = files.mapInArrow(run, f"path string, rows array<struct<{inner}>>, error string")
-    return staged.select("path", F.explode("rows").alias("r")).select("path", "r.*"), staged.filter("error IS NOT NULL").select("path", "error")
+    staged = files.mapInArrow(run, f"path string, {schema}, __error string").checkpoint()
+    return staged.filter("__error IS NULL").drop("__error"), staged.filter("__error IS NOT NULL").select("path", F.col("__error").alias("error"))
 
 
 def to_arrow(field: str, schema: str) -> pa.DataType:
@@ -104,15 +108,23 @@ def to_arrow(field: str, schema: str) -> pa.DataType:
     return kinds[dict(f.strip().split()[:2] for f in schema.split(","))[field].lower()]
 
 
-def read_json_config(path: str, required: dict[str, type] | None = None) -> dict:
-    """A JSON object whose required keys have the required types."""
-    data = json.loads(Path(path).read_text(encoding="utf-8"))
+def read_json_config(spark: SparkSession, path: str, required: dict[str, type] | None = None) -> dict:
+    """A JSON object, from any store, whose required keys have the required types."""
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
     for key, kind in (required or {}).items():
         if not isinstance(data.get(key), kind):
             raise ValueError(f"{path}: {key} must be a {kind.__name__}")
     return data
 
 
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file to whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def switch(name: str, default: str = "") -> str | None:
     """A job switch from the environment; blank counts as unset."""
     return os.environ.get(name, default).strip() or None
@@ -156,8 +168,11 @@ def choose_member(names: Column, archive: Column, suffix: str) -> Column:
     return F.when(F.size(own) == 1, own[0]).when(F.size(good) == 1, good[0])
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """(path, names of members, error) of every archive under a path."""
+def zip_members(spark: SparkSession, path: str, pattern: str = "*.zip", sniff: int = 128 * 1024) -> DataFrame:
+    """(path, names, error, epw, ddy) of every archive under a path: whether any member of a suffix has its kind's content.
+
+    ``epw`` and ``ddy`` are the members whose first ``sniff`` bytes are a weather file's or a design day's.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -166,14 +181,28 @@ def zip_members(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataF
         import zipfile
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names, good, error = [], {"epw": [], "ddy": []}, None
                 try:
-                    names, error = zipfile.ZipFile(io.BytesIO(row["content"])).namelist(), None
-                except zipfile.BadZipFile as e:
-                    names, error = [], str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([names], pa.list_(pa.string())), pa.array([error], pa.string())], names=["path", "names", "error"])
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                        names = z.namelist()
+                        for n in names:
+                            kind = n.lower().rpartition(".")[2]
+                            if kind in good:
+                                with z.open(n) as f:
+                                    if looks_like(kind, f.read(sniff).decode("utf-8", "replace")):
+                                        good[kind].append(n)
+                except (zipfile.BadZipFile, OSError, NotImplementedError) as e:
+                    error = str(e)
+                text = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([names], text), pa.array([error], pa.string()), pa.array([good["epw"]], text), pa.array([good["ddy"]], text)], names=["path", "names", "error", "epw", "ddy"])
+
+    return files.mapInArrow(run, "path string, names array<string>, error string, epw array<string>, ddy array<string>")
+
 
-    return files.mapInArrow(run, "path string, names array<string>, error string")
+def looks_like(kind: str, head: str) -> bool:
+    """Whether a member's beginning is a weather file's (LOCATION first) or a design day's."""
+    return head.lstrip("\ufeff\r\n ").upper().startswith("LOCATION,") if kind == "epw" else "SIZINGPERIOD:DESIGNDAY" in head.upper()
 
 
 def is_zip_link(url: Column) -> Column:
