@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import series, space, stock  # noqa: F401  each registers its queries
+from .plans import inventory, places, series, space, stock  # noqa: F401  each registers its queries
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -26,12 +26,8 @@ def loads(spark, d):
     UNION ALL SELECT 'coincident', l.event_type, l.user_id, l.hour, l.v FROM l JOIN h ON l.event_type = h.event_type AND l.hour = h.hour""",
 )
 def peak_summary(spark, d):
-    rows = loads(spark, d)
-    hours = rows.groupBy("event_type", "hour").agg(F.round(F.sum("v"), 4).alias("total"))
-    peaks = ts.zone_peaks(hours, ["event_type"], "total", ["hour"])
-    own = ts.zone_peaks(rows, ["event_type", "user_id"], "v", ["hour"])
-    pick = lambda df, kind, who, v: df.select(F.lit(kind).alias("kind"), "event_type", who.alias("user_id"), "hour", F.col(v).alias("value"))
-    return pick(own, "own", F.col("user_id"), "v").unionByName(pick(peaks, "group", F.lit(None).cast("long"), "total")).unionByName(pick(ts.coincident(rows, peaks, ["event_type"], ["hour"]), "coincident", F.col("user_id"), "v"))
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm")
+    return ts.peak_summary(table(spark, d, "events").withColumn("hour", hour), "event_type", "user_id", "hour", "value", digits=4)
 
 
 @query("coincident_peak_snapshot", f"WITH {LOADS}, {GROUPS} SELECT l.event_type, l.user_id, l.hour, l.v, h.total FROM l JOIN h ON l.event_type = h.event_type AND l.hour = h.hour")

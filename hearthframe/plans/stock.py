@@ -287,21 +287,24 @@ def pending_set(spark, d):
     return incremental.pending(o, o.filter("o_orderstatus = 'F'"), o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 10 = 4"), "o_orderkey").select("o_orderkey")
 
 
-PREFIX = "g AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey < 400) OR o_orderkey % 1009 = 1008)"
+PREFIX = "g AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL) OR o_totalprice > (SELECT max(o_totalprice) FROM orders) * 0.999)"
 
 
 def prefix(spark, d):
-    names = table(spark, d, "orders").select("o_orderkey")
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 400").select(F.col("l_orderkey").alias("o_orderkey"))
-    return incremental.resume_prefix(names, [lines, names.filter("o_orderkey % 1009 <> 1008")], "o_orderkey")
+    """Orders up to the first without lines or among the dearest."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    top = o.agg((F.max("o_totalprice") * 0.999).alias("top"))
+    cheap = o.crossJoin(F.broadcast(top)).filter(F.col("o_totalprice") <= F.col("top"))
+    return incremental.resume_prefix(o.select("o_orderkey"), [lines, cheap], "o_orderkey")
 
 
-@query("resume_prefix", f"WITH {PREFIX} SELECT o_orderkey FROM orders, g WHERE o_orderkey < k")
+@query("resume_prefix", f"WITH {PREFIX} SELECT o_orderkey FROM orders, g WHERE k IS NULL OR o_orderkey < k")
 def resume_prefix(spark, d):
     return prefix(spark, d)
 
 
-@query("trim_tail", f"WITH {PREFIX} SELECT l_orderkey, count(*) AS n FROM lineitem, g WHERE l_orderkey < k AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+@query("trim_tail", f"WITH {PREFIX} SELECT l_orderkey, count(*) AS n FROM lineitem, g WHERE (k IS NULL OR l_orderkey < k) AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def trim_tail(spark, d):
     lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     return incremental.trim_to(lines, prefix(spark, d), "o_orderkey").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.count("*").alias("n"))
@@ -345,11 +348,10 @@ def run_status(spark, d):
 
 @query(
     "city_key_normalise",
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(strip_accents(trim(split_part(text, ' ', 1) || ' / ' || split_part(text, ' ', 2))), '[/\\-\\[\\]()]+', ' ', 'g'), 'ß', 'ss'), '''', ''), '[^0-9A-Za-z]+', '_', 'g'), '_+', '_', 'g'), '_') AS city_key FROM documents""",
+    """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(strip_accents(trim(text)), '[/\\-\\[\\]()]+', ' ', 'g'), 'ß', 'ss'), '''', ''), '[^0-9A-Za-z]+', '_', 'g'), '_+', '_', 'g'), '_')) AS city_key FROM documents""",
 )
 def city_key_normalise(spark, d):
-    word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
-    return table(spark, d, "documents").select("doc_id", text.city_key(F.concat(word(1), F.lit(" / "), word(2))).alias("city_key"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.city_key(F.col("text"))).alias("city_key"))
 
 
 @query(

@@ -22,10 +22,15 @@ def test_city_key(spark, x, want):
 
 
 def test_labels(spark):
-    assert one(spark, t.clean_label(F.col("x")), x=" NaN ") == "Unknown"
-    assert one(spark, t.slug(F.col("x"), {"synthetic / pvc": "PVC"}), x="synthetic / pvc frame") == "PVC_frame"
-    assert one(spark, t.safe_name(F.col("x"), "f"), x=" ") == "f"
-    assert one(spark, t.shorten(F.col("x"), 3), x="abcdef").startswith("abc\n...")
+    assert one(spark, t.shown(F.col("x")), x=" NaN ") == "Unknown" and one(spark, t.shown(F.col("x")), x=None) == "Unknown"
+    assert one(spark, t.shown(F.col("x")), x=" a b ") == "a b"
+    assert one(spark, t.shown_key(F.col("x"), {"synthetic / pvc": "PVC"}), x="synthetic / pvc frame") == "PVC_frame"
+    assert one(spark, t.path_part(F.col("x"), "f"), x=" ") == "f" and one(spark, t.path_part(F.col("x")), x=" é/b  c! ") == "é_b_c_"
+    assert one(spark, t.at_most(F.col("x"), 3), x="abcdef") == "abc\n... (truncated) ..." and one(spark, t.at_most(F.col("x"), 3), x="abc") == "abc"
+    assert one(spark, t.sample_key(F.col("x"), F.lit(7)), x="St. Pölten") == "St_P_lten_7"
+    assert one(spark, t.first_words(F.array(*map(F.lit, "abcde")))) == "a, b, c (+2)" and one(spark, t.first_words(F.array(F.lit("a")))) == "a"
+    assert one(spark, t.grouped_digits(F.col("x"), 1), x=1234567.5) == "1,234,567.5" and one(spark, t.grouped_digits(F.col("x").cast("double")), x=None) == "-"
+    assert one(spark, t.size_or_zero(F.split(F.col("x"), ",")), x="a,b") == 2 and one(spark, t.size_or_zero(F.split(F.col("x"), ",")), x=None) == 0
     assert one(spark, t.collapse_whitespace(F.col("x")), x="  a \n b ") == "a b"
     assert one(spark, t.end_use_label(F.col("x")), x="Heating:General") == "Heating"
     assert one(spark, t.end_use_label(F.col("x")), x="Heating:Boiler") == "Heating:Boiler"
@@ -34,6 +39,9 @@ def test_labels(spark):
     assert one(spark, t.url_name(F.col("x")), x="https://h/a/b.2007-2021.zip?x=1#y") == "b.2007-2021.zip"
     assert one(spark, t.json_like(F.col("x"), "k int"), x="{'k': 3}").k == 3
     assert one(spark, t.json_like(F.col("x"), "k int"), x="nonsense") is None
+    mixed = """{'n': None, 'b': True, 'f': False, 's': "it's None", 't': 'say "hi"', 'u': 'it\\'s'}"""
+    got = one(spark, t.json_like(F.col("x"), "n string, b boolean, f boolean, s string, t string, u string"), x=mixed)
+    assert tuple(got) == (None, True, False, "it's None", 'say "hi"', "it's")
 
 
 @pytest.mark.parametrize("x, want", [("Berfore 1945", (None, 1945)), ("1945 - 1969", (1945, 1969)), ("Post 2010", (2011, None)), ("x", (None, None)), (None, (None, None))])

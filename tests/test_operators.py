@@ -29,23 +29,14 @@ def test_kernels():
     hole = [(6, 6), (6, 14), (14, 14), (14, 6)]
     pieces = kernels.slabs([[(0, 0), (20, 0), (20, 20), (0, 20)], hole])
     assert sum(map(kernels.area, pieces)) == pytest.approx(400 - 64) and all(map(kernels.is_convex, pieces))
-    core, bands, how = kernels.perimeter_zones([(0, 0), (30, 0), (30, 30), (0, 30)])
-    assert how == "ring" and len(bands) == 4 and sum(map(kernels.area, core + bands)) == pytest.approx(900)
-    assert kernels.perimeter_zones(SLIVER)[2] == "thin"
     noisy = [(0, 0), (10, 0.03), (20, 0), (20, 10), (10, 9.97), (0, 10)]
     assert len(kernels.normalise(noisy)) == 4
-    turned, ok = kernels.align([(0, 0), (20, 0.2), (20, 10), (0, 10)])
-    assert ok and kernels.area(turned) == pytest.approx(199, rel=0.03)
     assert kernels.distance(RECT, [(20.05, 0), (30, 0), (30, 10), (20.05, 10)]) == pytest.approx(0.05)
     assert kernels.distance(RECT, [(5, 5), (6, 5), (6, 6)]) == 0
     assert kernels.blocked((-5, 5), (25, 5), [RECT]) and not kernels.blocked((-5, 15), (25, 15), [RECT])
     assert kernels.zone_groups([RECT, [(20, 0), (30, 0), (30, 10), (20, 10)], [(50, 0), (60, 0), (60, 9)]]) == [0, 0, 1]
     corner = [RECT, [(20, 10), (30, 10), (30, 20), (20, 20)]]
     assert kernels.zone_groups(corner) == [0, 0] and kernels.zone_groups(corner, corners=False) == [0, 1]
-    bow = [(0, 0), (10, 10), (10, 0), (0, 10)]
-    assert kernels.crosses_itself(bow) and not kernels.crosses_itself(kernels.valid(bow))
-    assert kernels.opening(RECT, 1.0) and kernels.area(kernels.opening(RECT, 1.0)) == pytest.approx(200)
-    assert kernels.project_shared([(20.1, 0), (30, 0), (30, 10), (20.1, 10)], RECT)[0] == pytest.approx((20, 0))
 
 
 def rows(df):
@@ -112,15 +103,58 @@ def test_incremental(spark):
     assert rows(incremental.archive(done("b"), done("bc"), ["k"])) == [("b",), ("c",)]
 
 
-def test_spatial(spark, monkeypatch):
-    cities = spark.createDataFrame([(1, 50.0, 5.0), (2, -30.0, 179.9), (3, 0.0, 0.0)], "c int, lat double, lon double")
-    stations = spark.createDataFrame([(10, 51.0, 5.0), (11, 49.9, 4.0), (12, -30.0, -179.9), (13, None, 1.0)], "s int, slat double, slon double")
-    args = (cities, stations, "c", "lat", "lon", "s", "slat", "slon")
-    want = rows(spatial.nearest(*args).select("c", "s"))
-    assert want[0][1] in (10, 11) and want[1] == (2, 12)
-    with monkeypatch.context() as m:
-        m.setattr(spatial, "NEAREST_BROADCAST", 0)
-        assert rows(spatial.nearest(*args, cell_deg=10.0).select("c", "s")) == want
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    """Every left row once, repeated ones too; nulls, far rows, repeated places and equal distances."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    cities = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(60)] + [(1, 50.0, 5.0), (1, 50.0, 5.0), (2, -30.0, 179.9), (3, None, 1.0), (4, 1.0, None), (None, 0.0, 0.0), (5, float("nan"), 1.0), (6, 90.0, 7.0)]
+    dense = [(10_000 + k, 48 + rng.uniform(0, 0.5), 11 + rng.uniform(0, 0.5)) for k in range(700)]
+    stations = dense + [(10, 51.0, 5.0), (9, 49.0, 5.0), (12, -30.0, -179.9), (13, None, 1.0), (None, 50.0, 5.0), (8, 48.2, 11.2), (7, 48.2, 11.2)]
+    left = spark.createDataFrame(cities, "c int, lat double, lon double")
+    right = spark.createDataFrame(stations, "s int, slat double, slon double")
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = []
+    for c, la, lo in cities:
+        known = la is not None and lo is not None and not math.isnan(la)
+        want.append((c, la, lo, *(min((metres(la, lo, y, x), s) for s, y, x in stations if s and y is not None) if known else (None, None))))
+    for leaf in (1, 256, 100_000):
+        monkeypatch.setattr(spatial, "LEAF", leaf)
+        out = spatial.nearest(left, right, "c", "lat", "lon", "s", "slat", "slon")
+        assert out.columns == ["c", "lat", "lon", "s", "distance_m"]
+        got = sorted(map(tuple, out.collect()), key=repr)
+        for g, w in zip(got, sorted(((c, la, lo, s, d) for c, la, lo, d, s in want), key=repr)):
+            assert repr(g[:4]) == repr(w[:4]) and (g[4] is w[4] or g[4] == pytest.approx(w[4], abs=1e-3))
+    assert all(r.s is None for r in spatial.nearest(left, right.limit(0), "c", "lat", "lon", "s", "slat", "slon").collect())
+    assert spatial.nearest(left.limit(0), right, "c", "lat", "lon", "s", "slat", "slon").count() == 0
+
+
+def test_match_or_nearest_has_no_limit(spark):
+    left = spark.createDataFrame([(k, float(k % 70), float(k // 70)) for k in range(0, 6000, 7)] + [(None, 3.2, 4.1), (9_999, None, 1.0)], "k int, x double, y double")
+    right = spark.createDataFrame([(k, float(k % 70), float(k // 70)) for k in range(0, 6000, 2)], "k int, x double, y double")
+    out = {(r.k, r.how): r for r in spatial.match_or_nearest(left, right, "k", "x", "y").collect()}
+    assert len(out) == left.count()
+    assert all(r.matched == r.k for (k, how), r in out.items() if how == "id")
+    for (k, how), r in out.items():
+        if how == "nearest" and r.x is not None:
+            near = min((((r.x - j % 70) ** 2 + (r.y - j // 70) ** 2), j) for j in range(0, 6000, 2))
+            assert r.matched == near[1], k
+    assert out[9_999, "nearest"].matched is None
+
+
+def test_groups_over_long_chains(spark):
+    members = spark.createDataFrame([(k + d, f"g{k}") for k in range(0, 700) for d in (0, 1)] + [(5000, "x"), (5001, "y"), (5002, "y"), (None, "y"), (7, None)], "n int, g string")
+    got = {r.node: r.root for r in graph.groups_of(members, "n", "g").collect()}
+    assert got == {k: 0 for k in range(701)} | {5000: 5000, 5001: 5001, 5002: 5001}
+    assert graph.groups_of(members.limit(0), "n", "g").count() == 0
+
+
+def test_spatial(spark):
     px = spark.createDataFrame([(0, 0, 1.0), (0, 1, -9.0)], "row int, col int, value double")
     pt = spark.createDataFrame([(1, 0.5, 9.5), (2, 1.5, 9.5), (3, 50.0, 9.5)], "k int, x double, y double")
     assert rows(spatial.sample_raster(pt, "x", "y", px, 0.0, 10.0, 1.0, -9.0, "v", True).select("k", "v")) == [(1, 1.0)]
@@ -199,8 +233,15 @@ def test_streaming(spark, tmp_path):
     assert spark.table("hours").agg(F.sum("n")).first()[0] == 12
     write = hourly.upsert_sink(str(tmp_path / "log"), ["g"])
     one = spark.createDataFrame([(1, "failed"), (2, "ok")], "g int, status string")
+    assert hourly.upserted(spark, str(tmp_path / "log"), ["g"], one.schema).count() == 0
     write(one, 0), write(spark.createDataFrame([(1, "success")], "g int, status string"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "log" / "v=1"))) == [(1, "success"), (2, "ok")]
+    assert rows(spark.read.parquet(str(tmp_path / "log" / "v=1"))) == [(1, "success")]  # a batch writes its own rows only
+    want = [(1, "success"), (2, "ok")]
+    assert rows(hourly.upserted(spark, str(tmp_path / "log"), ["g"], one.schema)) == want
+    write(spark.createDataFrame([(1, "success")], "g int, status string"), 1)
+    assert rows(hourly.upserted(spark, str(tmp_path / "log"), ["g"], one.schema)) == want
+    hourly.compact(spark, str(tmp_path / "log"), ["g"], 1)
+    assert rows(hourly.upserted(spark, str(tmp_path / "log"), ["g"], one.schema)) == want and not (tmp_path / "log" / "v=0").exists()
 
 
 def ring_of(points):
@@ -250,15 +291,105 @@ def test_weather_models_and_reviews(spark):
     assert rows(good) == [("d/a.zip", "a.epw", "a.ddy")]
     assert rows(bad) == [("d/b.zip", "no_single_epw"), ("d/c.zip", "archive_missing")]
     assert weather.city_files(spark.createDataFrame([("x", "d/a.zip"), ("y", "d/a.zip")], "city string, path string"), good).count() == 2
-    whole = json.dumps({p: {n: "c" for n in ns} for p, ns in assembly.FACE_SETS.items()})
-    sets = spark.createDataFrame([("ok", whole), ("no", "{"), ("part", json.dumps({"wall_set": {"exterior_construction": "c"}}))], "k string, t string")
-    assert {r.k: len(r.issues) for r in assembly.construction_set_issues(sets, "k", "t").collect()} == {"no": 1, "part": 3}
     chosen = spark.createDataFrame([("a", 1), ("b", 2)], "k string, place int")
     new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3)], "k string, place int")
     assert rows(incremental.select_more(chosen, new, "k")) == [("a", 1), ("b", 2), ("c", 4)]
     assert rows(incremental.select_less(chosen, new, "k")) == [("a", 1)]
     assert incremental.concat([], "k int", spark).count() == 0 and incremental.concat([chosen, new], chosen.schema, spark).count() == 5
-    status = spark.range(1).select(incremental.conversion_status(F.lit(True), F.lit(True), F.lit(True), F.lit(3), F.lit(False))).first()[0]
-    assert status == "ok"
-    one = assembly.energy_properties(spark.range(1), {"heating_setpoint": 20.0}).first()
-    assert one.heating_setpoint == 20.0
+
+
+STATUSES = {
+    "missing_hbjson": {}, "missing_epw": {"model"}, "missing_ddy": {"model", "weather"},
+    "skipped_existing": {"idf", "epjson"}, "validated_existing": {"idf", "epjson", "validate", "idf_valid", "epjson_valid"}, "invalid_existing": {"idf", "epjson", "validate", "idf_valid"},
+    "idf_validation_failed": {"idf"}, "epjson_not_generated": {"idf", "idf_valid"}, "epjson_structure_failed": {"idf", "idf_valid", "made_epjson", "need_hvac", "idf_hvac"}, "restored_missing_epjson": {"idf", "idf_valid", "made_epjson"},
+    "epjson_validation_failed": {"epjson"}, "idf_not_generated": {"epjson", "epjson_valid"}, "idf_structure_failed": {"epjson", "epjson_valid", "made_idf", "need_hvac", "epjson_hvac"}, "restored_missing_idf": {"epjson", "epjson_valid", "made_idf"},
+    "converted": {"made_idf", "idf_valid", "made_epjson", "epjson_valid"}, "conversion_failed": {"failed", "made_idf"},
+}
+
+
+def test_conversion_statuses(spark):
+    names = "model weather design idf epjson overwrite need_hvac validate idf_hvac idf_valid epjson_hvac epjson_valid made_idf made_epjson failed".split()
+    there = {"model", "weather", "design"}
+    data = [(want, *[n in (on if want.startswith("missing_") else on | there) for n in names]) for want, on in STATUSES.items()]
+    # files without a needed air system are not reused, nor are any when overwriting
+    data += [("converted", *[n in there | {"idf", "epjson", "need_hvac", "made_idf", "idf_hvac", "idf_valid", "made_epjson", "epjson_hvac", "epjson_valid", "overwrite"} for n in names])]
+    data += [("idf_structure_failed", *[n in there | {"idf", "epjson", "need_hvac", "made_idf"} for n in names]), ("missing_hbjson", *[None] * len(names))]
+    df = spark.createDataFrame(data, "want string, " + ", ".join(f"{n} boolean" for n in names))
+    for r in df.select("want", incremental.conversion_status(**{n: F.col(n) for n in names}).alias("got")).collect():
+        assert r.want == r.got
+
+
+def test_opaque_constructions(spark):
+    layers = [("wall", 0, "Brick", 0.2), ("wall", 1, "Typical Insulation R1", 2.0), ("wall", 2, "Gypsum", 0.1), ("bare", 0, "Brick", 0.2), ("bare", 1, "Wood", 0.5), ("two", 0, "Typical Insulation A", 1.0), ("two", 1, "Typical Insulation B", 1.0), ("dark", 0, "Stone", None)]
+    layers = spark.createDataFrame(layers, "construction string, position int, material string, r double")
+    materials = spark.createDataFrame([("Typical Insulation",), ("Typical Insulation R1",), ("Typical Insulation A",), ("Foam",)], "material string")
+    targets = [(1, "wall", 0.5, "replace", None, None), (2, "bare", 0.5, "insert", "Foam", 0), (3, "bare", 0.5, "insert", None, None), (4, "wall", 9.0, "replace", None, None), (5, "two", 0.5, "replace", None, None), (6, "none", 0.5, "replace", None, None), (7, "bare", 0.5, "insert", "Straw", None), (8, "dark", 0.5, "insert", "Foam", None), (9, "wall", 0.5, "stack", None, None), (10, "wall", None, "replace", None, None), (11, "bare", 0.5, "replace", None, None)]
+    targets = spark.createDataFrame(targets, "k int, construction string, u_target double, mode string, donor string, insert_after int")
+    good, bad = rules.opaque_constructions(targets, layers, materials, "k")
+    got = {r.k: r for r in good.collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1].layers == ["Brick", "insulation 1", "Gypsum"] and got[1].r_insulation == pytest.approx(1.7) and got[1].u_value == pytest.approx(0.5) and not got[1].clamped
+    assert got[2].layers == ["Brick", "insulation 2", "Wood"] and got[3].layers == ["Brick", "Wood", "insulation 3"] and got[2].r_fixed == pytest.approx(0.7)
+    assert got[4].clamped and got[4].r_insulation == 1e-4 and got[4].u_diff == pytest.approx(9 - 1 / 0.3001)
+    assert {r.k: r.error for r in bad.collect()} == {5: "expected one insulation layer, found 2", 6: "unknown construction", 7: "unknown donor", 8: "unknown resistance", 9: "unsupported mode stack", 10: "no target", 11: "expected one insulation layer, found 0"}
+
+
+def test_construction_sets(spark):
+    parts = ("wall", "roof", "floor", "window")
+    good = {p: (json.dumps({"identifier": f"c_{p}", "materials": ["Brick", f"ins_{p}"]}), json.dumps({"identifier": f"ins_{p}"})) for p in parts}
+    as_row = lambda key, parts_: (key, *[x for p in parts for x in parts_[p]])
+    rows_ = [
+        as_row("town_1", good),
+        as_row("town_2", good | {"roof": (str({"identifier": "c", "materials": ["Brick", "ins_roof"], "x": None}), str({"identifier": "ins_roof", "it's": True}))}),
+        as_row("town_3", good | {"wall": ("{", good["wall"][1])}),
+        as_row("town_4", good | {"floor": (json.dumps({"materials": ["Brick"]}), good["floor"][1])}),
+        as_row("town_5", good | {"floor": (json.dumps({"materials": ["Straw", "ins_floor"]}), good["floor"][1])}),
+        as_row("town_6", good | {"window": (None, None)}),
+    ]
+    df = spark.createDataFrame(rows_, "k string, " + ", ".join(f"{p}_construction string, {p}_material string" for p in parts))
+    made, bad = assembly.construction_sets(df, "k", spark.createDataFrame([("Brick",)], "material string"))
+    sets = {r.k: json.loads(r.construction_set) for r in made.collect()}
+    assert sorted(sets) == ["town_1", "town_2"] and sets["town_1"]["identifier"] == "cs_1"
+    assert sets["town_1"]["roof_ceiling_set"] == {"exterior_construction": "c_roof"} and sets["town_1"]["aperture_set"]["skylight_construction"] == "c_window"
+    assert {r.k: r.construction_error for r in bad.collect()} == {"town_3": "invalid wall construction or material", "town_4": "floor construction lacks its generated material", "town_5": "unknown floor material Straw", "town_6": "invalid window construction or material"}
+
+
+def test_programs_and_windows(spark):
+    b = spark.createDataFrame([(1, ["a::X::S", "b::Y::S"]), (2, ["z::Z::S", "b::Y::S"]), (3, ["q::Q::S"]), (3, ["q::Q::S"])], "k int, c array<string>")
+    named, unnamed = rules.programs(b, F.col("c"), spark.createDataFrame([("a::X::S",), ("b::Y::S",), ("b::Y::S",)], "program string"))
+    assert rows(named.select("k", "program", "program_type", "fallback", "heating_air_c")) == [(1, "a::X::S", "X", False, 50.0), (2, "b::Y::S", "Y", True, 50.0)]
+    assert rows(unnamed.select("k", "candidates")) == [(3, "q::Q::S")] * 2
+    kinds = spark.createDataFrame([(1, 0.3, 1.5), (3, 0.2, 1.0), (5, None, 1.0)], "t int, ratio double, height double")
+    b = spark.createDataFrame([(1, 1, True), (2, 9, True), (3, 9, False), (4, 5, True), (5, None, True)], "k int, t int, res boolean")
+    found, lost = assembly.window_parameters(b, kinds, "t", F.col("res"), ["ratio", "height"])
+    assert rows(found.select("k", "ratio")) == [(1, 0.3), (2, 0.2), (4, 0.2), (5, 0.2)] and [r.k for r in lost.collect()] == [3]
+
+
+def test_neighbours_by_vertices(spark):
+    from hearthframe.functions import geometry as g
+    from hearthframe.operators import shading
+
+    move = lambda dx, dy=0: ring_of([(x + dx, y + dy) for x, y in RECT])
+    b = spark.createDataFrame([(1, move(0))], f"k int, ring {g.RING}")
+    others = spark.createDataFrame([(11, move(30)), (12, move(30)), (13, move(45)), (14, move(0.5)), (15, move(20)), (16, move(0)), (17, move(0, -29))], f"o int, ring {g.RING}")
+    out = shading.nearby(b, others, "k", "o", "ring")
+    assert sorted(r.o for r in out.collect()) == [11, 15, 17]
+
+
+def test_weather_archives_are_sniffed(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.epw", "\ufeffLOCATION,Town\n"), z.writestr("b.epw", "not weather"), z.writestr("a.ddy", "x\nSizingPeriod:DesignDay,"), z.writestr("c.ddy", "none")
+    (tmp_path / "b.zip").write_bytes(b"PK nothing")
+    out = {r.path.rpartition("/")[2]: r for r in tables.zip_members(spark, str(tmp_path)).collect()}
+    assert (out["a.zip"].epw, out["a.zip"].ddy) == (["a.epw"], ["a.ddy"]) and out["b.zip"].error
+    tables.put_bytes(spark, str(tmp_path / "c.json"), b'{"a": 1, "b": [2]}')
+    assert tables.read_json_config(spark, str(tmp_path / "c.json"), {"a": int})["b"] == [2]
+    with pytest.raises(ValueError):
+        tables.read_json_config(spark, str(tmp_path / "c.json"), {"b": dict})
+
+
+def test_resume_modes():
+    assert sinks.resume_mode(True, "ask") == "continue" and sinks.resume_mode(True, "ask", " Yes") == "continue" and sinks.resume_mode(True, "ask", "n") == "overwrite"
+    assert sinks.resume_mode(False, "ask") == "overwrite"
+    with pytest.raises(ValueError):
+        sinks.resume_mode(True, "what")
