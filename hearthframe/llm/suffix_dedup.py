@@ -44,7 +44,7 @@ from .frames import blocks, column, same_slices, utf8_view
 
 SPAN, GRAM, SIDE = 50, 16, 17
 WIDE = SPAN - GRAM + 1  # k-grams of a string
-PIECE = 1 << 20  # string starts handled at once; positions in a piece must fit PLACE bits
+PIECE = 1 << 16  # string starts handled at once, few enough for a core's cache; positions in a piece must fit PLACE bits
 PLACE = np.uint64(22)
 BATCH_STRINGS = 1 << 20
 BLOCK, BUCKET = 2 << 20, 8 << 20
@@ -103,17 +103,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 def packed(row, place, grams, padded, offsets) -> np.ndarray:
     """32 bits of the k-gram's hash, then sixteen of the bytes after it and sixteen of those before it; 0 where a text has fewer."""
-    words = loads(padded)
-    begin, end = offsets[row], offsets[row + 1]
+    words, out = loads(padded), np.empty(len(row), np.uint64)
 
     def side(at, ok):
         at = np.where(ok, at, 0)
         h = mixed(words[at] * M1 ^ mixed(words[at + 8] + mixed(words[at + SIDE - 8] + M2))) >> np.uint64(48)
         return np.where(ok, np.maximum(h, np.uint64(1)), np.uint64(0))
 
-    after = side(place + GRAM, place + GRAM + SIDE <= end)
-    before = side(place - SIDE, place - SIDE >= begin)
-    return (grams << np.uint64(32)) | (after << np.uint64(16)) | before
+    for lo in range(0, len(row), PIECE):
+        part = slice(lo, lo + PIECE)
+        begin, end, p = offsets[row[part]], offsets[row[part] + 1], place[part]
+        after, before = side(p + GRAM, p + GRAM + SIDE <= end), side(p - SIDE, p - SIDE >= begin)
+        out[part] = (grams[part] << np.uint64(32)) | (after << np.uint64(16)) | before
+    return out
 
 
 def sides(value: np.ndarray):
@@ -389,19 +391,25 @@ STEPS = (*range(8, SPAN - 7, 8), SPAN - 8)
 
 
 def string_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    words = loads(data)
-    key = np.zeros(len(at), np.uint64)
-    for k in (0, *STEPS):
-        key = mixed(key + words[at + k] * M1)
-    return key
+    words, out = loads(data), np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), PIECE):
+        part = at[lo : lo + PIECE]
+        key = np.zeros(len(part), np.uint64)
+        for k in (0, *STEPS):
+            key = mixed(key + words[part + k] * M1)
+        out[lo : lo + PIECE] = key
+    return out
 
 
 def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    words = loads(data)
-    same = np.ones(len(a), bool)
-    for k in (0, *STEPS):
-        same &= words[a + k] == words[b + k]
-    return same
+    words, out = loads(data), np.empty(len(a), bool)
+    for lo in range(0, len(a), PIECE):
+        x, y = a[lo : lo + PIECE], b[lo : lo + PIECE]
+        same = np.ones(len(x), bool)
+        for k in (0, *STEPS):
+            same &= words[x + k] == words[y + k]
+        out[lo : lo + PIECE] = same
+    return out
 
 
 def big_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -472,13 +480,12 @@ class Family:
         keys = string_keys(self.data, at)
         order = np.argsort(keys)
         first = np.append(True, np.diff(keys[order]) != 0)
-        group = np.cumsum(first) - 1
-        heads = np.flatnonzero(first)
-        own, who = at[order[heads]], np.minimum.reduceat(docs[order], heads)
+        one = np.minimum.reduceat(order, np.flatnonzero(first))  # the first of each: of the least document
         kind = np.empty(len(at), np.int64)
-        kind[order] = group
-        rest = np.flatnonzero(~first)
-        odd = order[rest[~equal_strings(self.data, at[order[rest]], own[group[rest]])]]
+        kind[order] = np.cumsum(first) - 1
+        own, who = at[one], docs[one]
+        rest = np.flatnonzero(at != own[kind])  # in order of place: neighbours' copies are neighbours
+        odd = rest[~equal_strings(self.data, at[rest], own[kind[rest]])]
         if len(odd):  # equal keys of different strings, one pair in 2**64: told apart by their bytes
             names, whole = {}, np.unique(kind[odd])
             for j in np.flatnonzero(np.isin(kind, whole)).tolist():
