@@ -10,7 +10,8 @@ all others are constant functions.
 
 Slices of the text go through a bounded cache of piece -> ids. The pieces a block lacks
 are merged together: all adjacent pairs of all pieces look up their rank in one hash
-table, each piece merges its lowest pair, until no piece has a pair left.
+table, each piece merges its lowest pair, until no piece has a pair left. A piece of more than
+``LONG_PIECE`` bytes merges by itself, by a queue of its pairs.
 
 Defined cases: a null text is the empty text; empty text has no ids; bytes that are not
 UTF-8 are read as U+FFFD; repeated rows are encoded again; other columns pass through.
@@ -20,6 +21,7 @@ One document is the least unit of work, so memory follows the longest document.
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .frames import blocks, same_slices, text_pass, utf8_view, word_keys
 
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = 0, 1, 2, 3, 4, 5
-CACHE_PIECES = 150_000
+CACHE_PIECES, LONG_PIECE = 150_000, 512
 #: White_Space codepoints besides the space.
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -184,6 +186,7 @@ class Ranks:
         self.lens = np.array([len(b) for b in self.bytes_of], np.int64)
         self.at = np.cumsum(self.lens) - self.lens
         self.cache: dict[bytes, bytes] = {}
+        self.pairs: dict[int, int] = {}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
@@ -251,6 +254,35 @@ class Ranks:
             a = b
         return out
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one long piece by a queue of pairs: merges cost their logarithm and not a pass over the piece."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        at = np.flatnonzero(ranks != self.NONE)
+        queue = list(zip(ranks[at].tolist(), at.tolist()))
+        heapq.heapify(queue)
+        if not self.pairs:
+            filled = np.flatnonzero(self.table != np.iinfo(np.uint64).max)
+            self.pairs.update(zip(self.table[filled].tolist(), self.value[filled].tolist()))
+        pairs, ids, n = self.pairs, ids.tolist(), len(piece)
+        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+        pop, push = heapq.heappop, heapq.heappush
+        while queue:
+            rank, i = pop(queue)
+            j = after[i] if alive[i] else n
+            if j >= n or pairs.get(ids[i] << 32 | ids[j]) != rank:
+                continue  # an entry of a pair that is gone
+            ids[i], alive[j], k = rank, False, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := pairs.get(rank << 32 | ids[k])) is not None:
+                    push(queue, (r, i))
+            h = before[i]
+            if h >= 0 and (r := pairs.get(ids[h] << 32 | rank)) is not None:
+                push(queue, (r, h))
+        return np.array([x for x, ok in zip(ids, alive) if ok], "<u4").tobytes()
+
     def look_up(self, slices: list[bytes]) -> list[bytes]:
         cache = self.cache
         try:
@@ -265,6 +297,8 @@ class Ranks:
         for p in new:
             if p in ranks:
                 cache[p] = ranks[p].to_bytes(4, "little")
+            elif len(p) > LONG_PIECE:
+                cache[p] = self.merge_long(p)
             else:
                 rest.append(p)
         for lo in range(0, len(rest), 20_000):
