@@ -12,8 +12,9 @@ A bucket emits a spanning forest of its links and not its pairs, so a group of n
 fingerprints makes n - 1 edges a table. Copies of one text are one fingerprint from the
 first step on. Components are found by stars over the edges, without any document.
 
-Buckets of more than ``SPLIT`` fingerprints are split in parts, and every pair of parts is
-compared by a task of its own, so no bucket has to fit one task.
+Buckets of more than ``SPLIT`` fingerprints are dealt anew by four blocks of further bits (one of
+which near fingerprints share), ``DEEPER`` times if need be; what is still too large is split in parts, and every
+pair of parts is compared by a task of its own, so no bucket has to fit one task.
 
 Defined cases: null, empty and wordless texts have fingerprint zero, linked like any other;
 a null id never names a component, a component of null ids only has a null id; repeated
@@ -34,7 +35,7 @@ from .components import components
 from .frames import blocks, column, text_pass, utf8_view
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
-SPLIT = 4_096
+SPLIT, DEEPER = 4_096, 2
 LANES = 64  # words of a block that is abandoned together: 4096 pairs
 
 
@@ -211,18 +212,66 @@ def table_keys(fp) -> list:
     return out
 
 
+def block_masks(used: int, parts: int = 4) -> list[int]:
+    """The bits that a key has not used yet, in ``parts`` blocks: fingerprints within three bits agree in one of them."""
+    free = [k for k in range(64) if not used >> k & 1]
+    return [sum(1 << k for k in free[i::parts]) for i in range(parts)]
+
+
+def used_bits() -> list[int]:
+    """The bits that each of the sixteen tables' keys holds."""
+    out = []
+    for o in range(OUTER):
+        rest = [k for k in range(64) if k // 16 != o]
+        out += [(0xFFFF << 16 * o) | sum(1 << k for k in rest[12 * i : 12 * i + 12]) for i in range(INNER)]
+    return out
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) of a spanning forest of all links between distinct fingerprints (column ``fp``)."""
+    """Edges (a, b) of a spanning forest of all links between distinct fingerprints (column ``fp``).
+
+    A bucket of more than ``SPLIT`` fingerprints is dealt anew by four blocks of the bits its key leaves, so a
+    row of it is copied four times whatever the bucket's size; buckets that stay too large after
+    ``DEEPER`` rounds are split in parts, every pair of parts a cell.
+    """
     ship(distinct.sparkSession)
-    keyed = distinct.select(F.explode(F.array(*table_keys(F.col("fp")))).alias("key"), "fp")
-    # oversized buckets: count first (combined before the shuffle), then parts and pairs of parts
-    large = keyed.groupBy("key").count().filter(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts"))
-    dealt = keyed.join(large, "key", "left")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")))
-    whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    dealt = dealt.select("key", "fp", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(part).alias("part"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(others)).alias("cell"))
-    dealt = dealt.select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "fp").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "fp")
+    tables = F.array(*[F.struct(k.alias("key"), F.lit(i).alias("path")) for i, k in enumerate(table_keys(F.col("fp")))])
+    keyed = distinct.select(F.explode(tables).alias("t"), "fp").select("t.key", "t.path", "fp")
+    used, found = used_bits(), None
+    for depth in range(DEEPER + 1):
+        large = keyed.groupBy("key").count().filter(F.col("count") > SPLIT).checkpoint()
+        some = not large.isEmpty()
+        if depth == DEEPER and some:
+            edges = _compare(keyed, large.select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), radius)
+        else:
+            edges = _compare(keyed.join(large, "key", "left_anti") if some else keyed, None, radius)
+        found = edges if found is None else found.unionByName(edges)
+        if not some or depth == DEEPER:
+            break
+        masks = [block_masks(u) for u in used]
+        flat = F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in masks])
+        deal = F.transform(F.element_at(flat, F.col("path") + 1), lambda m, j: F.struct(F.xxhash64("key", j, F.col("fp").bitwiseAND(m)).alias("key"), (F.col("path") * 4 + j).alias("path")))
+        keyed = keyed.join(large.select("key"), "key", "left_semi").select(F.explode(deal).alias("t"), "fp").select("t.key", "t.path", "fp")
+        used = [u | m for u, ms in zip(used, masks) for m in ms]
+    return found.distinct()
+
+
+def _compare(keyed: DataFrame, large: DataFrame | None, radius: int) -> DataFrame:
+    """Edges inside every bucket (rows of one key); ``large``: keys with the parts that they are split in."""
+    if large is None:
+        dealt = keyed.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "fp")
+    else:
+        dealt = keyed.join(large, "key", "left")
+        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")))
+        whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+        dealt = dealt.select("key", "fp", F.coalesce(part, F.lit(0)).alias("part"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(others)).alias("cell"))
+        dealt = dealt.select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "fp")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "fp")
     schema = "a bigint, b bigint"
 
     def run(batches):
@@ -256,7 +305,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if rest is not None:
             yield solve(rest)
 
-    return dealt.mapInArrow(run, schema).distinct()
+    return dealt.mapInArrow(run, schema)
 
 
 def rooted_classes(rows: DataFrame, least) -> DataFrame:

@@ -71,9 +71,26 @@ def test_links_of_split_buckets(spark, monkeypatch):
     fps = sorted({base ^ sum(1 << int(k) for k in rng.choice(16, 3)) for _ in range(300)} | {int(x) for x in rng.integers(0, 1 << 62, 200)})
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
     want = brute_components(fps, fps)
-    monkeypatch.setattr(simhash, "SPLIT", 50)
-    root = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
-    assert [root.get(f, f) for f in fps] == want
+    for split, deeper in ((50, 2), (50, 0), (8, 1), (400, 2)):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        monkeypatch.setattr(simhash, "DEEPER", deeper)
+        root = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+        assert [root.get(f, f) for f in fps] == want, (split, deeper)
+
+
+def test_blocks_of_free_bits():
+    """Every table's key and its four further blocks are disjoint, and cover all bits two rounds down."""
+    for used in simhash.used_bits():
+        assert bin(used).count("1") == 28
+        for mask in simhash.block_masks(used):
+            assert not mask & used and bin(mask).count("1") == 9
+        assert sum(simhash.block_masks(used)) == (1 << 64) - 1 - used
+
+
+def test_simhash_of_long_texts():
+    rng = np.random.default_rng(1)
+    text = " ".join(rng.choice([f"word{k}" for k in range(500)], 60_000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
 def test_components(spark):

@@ -278,6 +278,38 @@ def test_html_on_whole_pages(spark, sf):
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", "\n", body))).split())
 
 
+def test_long_pieces_of_bpe(tokenizer):
+    import time
+
+    rng = np.random.default_rng(6)
+    ranks = bpe.load(bpe.vocabulary())
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    for text in (letters(200_000, "abcdefghijklmnopqrstuvwxyz"), "a" * 5000, letters(3000, "ab"), "é" * 2000, "!" * 3001 + " " * 2000, letters(700, "日本語の文字")):
+        began = time.time()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = bpe.encode_block(ranks, raw, np.array([0, len(raw)]))
+        assert time.time() - began < 30
+        assert ids.tolist() == tokenizer.encode_ordinary(text)
+        assert ranks.decode(ids) == text.encode()
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    secret = "token = abcdefgh12345678"
+    rows = [(1, f"the same row {secret}"), (1, f"the same row {secret}"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, "the same row")], "item_id bigint, text string")
+    found = decontam.scan(df, bench, keep=["doc_id"]).collect()
+    assert [(r.doc_id, r.n_hit, r.contaminated) for r in found] == [(1, 3, True), (1, 3, True), (2, 0, False)]
+    assert decontam.scan(df.limit(0), bench).count() == 0 and decontam.scan(df, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    out = bpe.encode(df, bpe.vocabulary(), keep=["doc_id"]).collect()
+    assert out[0].ids == out[1].ids and out[2].n_tokens == 0
+    assert [len(r.base) for r in secret_scan.scan(df).collect()] == [1, 1, 0]
+    urls = spark.createDataFrame([(1, "http://a.net/de/8")] * 2, "page_id bigint, url string")
+    assert [r.verdict for r in url_filter.judge(urls).collect()] == ["block"] * 2 and url_filter.judge(urls.limit(0)).count() == 0
+    lines = line_dedup.drop_lines(docs(spark, ["x\ny"] * 3, [1, 1, 1])).collect()
+    assert [r.text for r in lines] == ["x\ny"] * 3
+
+
 def test_digests_of_bpe_query(spark, sf, tokenizer):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in bpe.query(spark, sf).collect():
