@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, best bin first.
 
-The tree is fitted on the driver to at most ``SAMPLE`` vectors (by hash of the id) and has at
-most ``SAMPLE / LEAF`` leaves, so it is small whatever the table holds. Largest inner
+The tree's top is fitted on the driver to at most ``SAMPLE`` vectors (by hash of the id). Leaves that then
+hold over ``ROWS_A_LEAF`` rows are split by trees fitted in executors, each to about ``SUB_SAMPLE`` of its leaf's
+rows, so leaves grow in number with the table, up to SAMPLE / LEAF * SUB_SAMPLE / LEAF. Largest inner
 product becomes nearest point by the usual extra coordinate sqrt(1 - |x|^2 / M^2). Every row
 descends to one leaf.
 
@@ -27,6 +28,7 @@ candidates or fewer all are returned; no query or no candidate gives no rows.
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from .frames import column
 
 K, TARGET = 20, 0.93
 SAMPLE, LEAF, BRANCH, CALIBRATION = 16_384, 32, 16, 256
+ROWS_A_LEAF, SUB_SAMPLE = 4_096, 4_096
 ROWS_A_CELL, QUERIES_A_CELL, QUERIES_A_TASK = 8_192, 2_048, 512
 SLACK = 1e-9
 
@@ -45,14 +48,15 @@ SLACK = 1e-9
 class Tree:
     """Centres of all nodes, children of inner nodes, numbers of leaves."""
 
-    def __init__(self, points: np.ndarray, seed: int = 7):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 7):
+        self.least = leaf
         self.centres, self.children, self.leaf_of = [points.mean(axis=0)], [[]], [-1]
         self.leaves = 0
         rng = np.random.default_rng(seed)
         todo = [(0, points)]
         while todo:
             node, own = todo.pop()
-            parts = self._split(own, rng) if len(own) > 2 * LEAF else []
+            parts = self._split(own, rng) if len(own) > 2 * leaf else []
             if len(parts) < 2:
                 self.leaf_of[node] = self.leaves
                 self.leaves += 1
@@ -65,9 +69,8 @@ class Tree:
                 self.leaf_of.append(-1)
         self.centres = np.array(self.centres)
 
-    @staticmethod
-    def _split(own: np.ndarray, rng) -> list[np.ndarray]:
-        k = min(BRANCH, max(2, len(own) // LEAF))
+    def _split(self, own: np.ndarray, rng) -> list[np.ndarray]:
+        k = min(BRANCH, max(2, len(own) // self.least))
         centres = own[rng.choice(len(own), k, replace=False)]
         for _ in range(8):
             near = ((centres**2).sum(axis=1) - 2 * own @ centres.T).argmin(axis=1)
@@ -76,6 +79,24 @@ class Tree:
         near = ((centres**2).sum(axis=1) - 2 * own @ centres.T).argmin(axis=1)
         return [own[near == c] for c in np.unique(near)]
 
+    def graft(self, trees: dict[int, Tree]) -> None:
+        """Trees grown in leaves take these leaves' places."""
+        for node in [n for n, leaf in enumerate(self.leaf_of) if leaf in trees]:
+            tree, base = trees[self.leaf_of[node]], len(self.leaf_of) - 1  # the tree's root is the node itself
+            new = lambda n, node=node, base=base: node if n == 0 else base + n
+            for n, (kids, leaf) in enumerate(zip(tree.children, tree.leaf_of)):
+                kids = [new(kid) for kid in kids]
+                if n == 0:
+                    self.children[node], self.leaf_of[node] = kids, 0 if leaf >= 0 else -1
+                else:
+                    self.children.append(kids), self.leaf_of.append(0 if leaf >= 0 else -1)
+            self.centres = np.vstack((self.centres, tree.centres[1:]))
+        self.leaves = 0
+        for n, leaf in enumerate(self.leaf_of):
+            if leaf >= 0:
+                self.leaf_of[n] = self.leaves
+                self.leaves += 1
+
     def assign(self, points: np.ndarray) -> np.ndarray:
         """Leaf of each point, by descent."""
         out = np.zeros(len(points), np.int32)
@@ -204,6 +225,41 @@ def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, i
     return out
 
 
+def _deepen(rows: DataFrame, tree: Tree, dim: int, top: float) -> None:
+    """Splits the leaves that hold over ``ROWS_A_LEAF`` rows, each by a tree fitted in an executor to a sample of its rows."""
+    spark = rows.sparkSession
+    first = spark.sparkContext.broadcast(tree)
+
+    def leaves(batches):
+        for b in batches:
+            leaf, n = np.unique(first.value.assign(lift(matrix(b.column(1), dim), top)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(n, pa.int64())], names=["leaf", "n"])
+
+    counts = rows.mapInArrow(leaves, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > ROWS_A_LEAF).collect()
+    if not counts:
+        return
+    sizes = np.zeros(tree.leaves)
+    for leaf, n in counts:
+        sizes[leaf] = n
+
+    def sampled(batches):
+        for b in batches:
+            points = lift(matrix(b.column(1), dim), top)
+            leaf = first.value.assign(points)
+            chance = ((np.asarray(b.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) / float(1 << 24)
+            keep = np.flatnonzero(chance * sizes[leaf] < np.where(sizes[leaf] > 0, SUB_SAMPLE, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[keep].astype(np.int32)), pa.array([points[k].tobytes() for k in keep.tolist()], pa.binary())], names=["leaf", "point"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        leaf = group["leaf"][0].as_py()
+        points = np.frombuffer(b"".join(group["point"].to_pylist()), float).reshape(group.num_rows, -1)
+        grown = Tree(points, max(LEAF, int(len(points) * ROWS_A_LEAF / sizes[leaf])))
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps(grown)], pa.binary())})
+
+    made = rows.mapInArrow(sampled, "leaf int, point binary").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect()
+    tree.graft({leaf: pickle.loads(raw) for leaf, raw in made})
+
+
 def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every: int, k: int, target: float) -> DataFrame:
     """The search among ``count`` rows of one dimension with ``asked`` queries; ``top`` is the longest vector's length."""
     spark = rows.sparkSession
@@ -213,7 +269,8 @@ def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every
     if not len(points):
         points = np.array([rows.first()[1]], float)
     tree = Tree(lift(points, top))
-    shared = spark.sparkContext.broadcast(tree)
+    _deepen(rows, tree, dim, top)
+    shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / LEAF * SUB_SAMPLE / LEAF leaves
 
     def place(batches):
         for b in batches:
@@ -261,7 +318,7 @@ def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every
     visits = dealt.mapInArrow(spread, BLOB).checkpoint()
     q_sizes = {r[0]: r[1] for r in visits.groupBy("leaf").agg(F.sum("n")).collect()}
     parts = spark.createDataFrame([(i, int(-(-sizes[i] // ROWS_A_CELL)), int(-(-q_sizes.get(i, 1) // QUERIES_A_CELL))) for i in range(tree.leaves) if sizes[i]], "leaf int, v_parts int, q_parts int")
-    parts = F.broadcast(parts)  # at most SAMPLE / LEAF rows
+    parts = F.broadcast(parts)  # a row a leaf
     own = lambda n: F.pmod(F.xxhash64("packed", F.lit(11)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = visits.join(parts, "leaf").select("leaf", upto("v_parts").alias("v_part"), own("q_parts").alias("q_part"), "packed")

@@ -240,3 +240,42 @@ def test_neighbours_recall(spark, sf):
         s[ids == q] = -np.inf
         hits.append(len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & set(found)) / 20)
     assert np.mean(hits) >= 0.9
+
+
+def test_leaves_grow_with_the_table(spark, monkeypatch):
+    """On clustered vectors a larger table has more leaves, a query reads few of its rows, and held-out queries find theirs."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(150, 16)) * 3
+    read = []
+    monkeypatch.setattr(ann, "SAMPLE", 1024)
+    monkeypatch.setattr(ann, "ROWS_A_LEAF", 64)
+    monkeypatch.setattr(ann, "CALIBRATION", 32)
+    for n in (2000, 8000):
+        m = centres[rng.integers(0, 150, n)] + rng.normal(size=(n, 16)) * 0.3
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+        trees = []
+        real = ann.Tree.visits
+        grown = ann._deepen
+
+        def deepen(rows, tree, dim, top):
+            grown(rows, tree, dim, top)
+            trees.append(tree)
+
+        monkeypatch.setattr(ann, "_deepen", deepen)
+        out = {}
+        for r in ann.search(df, every=40).collect():
+            out.setdefault(r.query_id, []).append(r.vec_id)
+        monkeypatch.setattr(ann, "_deepen", grown)
+        tree = trees[0]
+        sizes = np.bincount(tree.assign(ann.lift(m, 1.0)), minlength=tree.leaves)
+        assert sizes.sum() == n and sorted(x for x in tree.leaf_of if x >= 0) == list(range(tree.leaves))
+        read.append(tree.leaves)
+        hits = []
+        for q, found in out.items():
+            s = m @ m[q]
+            s[q] = -np.inf
+            hits.append(len(set(np.lexsort((np.arange(n), -s))[:20].tolist()) & set(found)) / 20)
+        assert np.mean(hits) >= 0.9 and len(out) == n // 40
+        assert ann.Tree.visits is real
+    assert read[1] > 2 * read[0] / 1.5
