@@ -4,32 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import geometry as g
 from ..functions.text import as_json
 
 
 def rooms(buildings: DataFrame, key: str, levels: str, height: str, zones: str) -> DataFrame:
-    """One row a building, level and zone: ``room_id``, ``level``, ``zone``, ``ring``, ``floor_z``, ``ceiling_z``, area and volume."""
-    out = buildings.select(key, height, F.explode(F.sequence(F.lit(0), F.col(levels) - 1)).alias("level"), zones).filter(F.size(zones) > 0)
-    out = out.select(key, height, "level", F.posexplode(zones).alias("zone", "ring"))
-    name = F.concat(F.col(key).cast("string"), F.lit("_z"), F.col("zone").cast("string"), F.lit("_L"), F.col("level").cast("string"))
-    return out.select(key, name.alias("room_id"), "level", "zone", "ring", (F.col("level") * F.col(height)).alias("floor_z"), ((F.col("level") + 1) * F.col(height)).alias("ceiling_z"), g.ring_area(F.col("ring")).alias("area"), (g.ring_area(F.col("ring")) * F.col(height)).alias("volume"))
+    """One row a building, level, zone and part: ``room_id``, ``level``, ``zone``, ``part``, ``ring``, ``floor_z``, ``ceiling_z``, area and volume.
+
+    ``zones`` is an array of rings, or of arrays of rings where zones have parts; only zones of several parts
+    name them in the id (``<key>_z<i>[_p<j>]_L<l>``).
+    """
+    several = isinstance(buildings.schema[zones].dataType.elementType.elementType, ArrayType)
+    parts = F.col(zones) if several else F.transform(zones, lambda r: F.array(r))
+    out = buildings.select(key, height, F.explode(F.sequence(F.lit(0), F.col(levels) - 1)).alias("level"), parts.alias("__z")).filter(F.size("__z") > 0)
+    out = out.select(key, height, "level", F.posexplode("__z").alias("zone", "__p")).select(key, height, "level", "zone", F.size("__p").alias("__n"), F.posexplode("__p").alias("part", "ring"))
+    part = F.when(F.col("__n") > 1, F.concat(F.lit("_p"), F.col("part").cast("string"))).otherwise(F.lit(""))
+    name = F.concat(F.col(key).cast("string"), F.lit("_z"), F.col("zone").cast("string"), part, F.lit("_L"), F.col("level").cast("string"))
+    area = g.ring_area(F.col("ring"))
+    return out.select(key, name.alias("room_id"), "level", "zone", "part", "ring", (F.col("level") * F.col(height)).alias("floor_z"), ((F.col("level") + 1) * F.col(height)).alias("ceiling_z"), area.alias("area"), (area * F.col(height)).alias("volume"))
 
 
 def faces(room: DataFrame) -> DataFrame:
-    """One row a face: floor, roof and a wall an edge, with areas."""
-    walls = room.select("room_id", F.explode(g.edges(F.col("ring"))).alias("e"), (F.col("ceiling_z") - F.col("floor_z")).alias("h"))
-    walls = walls.select("room_id", F.concat(F.lit("wall_"), F.col("e.edge").cast("string")).alias("face"), F.lit("wall").alias("kind"), (F.col("e.length") * F.col("h")).alias("area"))
-    flat = room.select("room_id", F.explode(F.array(F.lit("floor"), F.lit("roof"))).alias("face"), "area").select("room_id", "face", F.col("face").alias("kind"), "area")
+    """One row a face: floor, roof and a wall an edge, with its area and its ``boundary`` (x, y, z).
+
+    Boundaries turn counter-clockwise seen from outside: floors look down, roofs up, walls away from the room.
+    """
+    turned = F.when(g.signed_area(F.col("ring")) >= 0, F.col("ring")).otherwise(F.reverse("ring"))
+    base = room.withColumn("ring", turned)
+    spot = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    level = lambda z: F.transform("ring", lambda p: spot(p["x"], p["y"], z.cast("double")))
+    low, high = F.col("floor_z").cast("double"), F.col("ceiling_z").cast("double")
+    walls = base.select("room_id", low.alias("lo"), high.alias("hi"), F.explode(g.edges(F.col("ring"))).alias("e"))
+    corners = F.array(spot(F.col("e.x1"), F.col("e.y1"), F.col("lo")), spot(F.col("e.x2"), F.col("e.y2"), F.col("lo")), spot(F.col("e.x2"), F.col("e.y2"), F.col("hi")), spot(F.col("e.x1"), F.col("e.y1"), F.col("hi")))
+    walls = walls.select("room_id", F.concat(F.lit("wall_"), F.col("e.edge").cast("string")).alias("face"), F.lit("wall").alias("kind"), (F.col("e.length") * (F.col("hi") - F.col("lo"))).alias("area"), corners.alias("boundary"))
+    flat = F.array(F.struct(F.lit("floor").alias("face"), F.reverse(level(low)).alias("boundary")), F.struct(F.lit("roof").alias("face"), level(high).alias("boundary")))
+    flat = base.select("room_id", "area", F.explode(flat).alias("f")).select("room_id", "f.face", F.col("f.face").alias("kind"), "area", "f.boundary")
     return walls.unionByName(flat)
 
 
 def adjacent_floors(room: DataFrame, key: str) -> DataFrame:
-    """(lower, upper) rooms of the same zone on neighbouring levels."""
-    lower = room.select(key, "zone", F.col("level"), F.col("room_id").alias("lower"))
-    upper = room.select(key, "zone", (F.col("level") - 1).alias("level"), F.col("room_id").alias("upper"))
-    return lower.join(upper, [key, "zone", "level"]).select(key, "lower", "upper")
+    """(lower, upper) rooms of the same zone and part on neighbouring levels."""
+    lower = room.select(key, "zone", "part", F.col("level"), F.col("room_id").alias("lower"))
+    upper = room.select(key, "zone", "part", (F.col("level") - 1).alias("level"), F.col("room_id").alias("upper"))
+    return lower.join(upper, [key, "zone", "part", "level"]).select(key, "lower", "upper")
+
+
+def adjacent_walls(room: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """(key, one, other): rooms of one level whose walls have the same ends, to ``digits``; an equi-join on the ends."""
+    e = room.select(key, "level", "room_id", F.explode(g.edges(F.col("ring"))).alias("e"))
+    end = lambda k: F.struct(F.round(f"e.x{k}", digits).alias("x"), F.round(f"e.y{k}", digits).alias("y"))
+    e = e.select(key, "level", "room_id", F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b"))
+    other = e.withColumnRenamed("room_id", "other")
+    return e.join(other, [key, "level", "a", "b"]).filter("room_id < other").select(key, F.col("room_id").alias("one"), "other").distinct()
 
 
 def windows(walls: DataFrame, ratio: Column, least: float = 0.1) -> DataFrame:

@@ -106,7 +106,8 @@ def conversion_status(**seen: F.Column) -> F.Column:
     from_epjson = F.when(~s["epjson_valid"], "epjson_validation_failed").when(~s["made_idf"], "idf_not_generated").when(~hvac("idf"), "idf_structure_failed").otherwise("restored_missing_idf")
     anew = F.when(s["failed"] | ~s["made_idf"], "conversion_failed").when(~hvac("idf"), "idf_structure_failed").otherwise(from_idf(F.when(s["epjson_valid"], "converted").otherwise("epjson_validation_failed")))
     return (
-        F.when(~s["model"], "missing_hbjson")
+        F.when(seen["model"].isNull(), "unknown")
+        .when(~s["model"], "missing_hbjson")
         .when(~s["weather"], "missing_epw")
         .when(~s["design"], "missing_ddy")
         .when(pair, reused)

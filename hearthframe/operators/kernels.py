@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -54,20 +55,6 @@ def hull(points) -> Ring:
     return half[0] + half[1]
 
 
-def rectangle_dims(ring: Ring) -> tuple[float, float]:
-    """(short, long) side of the rectangle of least area around a ring."""
-    h = hull(ring)
-    if len(h) < 3:
-        return 0.0, max((math.dist(a, b) for a in h for b in h), default=0.0)
-    p = np.asarray(h)
-    e = np.roll(p, -1, axis=0) - p
-    u = e / np.hypot(e[:, 0], e[:, 1])[:, None]
-    along, across = p @ u.T, p @ np.stack((-u[:, 1], u[:, 0]))
-    w, d = np.ptp(along, axis=0), np.ptp(across, axis=0)
-    k = int((w * d).argmin())
-    return float(min(w[k], d[k])), float(max(w[k], d[k]))
-
-
 def compact(ring: Ring) -> float:
     size = length(ring)
     return 4 * math.pi * abs(area(ring)) / size**2 if size else 0.0
@@ -427,6 +414,42 @@ def structs(ring: Ring) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in ring]
 
 
+def ring_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All points of a ring column and each ring's border among them; null rings are empty. No Python object a point."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    sizes = np.nan_to_num(np.asarray(pc.list_value_length(col).cast(pa.float64()))).astype(np.int64)
+    flat = col.flatten()
+    points = np.stack([np.asarray(flat.field(i).cast(pa.float64())) for i in (flat.type.get_field_index("x"), flat.type.get_field_index("y"))], axis=1)
+    return points, np.append(0, np.cumsum(sizes))
+
+
+def rectangles(points: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(short, long) sides of the least rectangles around many rings, rings of one length at a time.
+
+    A least rectangle lies along a line through two vertices, so all these directions are tried.
+    """
+    sizes = np.diff(borders)
+    short, long = np.zeros(len(sizes)), np.zeros(len(sizes))
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        i, j = np.triu_indices(n, 1)
+        step = max(1, (1 << 20) // (len(i) * n))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            p = points[borders[part][:, None] + np.arange(n)]
+            d = p[:, j] - p[:, i]
+            length = np.hypot(d[..., 0], d[..., 1])
+            ok = length > EPS
+            u = d / np.where(ok, length, 1.0)[..., None]
+            along = np.ptp(np.einsum("rnc,rkc->rkn", p, u), axis=2)
+            across = np.ptp(np.einsum("rnc,rkc->rkn", p, np.stack((-u[..., 1], u[..., 0]), axis=-1)), axis=2)
+            best = np.where(ok, along * across, np.inf).argmin(axis=1)
+            pick = np.arange(len(part))
+            a, b = np.where(ok.any(axis=1), along[pick, best], 0.0), np.where(ok.any(axis=1), across[pick, best], 0.0)
+            short[part], long[part] = np.minimum(a, b), np.maximum(a, b)
+    return short, long
+
+
 def ring_pass(df: DataFrame, columns: list[str], kernel: Callable[..., dict], added: str) -> DataFrame:
     """``df`` with the fields that ``kernel(*values)`` returns for each row; ``added`` is their DDL."""
     ship(df.sparkSession)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as g
+from ..session import ship
 from . import kernels as k
 from . import overlay as o
 from . import perimeter, regularise
@@ -101,13 +104,17 @@ def fit_neighbours(df: DataFrame, ring: str, neighbours: str) -> DataFrame:
 
 
 def rectangle(df: DataFrame, ring: str) -> DataFrame:
-    """Adds ``short`` and ``long`` sides of the least rectangle."""
+    """Adds ``short`` and ``long`` sides of the least rectangle; zeros for no ring. Whole batches at a time."""
+    ship(df.sparkSession)
+    at = df.columns.index(ring)
+    out = StructType([*df.schema.fields, StructField("short", DoubleType()), StructField("long", DoubleType())])
 
-    def one(value):
-        short, long = k.rectangle_dims(k.points(value))
-        return {"short": short, "long": long}
+    def run(batches):
+        for batch in batches:
+            short, long = k.rectangles(*k.ring_arrays(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short), pa.array(long)], names=out.names)
 
-    return k.ring_pass(df, [ring], one, "short double, long double")
+    return df.mapInArrow(run, out)
 
 
 def connectivity(df: DataFrame, zones: str) -> DataFrame:

@@ -250,3 +250,31 @@ def split_rings(spark, d):
     f = blocks(spark, d).select("p_partkey", F.struct(box(zero, zero, w, h).alias("exterior"), F.array(box(F.lit(1.0), F.lit(2.0), F.lit(2.0), F.lit(2.0))).alias("holes")).alias("poly"))
     out = zones.split_holes(dealt(f), "poly")
     return out.select("p_partkey", F.size("pieces").alias("n"), F.round(g.total(F.transform("pieces", g.ring_area)), 3).alias("area"))
+
+
+@query(
+    "footprint_rejects",
+    f"WITH {BLOCK} SELECT p_partkey, round(w * h - CASE WHEN k = 1 THEN 1 ELSE 0 END, 6) AS area, CAST(CASE WHEN k = 1 THEN 1 ELSE 0 END AS INTEGER) AS n_holes, round(least(w, h), 4) AS short FROM f WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND w * h - CASE WHEN k = 1 THEN 1 ELSE 0 END BETWEEN 60 AND 400",
+)
+def footprint_rejects(spark, d):
+    """Slivers, footprints of two parts and of three holes, and areas out of bounds leave; of repeated ids one row stays."""
+    w, h, key, one = F.col("w"), F.col("h"), F.col("p_partkey"), F.lit(1.0)
+    poly = lambda ext, *holes: F.struct(ext.alias("exterior"), F.array(*holes).cast(f"array<{g.RING}>").alias("holes"))
+    plain, holed = poly(box(F.lit(0.0), F.lit(0.0), w, h)), poly(box(F.lit(0.0), F.lit(0.0), w, h), box(one, one, one, one))
+    holes3 = poly(box(F.lit(0.0), F.lit(0.0), w, h), *[box(F.lit(0.5), F.lit(y), F.lit(0.5), F.lit(0.5)) for y in (0.5, 1.5, 2.5)])
+    sliver = poly(box(F.lit(0.0), F.lit(0.0), F.lit(60.0), F.lit(1.5)))
+    shapes = F.when(key % 5 == 0, F.array(sliver)).when(key % 7 == 0, F.array(plain, plain)).when(key % 11 == 0, F.array(holes3)).when(F.col("k") == 1, F.array(holed)).otherwise(F.array(plain))
+    f = blocks(spark, d).select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"), shapes.alias("polygons"))
+    out = shading.filter_footprints(f, "p_partkey", "polygons", ["copy"], {"least": 60.0, "most": 400.0})
+    return out.select("p_partkey", F.round("area", 6).alias("area"), "n_holes", F.round("short", 4).alias("short"))
+
+
+@query("room_parts", "SELECT p_partkey, CAST(2 * (1 + p_size % 3) AS BIGINT) AS n_rooms, CAST(1 + p_size % 3 AS BIGINT) AS n_pairs, CAST(p_partkey AS VARCHAR) || '_z0_p1_L' || CAST(p_size % 3 AS VARCHAR) AS last FROM part")
+def room_parts(spark, d):
+    """One zone of two boxes side by side: rooms by part, joined by their common wall on each level."""
+    w, h, zero = F.col("w"), F.col("h"), F.lit(0.0)
+    two = F.array(F.array(box(zero, zero, w, h), box(w, zero, w, h)))
+    b = blocks(spark, d).select("p_partkey", (F.col("k") + 1).alias("levels"), F.lit(3.0).alias("height"), two.alias("zones"))
+    room = assembly.rooms(b, "p_partkey", "levels", "height", "zones")
+    pairs = assembly.adjacent_walls(room, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n_pairs"))
+    return room.groupBy("p_partkey").agg(F.count("*").alias("n_rooms"), F.max("room_id").alias("last")).join(pairs, "p_partkey")

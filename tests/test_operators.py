@@ -24,8 +24,6 @@ def test_decomposition_covers_the_ring_with_convex_pieces(ring):
 
 
 def test_kernels():
-    assert kernels.rectangle_dims(RECT) == pytest.approx((10, 20))
-    assert kernels.rectangle_dims([(0, 0), (10, 10), (5, 15), (-5, 5)]) == pytest.approx((50**0.5, 200**0.5))
     hole = [(6, 6), (6, 14), (14, 14), (14, 6)]
     pieces = kernels.slabs([[(0, 0), (20, 0), (20, 20), (0, 20)], hole])
     assert sum(map(kernels.area, pieces)) == pytest.approx(400 - 64) and all(map(kernels.is_convex, pieces))
@@ -183,6 +181,25 @@ def test_models(spark):
     assert rows(graph.groups_of(members, "n", "g")) == [(1, 1), (2, 1), (3, 1), (9, 9)]
 
 
+def test_faces_look_outside(spark):
+    ring = lambda pts: [{"x": float(x), "y": float(y)} for x, y in pts]
+    other = [(20, 0), (30, 0), (30, 10), (20, 10)]
+    zones_ = [[ring(RECT)], [ring(list(reversed(other))), ring([(50, 0), (60, 0), (60, 10)])]]
+    b = spark.createDataFrame([("t_1", 2, 3.0, zones_)], "k string, levels int, h double, zones array<array<array<struct<x:double,y:double>>>>")
+    room = assembly.rooms(b, "k", "levels", "h", "zones")
+    assert sorted(r.room_id for r in room.filter("level = 1").collect()) == ["t_1_z0_L1", "t_1_z1_p0_L1", "t_1_z1_p1_L1"]
+    assert rows(assembly.adjacent_walls(room, "k")) == [("t_1", f"t_1_z0_L{i}", f"t_1_z1_p0_L{i}") for i in (0, 1)]
+    assert assembly.adjacent_floors(room, "k").count() == 3
+    centre = {r.room_id: (sum(p.x for p in r.ring) / len(r.ring), sum(p.y for p in r.ring) / len(r.ring), (r.floor_z + r.ceiling_z) / 2) for r in room.collect()}
+    for f in assembly.faces(room).collect():
+        a, c, d = (tuple(f.boundary[i]) for i in (0, 1, 2))
+        u, v = [q - p for p, q in zip(a, c)], [q - p for p, q in zip(c, d)]
+        normal = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+        out = [p - q for p, q in zip(a, centre[f.room_id])]
+        assert sum(x * y for x, y in zip(normal, out)) > 0, f
+        assert (f.kind == "floor") == (normal[2] < 0) and (f.kind == "roof") == (normal[2] > 0)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k|v|w\n1|x|q\n2||q\n")
     df = tables.read_delimited(spark, str(tmp_path / "a.csv"), "k int, v string, w string", "|", ["k", "v"])
@@ -313,7 +330,7 @@ def test_conversion_statuses(spark):
     data = [(want, *[n in (on if want.startswith("missing_") else on | there) for n in names]) for want, on in STATUSES.items()]
     # files without a needed air system are not reused, nor are any when overwriting
     data += [("converted", *[n in there | {"idf", "epjson", "need_hvac", "made_idf", "idf_hvac", "idf_valid", "made_epjson", "epjson_hvac", "epjson_valid", "overwrite"} for n in names])]
-    data += [("idf_structure_failed", *[n in there | {"idf", "epjson", "need_hvac", "made_idf"} for n in names]), ("missing_hbjson", *[None] * len(names))]
+    data += [("idf_structure_failed", *[n in there | {"idf", "epjson", "need_hvac", "made_idf"} for n in names]), ("unknown", *[None] * len(names))]
     df = spark.createDataFrame(data, "want string, " + ", ".join(f"{n} boolean" for n in names))
     for r in df.select("want", incremental.conversion_status(**{n: F.col(n) for n in names}).alias("got")).collect():
         assert r.want == r.got
