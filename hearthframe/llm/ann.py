@@ -13,10 +13,10 @@ the mean recall of these reaches ``TARGET``. A query also goes on until its leav
 Vectors without any clusters make the calibrated visits many (README gives figures): the recall is
 kept then, not the saving.
 
-Queries and rows travel in packed blobs, a blob a leaf and block, and meet in cells (leaf, part of
-the rows' blobs, part of the queries' blobs). Both parts have bounded sizes, so a leaf that a third of
-all rows share is many cells. Cells return their best k for each query and a ranked window joins them.
-Scores are sums of products in double precision over the original vectors.
+Neighbouring leaves make up cells of bounded sizes. Queries and rows travel in packed blobs, a blob a cell
+and block, a query once to each cell with the leaves that it visits there; inside a cell a query meets the rows
+of these leaves only. A leaf that a third of all rows share is a cell dealt in parts of the rows' and of the queries'
+blobs. Cells return their best k for each query and a ranked window joins them. Scores are sums of products in double precision over the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows with a null id; vectors of different dimensions are searched each among their own;
@@ -181,34 +181,66 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 SCHEMA = "query_id bigint, vec_id bigint, score double"
-BLOB = "leaf int, n int, packed binary"
+BLOB = "cell int, n int, packed binary"
 
 
 def table_of(q, v, s) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def packed(leaf: np.ndarray, which: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> pa.RecordBatch:
-    """Blobs (ids, then vectors) of at most ``most`` rows of one leaf; row ``which[k]`` belongs to ``leaf[k]``."""
-    order = np.argsort(leaf, kind="stable")
-    leaf, which = leaf[order], which[order]
-    borders = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])).tolist() if len(leaf) else []
-    leaves, counts, out = [], [], []
-    for lo, hi in zip(borders, [*borders[1:], len(leaf)]):
+def packed(cell: np.ndarray, row: np.ndarray, leaf: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> pa.RecordBatch:
+    """Blobs of at most ``most`` rows of one cell: ids, vectors, and the leaves of each row in that cell.
+
+    Entry k says that ``row[k]`` belongs to ``leaf[k]`` in ``cell[k]``; a row has one leaf, a query one a visit.
+    """
+    order = np.lexsort((row, cell))
+    cell, row, leaf = cell[order], row[order], leaf[order]
+    first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (row[1:] != row[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(cell)))
+    cells = cell[first]
+    borders = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])).tolist() if len(cells) else []
+    names, sizes, out = [], [], []
+    for lo, hi in zip(borders, [*borders[1:], len(cells)]):
         for at in range(lo, hi, most):
-            part = which[at : min(at + most, hi)]
-            leaves.append(int(leaf[lo])), counts.append(len(part))
-            out.append(ids[part].astype("<i8").tobytes() + vectors[part].astype("<f8").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(counts, pa.int32()), pa.array(out, pa.binary())], names=["leaf", "n", "packed"])
+            end = min(at + most, hi)
+            rows = row[first[at:end]]
+            names.append(int(cells[lo])), sizes.append(end - at)
+            leaves = leaf[first[at] : first[end] if end < len(first) else len(leaf)]
+            out.append(b"".join((np.array([end - at], "<i8").tobytes(), ids[rows].astype("<i8").tobytes(), vectors[rows].astype("<f8").tobytes(), counts[at:end].astype("<i4").tobytes(), leaves.astype("<i4").tobytes())))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["cell", "n", "packed"])
 
 
-def unpacked(blobs: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of blobs."""
-    ids, vectors = [np.zeros(0, "<i8")], [np.zeros((0, dim), "<f8")]
+def unpacked(blobs: list[bytes], dim: int):
+    """(ids, vectors, row of each leaf entry, its leaf) of blobs."""
+    ids, vectors, rows, leaves, seen = [np.zeros(0, "<i8")], [np.zeros((0, dim), "<f8")], [np.zeros(0, np.int64)], [np.zeros(0, "<i4")], 0
     for blob in blobs:
-        n = len(blob) // (8 * (dim + 1))
-        ids.append(np.frombuffer(blob, "<i8", n)), vectors.append(np.frombuffer(blob, "<f8", offset=8 * n).reshape(n, dim))
-    return np.concatenate(ids), np.concatenate(vectors)
+        n = int(np.frombuffer(blob, "<i8", 1)[0])
+        at = 8 + 8 * n
+        ids.append(np.frombuffer(blob, "<i8", n, 8)), vectors.append(np.frombuffer(blob, "<f8", n * dim, at).reshape(n, dim))
+        counts = np.frombuffer(blob, "<i4", n, at + 8 * n * dim)
+        rows.append(seen + np.repeat(np.arange(n), counts)), leaves.append(np.frombuffer(blob, "<i4", offset=at + 8 * n * dim + 4 * n))
+        seen += n
+    return np.concatenate(ids), np.concatenate(vectors), np.concatenate(rows), np.concatenate(leaves)
+
+
+def in_cell(queries, rows, k: int):
+    """(query id, vector's id, score): the k best of each query among the rows of the leaves that it visits here."""
+    q_ids, asking, q_row, q_leaf = queries
+    v_ids, vectors, v_row, v_leaf = rows
+    by_q, by_v = np.argsort(q_leaf, kind="stable"), np.argsort(v_leaf, kind="stable")
+    found = []
+    for leaf in np.intersect1d(q_leaf, v_leaf).tolist():
+        q = q_row[by_q[slice(*np.searchsorted(q_leaf[by_q], [leaf, leaf + 1]))]]
+        v = v_row[by_v[slice(*np.searchsorted(v_leaf[by_v], [leaf, leaf + 1]))]]
+        a, b, score = best(q_ids[q], asking[q], v_ids[v], vectors[v], k)
+        found.append((q[a], v_ids[v[b]], score))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    q, v, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((v, -score, q))
+    q, v, score = q[order], v[order], score[order]
+    first = np.arange(len(q)) - np.searchsorted(q, np.arange(len(q_ids)))[q] < k
+    return q_ids[q[first]], v[first], score[first]
 
 
 def search(df: DataFrame, every: int = 20, k: int = K, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -272,15 +304,25 @@ def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every
     _deepen(rows, tree, dim, top)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / LEAF * SUB_SAMPLE / LEAF leaves
 
-    def place(batches):
+    def counted(batches):
         for b in batches:
-            ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
-            yield packed(shared.value.assign(lift(vectors, top)), np.arange(len(ids)), ids, vectors, ROWS_A_CELL)
+            leaf, n = np.unique(shared.value.assign(lift(matrix(b.column(1), dim), top)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(n, pa.int64())], names=["leaf", "n"])
 
-    placed = rows.mapInArrow(place, BLOB).checkpoint()
     sizes = np.zeros(tree.leaves, np.int64)
-    for leaf, n in placed.groupBy("leaf").agg(F.sum("n")).collect():
+    for leaf, n in rows.mapInArrow(counted, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         sizes[leaf] = n
+    # neighbouring leaves share a cell of about ROWS_A_CELL rows; a larger leaf is a cell of its own
+    cell_of = np.unique((np.cumsum(sizes) - sizes) // ROWS_A_CELL + np.cumsum(sizes > ROWS_A_CELL), return_inverse=True)[1].astype(np.int32)
+    cell_sizes = np.bincount(cell_of, sizes).astype(np.int64)
+
+    def place(batches):
+        for b in batches:
+            ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
+            leaf = shared.value.assign(lift(vectors, top))
+            yield packed(cell_of[leaf], np.arange(len(ids)), leaf, ids, vectors, ROWS_A_CELL)
+
+    placed = rows.mapInArrow(place, BLOB)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("q"))
     trial = queries.orderBy(F.xxhash64("query_id", F.lit(5)), "query_id").limit(CALIBRATION).collect()
     t_ids, t_vectors = np.array([r[0] for r in trial]), np.array([r[1] for r in trial], float)
@@ -311,28 +353,26 @@ def _search(rows: DataFrame, dim: int, count: int, asked: int, top: float, every
         for b in batches:
             ids, vectors = np.asarray(b.column(0)), matrix(b.column(1), dim)
             found = [shared.value.visits(x, width, sizes, k) for x in lift_queries(vectors)]
-            which = np.repeat(np.arange(len(ids)), [len(f) for f in found])
-            yield packed(np.array([x for f in found for x in f], np.int64), which, ids, vectors, QUERIES_A_CELL)
+            leaf = np.array([x for f in found for x in f], np.int64)
+            yield packed(cell_of[leaf], np.repeat(np.arange(len(ids)), [len(f) for f in found]), leaf, ids, vectors, QUERIES_A_CELL)
 
     dealt = queries.repartition(-(-asked // QUERIES_A_TASK), "query_id")
     visits = dealt.mapInArrow(spread, BLOB).checkpoint()
-    q_sizes = {r[0]: r[1] for r in visits.groupBy("leaf").agg(F.sum("n")).collect()}
-    parts = spark.createDataFrame([(i, int(-(-sizes[i] // ROWS_A_CELL)), int(-(-q_sizes.get(i, 1) // QUERIES_A_CELL))) for i in range(tree.leaves) if sizes[i]], "leaf int, v_parts int, q_parts int")
-    parts = F.broadcast(parts)  # a row a leaf
+    q_sizes = {r[0]: r[1] for r in visits.groupBy("cell").agg(F.sum("n")).collect()}
+    parts = spark.createDataFrame([(i, max(1, int(-(-n // ROWS_A_CELL)) if n > 2 * ROWS_A_CELL else 1), int(-(-q_sizes.get(i, 1) // QUERIES_A_CELL))) for i, n in enumerate(cell_sizes.tolist())], "cell int, v_parts int, q_parts int")
+    parts = F.broadcast(parts)  # a row a cell, at most as many as leaves
     own = lambda n: F.pmod(F.xxhash64("packed", F.lit(11)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(parts, "leaf").select("leaf", upto("v_parts").alias("v_part"), own("q_parts").alias("q_part"), "packed")
-    right = placed.join(parts, "leaf").select("leaf", own("v_parts").alias("v_part"), upto("q_parts").alias("q_part"), "packed")
+    left = visits.join(parts, "cell").select("cell", upto("v_parts").alias("v_part"), own("q_parts").alias("q_part"), "packed")
+    right = placed.join(parts, "cell").select("cell", own("v_parts").alias("v_part"), upto("q_parts").alias("q_part"), "packed")
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return table_of([], [], [])
-        (q_ids, asking), (v_ids, vectors) = unpacked(a["packed"].to_pylist(), dim), unpacked(b["packed"].to_pylist(), dim)
-        q, v, s = best(q_ids, asking, v_ids, vectors, k)
-        return table_of(q_ids[q], v_ids[v], s)
+        return table_of(*in_cell(unpacked(a["packed"].to_pylist(), dim), unpacked(b["packed"].to_pylist(), dim), k))
 
-    keys = ["leaf", "v_part", "q_part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, SCHEMA)
+    keys = ["cell", "v_part", "q_part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, SCHEMA)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
