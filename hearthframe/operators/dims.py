@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
 from .quality import require_none
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with 1..N in a stated, total order, without passing all rows through one task.
+
+    Rows are dealt to ranges of the order and written (``checkpoint()``); each range is numbered by itself, and the
+    ranges' sizes, one row each, give where it starts.
+    """
+    checkpoint_ready(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__place", place).join(F.broadcast(starts), "__range").withColumn(name, (F.col("__place") + F.col("__start")).cast("long")).drop("__range", "__place", "__start")
+
+
 def with_ids(dim: DataFrame, order: list, name: str = "id") -> DataFrame:
-    """Ids 1..N in a stated order. For dimensions: all rows pass one task."""
-    return dim.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Ids 1..N in a stated order."""
+    return numbered(dim, order, name)
 
 
 def resolve(fact: DataFrame, dim: DataFrame, key: str, id_name: str, dim_key: str, dim_id: str = "id") -> DataFrame:

@@ -89,6 +89,16 @@ def concat(frames: list[DataFrame], schema, spark) -> DataFrame:
     return out
 
 
+#: Statuses of a conversion (fixed values).
+STATUSES = (
+    "unknown", "missing_hbjson", "missing_epw", "missing_ddy",
+    "skipped_existing", "validated_existing", "invalid_existing",
+    "idf_validation_failed", "epjson_not_generated", "epjson_structure_failed", "restored_missing_epjson",
+    "epjson_validation_failed", "idf_not_generated", "idf_structure_failed", "restored_missing_idf",
+    "converted", "conversion_failed",
+)
+
+
 def conversion_status(**seen: F.Column) -> F.Column:
     """Status of one model's conversion to a pair of files, from what is there and what each step said.
 
@@ -119,5 +129,6 @@ def conversion_status(**seen: F.Column) -> F.Column:
 
 def first_seen(df: DataFrame, key: str, order: list) -> DataFrame:
     """(key, place): distinct values in the order in which they are first seen, from one."""
-    first = keep_one(df, [key], order)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select(key, "place")
+    from .dims import numbered
+
+    return numbered(keep_one(df, [key], order), order, "place").select(key, "place")

@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dims import numbered
+
 
 def apportion(weights: DataFrame, key: str, weight: str, slots: int) -> DataFrame:
     """Largest remainders: (key, weight, slots). Ties in the remainder: larger weight, then key.
 
-    The total and the rank run over the table of units (cities, nations), which is small.
+    The rank comes from ``dims.numbered``, so no task holds all units.
     """
     total = weights.agg(F.sum(weight).alias("__total"))
     exact = F.lit(slots) * F.col(weight).cast("double") / F.col("__total")
     rows = weights.crossJoin(F.broadcast(total)).withColumns({"__exact": exact, "__base": F.floor(exact).cast("long")})
     given = rows.agg(F.sum("__base").alias("__given"))
-    order = Window.orderBy(F.desc(F.col("__exact") - F.col("__base")), F.desc(weight), F.col(key))
-    rows = rows.crossJoin(F.broadcast(given)).withColumn("__rank", F.row_number().over(order))
+    order = [F.desc(F.col("__exact") - F.col("__base")), F.desc(weight), F.col(key)]
+    rows = numbered(rows.crossJoin(F.broadcast(given)), order, "__rank")
     more = (F.col("__rank") <= F.lit(slots) - F.col("__given")).cast("long")
     return rows.select(key, weight, (F.col("__base") + more).alias("slots"))
 
@@ -56,10 +58,10 @@ def sampling_plan(slots: DataFrame, key: str, count: str, kinds: DataFrame, kind
     ``kinds`` has a column ``n`` of slots a kind; both sides have the same total.
     """
     places = slots.filter(F.col(count) > 0).select(key, F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("__i"))
-    places = places.withColumn("__at", F.row_number().over(Window.orderBy(key, "__i")))
+    places = numbered(places, [F.col(key), F.col("__i")], "__at")
     dealt = kinds.filter("n > 0").select(kind, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__j"))
-    dealt = dealt.withColumn("__k", F.row_number().over(Window.orderBy(kind, "__j")))
-    dealt = dealt.withColumn("__at", F.row_number().over(Window.orderBy(mixed_order("__k", seed), "__k")))
+    dealt = numbered(dealt, [F.col(kind), F.col("__j")], "__k")
+    dealt = numbered(dealt, [mixed_order("__k", seed), F.col("__k")], "__at")
     return places.join(dealt, "__at").groupBy(key, kind).agg(F.count("*").alias("target"))
 
 
