@@ -255,7 +255,6 @@ def test_leaves_grow_with_the_table(spark, monkeypatch):
         m /= np.linalg.norm(m, axis=1)[:, None]
         df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id bigint, embedding array<double>")
         trees = []
-        real = ann.Tree.visits
         grown = ann._deepen
 
         def deepen(rows, tree, dim, top):
@@ -277,5 +276,14 @@ def test_leaves_grow_with_the_table(spark, monkeypatch):
             s[q] = -np.inf
             hits.append(len(set(np.lexsort((np.arange(n), -s))[:20].tolist()) & set(found)) / 20)
         assert np.mean(hits) >= 0.9 and len(out) == n // 40
-        assert ann.Tree.visits is real
-    assert read[1] > 2 * read[0] / 1.5
+        # the share of rows in the leaves that hold the target's part of all exact neighbours
+        leaf, ranks, orders = tree.assign(ann.lift(m, 1.0)), [], []
+        for q in out:
+            s = m @ m[q]
+            s[q] = -np.inf
+            orders.append(tree.visits(ann.lift_queries(m[q : q + 1])[0], tree.leaves, sizes, 20))
+            place = {x: j for j, x in enumerate(orders[-1])}
+            ranks += [place[x] for x in leaf[np.lexsort((np.arange(n), -s))[:20]].tolist()]
+        width = int(np.quantile(ranks, ann.TARGET)) + 1
+        assert np.mean([sizes[o[:width]].sum() / n for o in orders]) < 0.2
+    assert read[1] > 1.5 * read[0]
