@@ -133,7 +133,7 @@ def wall_directions(spark, d):
     )
 
 
-@query("wall_distances", f"WITH {FOOT} SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN 3.0 ELSE 5.0 END, 6) AS distance FROM f")
+@query("wall_distances", f"WITH {FOOT} SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 3 ELSE 5 END AS DOUBLE) AS distance FROM f")
 def wall_distances(spark, d):
     beside = F.when(F.col("p_size") % 2 == 0, F.col("w") / 2).otherwise(F.col("w") + 4.0)
     return footprints(spark, d).select("p_partkey", F.round(g.point_segment_distance(beside, F.lit(3.0), F.lit(0.0), F.lit(0.0), F.col("w"), F.lit(0.0)), 6).alias("distance"))
@@ -156,7 +156,7 @@ def window_areas(spark, d):
 # Polygon kernels whose results have a closed form on blocks of whole metres
 
 
-BLOCK = "f AS (SELECT p_partkey, p_size + 4.0 AS w, p_partkey % 9 + 6.0 AS h, p_size % 3 AS k FROM part)"
+BLOCK = "f AS (SELECT p_partkey, CAST(p_size + 4 AS DOUBLE) AS w, CAST(p_partkey % 9 + 6 AS DOUBLE) AS h, p_size % 3 AS k FROM part)"
 
 
 def blocks(spark, d):
@@ -213,7 +213,7 @@ def fitted_neighbours(spark, d):
 
 @query(
     "zones_of_squares",
-    """WITH s AS (SELECT p_partkey, p_size + 5.0 AS a FROM part) SELECT p_partkey, CASE WHEN a - 9 >= 2 THEN 'perimeter_with_interior' WHEN a - 9 > 1 THEN 'perimeter_only_all_interiors_absorbed' ELSE 'perimeter_only_no_nominal_interior' END AS how,
+    """WITH s AS (SELECT p_partkey, CAST(p_size + 5 AS DOUBLE) AS a FROM part) SELECT p_partkey, CASE WHEN a - 9 >= 2 THEN 'perimeter_with_interior' WHEN a - 9 > 1 THEN 'perimeter_only_all_interiors_absorbed' ELSE 'perimeter_only_no_nominal_interior' END AS how,
     CASE WHEN a - 9 >= 2 THEN 'matched_trapezoids' WHEN a - 9 > 1 THEN 'discarded_small_interior_kept_as_single_zone' ELSE 'insufficient_exact_vertex_matches' END AS reason, CAST(CASE WHEN a - 9 >= 2 THEN 1 ELSE 0 END AS INTEGER) AS n_core, CAST(CASE WHEN a - 9 >= 2 THEN 4 ELSE 1 END AS INTEGER) AS n_perimeter,
     round(a * a, 3) AS area, round(CASE WHEN a - 9 >= 2 THEN (a - 9) * (a - 9) ELSE 0 END, 3) AS core FROM s""",
 )
