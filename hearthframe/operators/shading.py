@@ -39,6 +39,7 @@ def nearby(buildings: DataFrame, candidates: DataFrame, key: str, other: str, ri
     pairs = own.join(there, ["i", "j"]).filter(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius).select(key, "__other").distinct()
     rings = candidates.select(F.col(other).alias("__other"), F.col(ring).alias("__ring"))
     both = pairs.join(buildings.select(key, ring), key).join(rings, "__other")
+    both = both.filter((F.col(ring) != F.col("__ring")) | (g.ring_area(F.col(ring)) <= overlap))  # the same outline overlaps by all of it
 
     def common(one, two):
         return {"__common": overlay.size(overlay.intersection([(k.points(one), [])], [(k.points(two), [])]))}
