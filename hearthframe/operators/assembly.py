@@ -52,12 +52,15 @@ def adjacent_floors(room: DataFrame, key: str) -> DataFrame:
 
 
 def adjacent_walls(room: DataFrame, key: str, digits: int = 2) -> DataFrame:
-    """(key, one, other): rooms of one level whose walls have the same ends, to ``digits``; an equi-join on the ends."""
-    e = room.select(key, "level", "room_id", F.explode(g.edges(F.col("ring"))).alias("e"))
+    """(key, one, other): rooms of one level whose walls have the same ends, to ``digits``.
+
+    Rooms gather by ends, a few a wall, so walls are dealt once and never broadcast, whatever their size is taken for.
+    """
+    e = room.filter(F.col(key).isNotNull() & F.col("level").isNotNull()).select(key, "level", "room_id", F.explode(g.edges(F.col("ring"))).alias("e"))
     end = lambda k: F.struct(F.round(f"e.x{k}", digits).alias("x"), F.round(f"e.y{k}", digits).alias("y"))
-    e = e.select(key, "level", "room_id", F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b"))
-    other = e.withColumnRenamed("room_id", "other")
-    return e.join(other, [key, "level", "a", "b"]).filter("room_id < other").select(key, F.col("room_id").alias("one"), "other").distinct()
+    at = e.groupBy(key, "level", F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b")).agg(F.collect_set("room_id").alias("__all"))
+    one = at.filter(F.size("__all") > 1).select(key, "__all", F.explode("__all").alias("one"))
+    return one.select(key, "one", F.explode(F.filter("__all", lambda x: x > F.col("one"))).alias("other")).distinct()
 
 
 def windows(walls: DataFrame, ratio: Column, least: float = 0.1) -> DataFrame:
