@@ -27,19 +27,20 @@ def gather_neighbours(buildings: DataFrame, neighbours: DataFrame, key: str, rin
 def nearby(buildings: DataFrame, candidates: DataFrame, key: str, other: str, ring: str, radius: float = 20.0, overlap: float = 0.5) -> DataFrame:
     """(key, other, ring of the other): footprints with a vertex within ``radius`` of a vertex of the building.
 
-    Vertices meet in grid cells as wide as the radius. A candidate that overlaps the building by more than
-    ``overlap`` square metres is the same one drawn twice and leaves; of equal outlines the least id stays.
+    Footprints meet in grid cells as wide as the radius, each cell once a footprint; the vertices of those that
+    met are compared. A candidate that overlaps the building by more than ``overlap`` square metres is the same
+    one drawn twice and leaves; of equal outlines the least id stays. Both sides may be long: nothing is broadcast.
     """
     cell = lambda c: F.floor(c / radius).cast("long")
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = buildings.select(key, F.explode(F.array_distinct(ring)).alias("p")).withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
-    own = own.select(key, F.col("p.x").alias("x"), F.col("p.y").alias("y"), (cell(F.col("p.x")) + F.col("i")).alias("i"), (cell(F.col("p.y")) + F.col("j")).alias("j"))
-    there = candidates.select(F.col(other).alias("__other"), F.explode(F.array_distinct(ring)).alias("q"))
-    there = there.select("__other", F.col("q.x").alias("ox"), F.col("q.y").alias("oy"), cell(F.col("q.x")).alias("i"), cell(F.col("q.y")).alias("j"))
-    pairs = own.join(there, ["i", "j"]).filter(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius).select(key, "__other").distinct()
+    at = lambda p, i, j: F.struct((cell(p["x"]) + i).alias("i"), (cell(p["y"]) + j).alias("j"))
+    near = F.array_distinct(F.flatten(F.transform(ring, lambda p: F.array(*[at(p, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))))
+    own = buildings.select(key, F.explode(near).alias("c")).select(key, "c.i", "c.j")
+    there = candidates.select(F.col(other).alias("__other"), F.explode(F.array_distinct(F.transform(ring, lambda q: at(q, 0, 0)))).alias("c")).select("__other", "c.i", "c.j")
+    pairs = own.join(there.hint("merge"), ["i", "j"]).select(key, "__other").distinct()
     rings = candidates.select(F.col(other).alias("__other"), F.col(ring).alias("__ring"))
-    both = pairs.join(buildings.select(key, ring), key).join(rings, "__other")
+    both = pairs.join(buildings.select(key, ring).hint("merge"), key).join(rings.hint("merge"), "__other")
     both = both.filter((F.col(ring) != F.col("__ring")) | (g.ring_area(F.col(ring)) <= overlap))  # the same outline overlaps by all of it
+    both = both.filter(F.exists(ring, lambda p: F.exists("__ring", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= radius)))
 
     def common(one, two):
         return {"__common": overlay.size(overlay.intersection([(k.points(one), [])], [(k.points(two), [])]))}
