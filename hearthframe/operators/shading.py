@@ -19,9 +19,9 @@ EDGE = "struct<edge:int,x1:double,y1:double,x2:double,y2:double,length:double>"
 
 
 def gather_neighbours(buildings: DataFrame, neighbours: DataFrame, key: str, ring: str, other: str) -> DataFrame:
-    """Buildings with ``neighbours``: the rings around each, in order of their id (a bounded few, by radius)."""
+    """Buildings with ``neighbours``: the rings around each, in order of their id (a bounded few, by radius). Both sides may be long: nothing is broadcast."""
     rings = neighbours.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(other, F.col(ring).alias("r")))), lambda x: x["r"]).alias("neighbours"))
-    return buildings.join(rings, key, "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(f"array<{g.RING}>")))
+    return buildings.join(rings.hint("merge"), key, "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(f"array<{g.RING}>")))
 
 
 def nearby(buildings: DataFrame, candidates: DataFrame, key: str, other: str, ring: str, radius: float = 20.0, overlap: float = 0.5) -> DataFrame:
@@ -91,11 +91,12 @@ def visible_edges(rays_: DataFrame, masks: DataFrame, key: str, edge: list[str],
     """Edges kept: those with a clear ray, and those of buildings without masks.
 
     ``masks``: one row a building with ``masks``, an array of rings. Rays too short to trim are clear. A building's
-    rays meet its masks as one array, so the masks are copied once a building and not once a ray.
+    rays meet its masks as one array, so the masks are copied once a building and not once a ray. Both sides may
+    be long: neither is broadcast.
     """
     ray = F.struct(*edge, "x1", "y1", "x2", "y2")
     lines = rays_.groupBy(key).agg(F.collect_list(ray).alias("__rays"))
-    joined = lines.join(masks.select(key, "masks"), key, "left")
+    joined = lines.join(masks.select(key, "masks").hint("merge"), key, "left")
 
     def sight(rays, rings):
         rings = [k.points(r) for r in rings or []]

@@ -30,3 +30,7 @@ def test_nearby_meets_across_cells_at_the_very_radius(spark):
     others = spark.createDataFrame([(2, box(25.0, 5.0)), (3, box(25.1, -5.0)), (4, box(-31.0, -31.0)), (5, box(17.0, 21.0)), (6, box(17.0, 21.1)), (7, box(-5.0, -5.0)), (8, box(0.0, 0.0))], f"o int, ring {g.RING}")
     found = {r.o for r in shading.nearby(own, others, "k", "o", "ring").collect()}
     assert found == {2, 5}  # 2 at 20 m, 5 at 12 and 16 m; 3, 4 and 6 farther, 7 and 8 lie over the building
+
+
+def test_visible_edges_broadcasts_nothing(spark, sf):
+    assert "Broadcast" not in plan(catalog.QUERIES["visible_edges"](spark, sf))
